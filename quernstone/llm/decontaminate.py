@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import ROW, cut, keyed, with_rows
+from .frames import ROW, cut, keep_rows, keyed
 
 WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 2_000_000
@@ -94,8 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS)
 
 def remove_hit_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """``docs``, all columns, without the documents that hold a window of an item."""
-    clean = contamination(keyed(docs), benchmark, n).where(F.size("hit") == 0).select(ROW)
-    return with_rows(docs).join(clean, ROW, "left_semi").drop(ROW)
+    return keep_rows(docs, lambda rows: contamination(rows, benchmark, n).where(F.size("hit") == 0))
 
 
 def remove_hit_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import ROW, cut, keyed, with_rows
+from .frames import ROW, cut, keep_rows, keyed
 
 BLOCK_BYTES = 8192
 
@@ -92,6 +92,4 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs``, all columns, with one row of each group of equal texts."""
-    rows = with_rows(docs)
-    kept = exact_groups(keyed(docs), block_bytes).where("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    return keep_rows(docs, lambda rows: exact_groups(rows, block_bytes).where("kept"))

@@ -40,19 +40,22 @@ def repeatable(df: DataFrame) -> bool:
     return all(_REPEATABLE.match(line.lstrip(" :+-")) for line in plan.splitlines() if line.strip())
 
 
+def fixed(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is repeatable, else what the checkpoint folder keeps of it."""
+    return docs if repeatable(docs) else cut(docs)
+
+
 def keyed(docs: DataFrame, *more: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_row, doc_id, text`` and the columns ``more``; all else is left behind, so no names clash."""
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c) for c in more])
-    if not repeatable(picked):
-        picked = cut(picked)
-    return picked.withColumn(ROW, F.monotonically_increasing_id())
+    return fixed(picked).withColumn(ROW, F.monotonically_increasing_id())
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns and ``_row``, numbered as ``keyed`` numbers it."""
-    if not repeatable(docs):
-        docs = cut(docs)
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+def keep_rows(docs: DataFrame, judge, *args) -> DataFrame:
+    """``docs``, all columns, cut down to the ``_row`` numbers that ``judge(keyed docs, *args)`` returns."""
+    stored = fixed(docs)
+    rows = stored.withColumn(ROW, F.monotonically_increasing_id())
+    return rows.join(judge(keyed(stored), *args).select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import bpe, substring_dedup
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import identify
+from .near_dedup import near_dedup
 from .sharding import shard
 
 
@@ -17,17 +20,36 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
     )
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), width=4)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_benchmark_decontamination, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_benchmark_decontamination, op4_byte_bpe, op6_language_id, op7_near_dedup, op9_sharding)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -35,6 +57,16 @@ ORACLE_SQL = {
         select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
         from d""",
+    "op2_substring_dedup": r"""
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        win as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from w where len(w) >= 20)),
+        dup as (select doc_id, i from (select doc_id, i, row_number() over (partition by h order by doc_id, i) as n from win) where n > 1),
+        gone as (select doc_id, list(distinct p) as gone from (select doc_id, unnest(range(i, i + 20)) as p from dup) group by doc_id),
+        each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from w),
+        kept as (
+            select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from each anti join (select doc_id, unnest(gone) as p from gone) using (doc_id, p) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from w left join kept using (doc_id)""",
     "op3_benchmark_decontamination": r"""
         with dw as (
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
