@@ -185,6 +185,17 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return _each_batch(ids, path, pattern, row, "doc_id long, text string")
 
 
+def tokenise(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256``: the ids of every whole text, proven by the digest of what they decode to."""
+
+    def row(own: Codec, text: str | None) -> tuple:
+        ids = own.encode(text or "")
+        return len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32), hashlib.sha256(own.decode(ids)).hexdigest()
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _each_batch(texts, path, pattern, row, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Digests of the ids of every whole text, and of the bytes that come back from them."""
 

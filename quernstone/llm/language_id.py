@@ -188,6 +188,17 @@ def learn(docs: DataFrame, learnable: Column, max_contexts: int = MAX_CONTEXTS)
     return grow_trees(count_contexts(rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))), max_contexts)
 
 
+def _told(trees: Trees | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    lettered = np.array([bool(_LETTER.search(t)) if t else False for t in texts.to_pylist()], bool)
+    if trees is None or not len(lettered):
+        return np.full(len(lettered), UNDETERMINED, object), np.zeros(len(lettered))
+    bits = trees.lengths(*bytes_of(texts)) / UNIT
+    pick = bits.argmin(axis=1)
+    share = 1 / np.exp2(np.maximum(bits[np.arange(len(pick)), pick][:, None] - bits, -1000.0)).sum(axis=1)
+    return np.where(lettered, np.array(trees.langs, object)[pick], UNDETERMINED), np.where(lettered, share, 0.0)
+
+
 def predict(docs: DataFrame, trees: Trees | None, *keys: str) -> DataFrame:
     """The columns ``keys``, and ``lang_pred`` and ``score`` of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
@@ -195,23 +206,26 @@ def predict(docs: DataFrame, trees: Trees | None, *keys: str) -> DataFrame:
     texts = docs.select(*keys, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            lettered = np.array([bool(_LETTER.search(t)) if t else False for t in column.to_pylist()], bool)
-            best, score = np.full(len(lettered), UNDETERMINED, object), np.zeros(len(lettered))
-            if own is not None:
-                bits = own.lengths(*bytes_of(column)) / UNIT
-                pick = bits.argmin(axis=1)
-                share = 1 / np.exp2(np.maximum(bits[np.arange(len(pick)), pick][:, None] - bits, -1000.0)).sum(axis=1)
-                best = np.where(lettered, np.array(own.langs, object)[pick], UNDETERMINED)
-                score = np.where(lettered, share, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best.tolist(), pa.string()), pa.array(score)], names)
+            told, score = _told(shared.value, batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told.tolist(), pa.string()), pa.array(score)], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
     return texts.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def keep_predicted(docs: DataFrame, trees: Trees | None, least_score: float = 0.0) -> DataFrame:
+    """``docs``, all columns, without the rows whose language is undetermined or told with a lower score."""
+    place, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told, score = _told(shared.value, batch.column(place))
+            yield batch.filter(pa.array((told != UNDETERMINED) & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, parts: int = 3, part: int = 1, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """One row per document: whether its fold was held out from learning, its language and score."""
     out = held_out(F.col("doc_id"), parts, part)
