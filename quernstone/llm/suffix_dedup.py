@@ -146,7 +146,7 @@ def _cut_out(docs: DataFrame, length: int) -> DataFrame:
                 row = pa.array(np.repeat(_longs(part.column(ROW)), count))
                 yield pa.RecordBatch.from_arrays([h, row, start, n, whole, bits], ["h", ROW, "start", "n", "whole", "bytes"])
 
-    return docs.select(ROW, "text", "wanted").mapInArrow(run, f"h long, {ROW} long, start int, n int, whole boolean, bytes binary")
+    return docs.select(ROW, "doc_id", "text", "wanted").mapInArrow(run, f"h long, {ROW} long, start int, n int, whole boolean, bytes binary")
 
 
 def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,12 +242,12 @@ def _kept_bytes(docs: DataFrame, length: int) -> DataFrame:
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    return docs.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.select(ROW, "doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """One row per document: its bytes, what is removed, in how many runs, and the bytes that are kept."""
-    texts = keyed(docs)
+    texts = keyed(docs).select(ROW, "doc_id", "text")  # each pass takes the same columns, so that texts are dealt out once
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = stretches(texts, length, gram)
     shared = every.withColumn("n1", F.count("*").over(Window.partitionBy("key"))).where("many or n1 > 1")
