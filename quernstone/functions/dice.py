@@ -1,0 +1,48 @@
+"""Dice expressions, statistics and prices as Column functions, and reproducible dice."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+DICE = "^([0-9]*)[dD]([0-9]+)([+-][0-9]+)?$"
+
+
+def parse_dice(c: Column) -> Column:
+    """``struct<n, faces, plus>`` of ``2D6+1``, ``D3`` or a plain number (n and faces 0); null if it is neither."""
+    c = F.replace(F.trim(c), F.lit(" "), F.lit(""))
+    number = lambda group, default: F.coalesce(F.regexp_extract(c, DICE, group).try_cast("int"), F.lit(default))
+    plain = c.try_cast("int")
+    rolled = F.struct(number(1, 1).alias("n"), number(2, 0).alias("faces"), number(3, 0).alias("plus"))
+    fixed = F.struct(F.lit(0).alias("n"), F.lit(0).alias("faces"), plain.alias("plus"))
+    return F.when(c.rlike(DICE), rolled).when(c.rlike("^-?[0-9]+$"), fixed)
+
+
+def expected(dice: Column) -> Column:
+    return dice["n"] * (dice["faces"] + 1) / 2.0 + dice["plus"]
+
+
+def stat_int(c: Column) -> Column:
+    """``3+``, ``6"`` and ``-1`` as integers; anything else null."""
+    return F.regexp_replace(F.trim(c), "[+\"″”]+$", "").try_cast("int")
+
+
+def armour_piercing(c: Column) -> Column:
+    return F.coalesce(F.replace(F.trim(c), F.lit("−"), F.lit("-")).try_cast("int"), F.lit(0))
+
+
+def keyword(c: Column) -> Column:
+    """``struct<name, value>`` of ``RAPID FIRE 2`` or ``ANTI-INFANTRY 4+``: a lower-case name and the number, if any."""
+    c = F.lower(F.trim(c))
+    name = F.regexp_replace(F.regexp_replace(c, " +(?:[0-9]*d)?[0-9]+\\+?$", ""), "[ -]+", "_")
+    return F.struct(name.alias("name"), F.regexp_extract(c, "([0-9]+)\\+?$", 1).try_cast("int").alias("value"))
+
+
+def cost(c: Column) -> Column:
+    return F.trim(c).try_cast("int")
+
+
+def roll(*key: Column | str, faces: Column | int = 6) -> Column:
+    """A die that depends on nothing but its key, so every engine and every retry throws the same."""
+    text = F.concat_ws(":", *[k if isinstance(k, Column) else F.lit(k) for k in key])
+    value = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return (value % (faces if isinstance(faces, Column) else F.lit(faces)) + 1).cast("int")

@@ -1,7 +1,10 @@
-"""The query catalogue: every reference query by name, with its SQL."""
+"""The query catalogue: every query by name, and its SQL for another engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import relational
+
+_FAMILIES = (relational,)
+QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
 FLAGSHIP = "q33_combat_funnel"
