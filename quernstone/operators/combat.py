@@ -1,0 +1,225 @@
+"""Monte-Carlo combat: attack funnel, damage allocation, reports, matchups, effects and toggles.
+
+All dice are functions of their key (seed, iteration, scenario, slot, stage),
+so a scenario is resolved by projections over one row per attack: there is no
+state, no order, and a lost task throws the same dice again. Rows are exploded
+as iterations x attacks; a scenario's own extras are exploded from them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
+
+from ..functions.dice import roll
+
+SEED = "1234"
+# The synthetic targets that units are judged by.
+ARCHETYPES = (
+    # key, toughness, save, invulnerable, wounds, models
+    ("geq", 3, 5, None, 1, 20),
+    ("meq", 4, 3, None, 2, 20),
+    ("teq", 5, 2, 4, 3, 10),
+    ("veh", 10, 3, None, 12, 3),
+)
+
+
+def archetypes(spark) -> DataFrame:
+    return spark.createDataFrame(list(ARCHETYPES), "target string, t int, sv int, invuln int, w int, models int")
+
+
+def wound_target(strength: Column, toughness: Column) -> Column:
+    return (
+        F.when(strength >= 2 * toughness, 2)
+        .when(strength > toughness, 3)
+        .when(strength == toughness, 4)
+        .when(2 * strength > toughness, 5)
+        .otherwise(6)
+    )
+
+
+def effective_save(sv: Column, ap: Column, invuln: Column) -> Column:
+    """The roll that saves: armour after piercing (never below 2), or the invulnerable save if that is easier."""
+    return F.least(F.greatest(F.lit(2), sv - F.least(F.lit(0), ap)), invuln)
+
+
+def dice_total(n: Column, faces: Column, plus: Column, *key) -> Column:
+    """The sum of ``n`` dice and ``plus``; n = 0 is a constant."""
+    thrown = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(thrown, plus.cast("int"), lambda acc, i: acc + roll(*key, i.cast("string"), faces=faces))
+
+
+def attacks(scenarios: DataFrame, iterations: int, seed: str = SEED) -> DataFrame:
+    """One row per scenario, iteration and attack.
+
+    ``scenarios``: sid, attacks (struct<n, faces, plus>), bearers, blast, skill
+    (null hits by itself), strength, ap, damage (struct), t, sv, invuln, w,
+    models, crit_hit, crit_wound, hit_mod, wound_mod, sustained, lethal,
+    devastating, twin, fnp, reduction.
+    """
+    it = scenarios.withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    each = F.transform(F.when(F.col("bearers") > 0, F.sequence(F.lit(1), F.col("bearers"))).otherwise(F.array().cast("array<int>")), lambda b: dice_total(F.col("attacks.n"), F.col("attacks.faces"), F.col("attacks.plus"), seed, F.col("it").cast("string"), F.col("sid"), b.cast("string"), "attacks"))
+    total = F.aggregate(each, F.lit(0), lambda a, b: a + b) + F.col("bearers") * F.col("blast") * F.floor(F.col("models") / 5).cast("int")
+    counted = it.withColumn("n_attacks", F.greatest(F.lit(0), total))
+    slots = F.when(F.col("n_attacks") > 0, F.sequence(F.lit(1), F.col("n_attacks"))).otherwise(F.array().cast("array<int>"))
+    return counted.withColumn("slot", F.explode_outer(slots))
+
+
+def resolved(rows: DataFrame, seed: str = SEED) -> DataFrame:
+    """``attacks`` rows carried through hit, wound, save and damage; one row per attack and extra hit."""
+
+    def die(stage: str, slot: Column, faces=6) -> Column:
+        return roll(seed, F.col("it").cast("string"), F.col("sid"), slot, stage, faces=faces)
+
+    slot = F.col("slot").cast("string")
+    hit_roll = die("hit", slot)
+    auto = F.col("skill").isNull()
+    crit = ~auto & (hit_roll != 1) & (hit_roll >= F.col("crit_hit"))
+    hit = F.col("slot").isNotNull() & (auto | ((hit_roll != 1) & (crit | (hit_roll + F.col("hit_mod") >= F.col("skill")))))
+    struck = rows.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("crit", F.coalesce(crit & hit, F.lit(False)))
+    extras = F.when(F.col("crit") & (F.col("sustained") > 0), F.sequence(F.lit(1), F.col("sustained"))).otherwise(F.array().cast("array<int>"))
+    lethal = F.col("crit") & F.col("lethal")
+    path = F.concat(
+        F.array(F.struct(F.concat(F.lit("a"), slot).alias("key"), F.col("hit").alias("alive"), lethal.alias("auto_wound"), F.lit(False).alias("extra"))),
+        F.transform(extras, lambda x: F.struct(F.concat(F.lit("x"), slot, F.lit("."), x.cast("string")).alias("key"), F.lit(True).alias("alive"), F.lit(False).alias("auto_wound"), F.lit(True).alias("extra"))),
+    )
+    paths = struck.withColumn("p", F.explode(path)).select("*", "p.*").drop("p")
+    key = F.col("key")
+    need = wound_target(F.col("strength"), F.greatest(F.lit(1), F.col("t")))
+    mod = F.greatest(F.lit(-1), F.least(F.lit(1), F.col("wound_mod")))
+
+    def wounds(r: Column) -> Column:
+        return (r != 1) & ((r >= F.col("crit_wound")) | (r + mod >= need))
+
+    first = die("wound", key)
+    final = F.when(F.col("twin") & ~wounds(first), die("wound2", key)).otherwise(first)
+    thrown = paths.withColumn("wr", final).withColumn("wounded", F.col("alive") & (F.col("auto_wound") | wounds(final)))
+    mortal = F.col("wounded") & ~F.col("auto_wound") & F.col("devastating") & (F.col("wr") != 1) & (F.col("wr") >= F.col("crit_wound"))
+    saved = die("save", key) >= effective_save(F.col("sv"), F.col("ap"), F.col("invuln"))
+    through = thrown.withColumn("mortal", mortal).withColumn("unsaved", F.col("wounded") & (F.col("mortal") | ~saved))
+    base = dice_total(F.col("damage.n"), F.col("damage.faces"), F.col("damage.plus"), seed, F.col("it").cast("string"), F.col("sid"), key, "damage")
+    hurt = F.greatest(F.lit(1), base - F.when(F.col("mortal"), 0).otherwise(F.col("reduction")))
+    return through.withColumn("dealt", F.when(F.col("unsaved"), hurt).otherwise(0))
+
+
+def funnel(paths: DataFrame) -> DataFrame:
+    """Per scenario and iteration: attacks, hits, wounds, unsaved, mortals, damage before allocation, and the damage slots in order."""
+    slots = F.array_sort(F.collect_list(F.when(F.col("dealt") > 0, F.struct(F.col("mortal"), F.length("key").alias("len"), "key", F.col("dealt")))))
+    return paths.groupBy("sid", "it").agg(
+        F.max("n_attacks").alias("attacks"),
+        F.count_if("alive").alias("hits"),
+        F.count_if("wounded").alias("wounds"),
+        F.count_if("unsaved").alias("unsaved"),
+        F.count_if("mortal").alias("mortals"),
+        F.sum("dealt").alias("damage"),
+        slots.alias("slots"),
+        *[F.first(c).alias(c) for c in ("models", "w", "fnp")],
+    )
+
+
+def allocate(slots: Column, models: Column, w: Column, fnp: Column | None = None, *key) -> Column:
+    """Damage dealt to models in order: ``struct<kills, left, effective>``.
+
+    ``slots`` is an array of damage values, normal before mortal. What a slot
+    has beyond the model it falls on is lost; the wounded model is first; each
+    point may be ignored by a roll of ``fnp``; nothing falls on the dead.
+    """
+    start = F.struct(F.lit(0).alias("kills"), w.cast("int").alias("left"), F.lit(0).alias("effective"), F.lit(0).alias("at"))
+
+    def points(damage: Column, at: Column) -> Column:
+        if fnp is None:
+            return damage.cast("int")
+        each = F.when(damage > 0, F.sequence(F.lit(1), damage.cast("int"))).otherwise(F.array().cast("array<int>"))
+        kept = F.size(F.filter(each, lambda i: F.coalesce(roll(*key, at.cast("string"), i.cast("string"), "fnp") < fnp, F.lit(True))))
+        return kept.cast("int")
+
+    def step(acc: Column, damage: Column) -> Column:
+        alive = acc["kills"] < models
+        taken = F.when(alive, F.least(points(damage, acc["at"]), acc["left"])).otherwise(0)
+        dead = alive & (taken >= acc["left"])
+        return F.struct(
+            (acc["kills"] + F.when(dead, 1).otherwise(0)).alias("kills"),
+            F.when(dead, w.cast("int")).otherwise(acc["left"] - taken).alias("left"),
+            (acc["effective"] + taken).alias("effective"),
+            (acc["at"] + 1).alias("at"),
+        )
+
+    return F.aggregate(slots, start, step)
+
+
+def report(iterations: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Mean and interpolated tenth, fiftieth and ninetieth percentiles of a value over the iterations."""
+    return iterations.groupBy(*group).agg(
+        F.round(F.avg(value), 6).alias("mean"), *[F.round(F.percentile(value, p / 100), 6).alias(f"p{p}") for p in (10, 50, 90)]
+    )
+
+
+def histogram(iterations: DataFrame, group: list[str], value: str) -> DataFrame:
+    """The share of each value that occurs."""
+    counted = iterations.groupBy(*group, value).agg(F.count("*").alias("n"))
+    return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*group)), 6)).drop("n")
+
+
+def fight_step(charged: Column, first: Column, last: Column) -> Column:
+    """1 strikes first, 2 in the middle, 3 last; first and last cancel out."""
+    early = charged | first
+    return F.when(early & ~last, 1).when(last & ~early, 3).otherwise(2)
+
+
+def first_is_a(step_a: Column, step_b: Column, active_a: Column, active_b: Column) -> Column:
+    """Whether side a strikes first; at the same step the active player does, and a if that does not tell."""
+    return F.when(step_a != step_b, step_a < step_b).otherwise(active_a | ~active_b)
+
+
+def survivors(count: Column, ratio: Column) -> Column:
+    """A loadout scaled to the models left, rounded half to even."""
+    return F.bround(count * ratio, 0).cast("int")
+
+
+def gathered(effects: DataFrame, key: list[str]) -> DataFrame:
+    """Scalars from effects (``phase, op, value``) by the combination rule of each kind."""
+
+    def of(phase: str, op: str, f, where: Column | None = None) -> Column:
+        hit = (F.col("phase") == phase) & (F.col("op") == op)
+        return f(F.when(hit if where is None else hit & where, F.col("value")))
+
+    present = lambda phase, op: F.coalesce(F.bool_or((F.col("phase") == phase) & (F.col("op") == op)), F.lit(False))
+    total = lambda phase, op, where=None: F.coalesce(of(phase, op, F.sum, where), F.lit(0))
+    ignore = present("hit", "ignore_hit_mods")
+    clamp = lambda c: F.greatest(F.lit(-1), F.least(F.lit(1), c))
+    hit_mod = total("hit", "modify", F.col("value") > 0) + F.when(ignore, 0).otherwise(total("hit", "modify", F.col("value") < 0))
+    return effects.groupBy(*key).agg(
+        F.coalesce(of("attacks", "blast", F.max), F.lit(0)).alias("blast"),
+        clamp(hit_mod).cast("int").alias("hit_mod"),
+        F.least(F.lit(6), of("hit", "crit_threshold", F.min)).alias("crit_hit"),
+        clamp(total("wound", "modify")).cast("int").alias("wound_mod"),
+        F.least(F.lit(6), of("wound", "crit_threshold", F.min)).alias("crit_wound"),
+        total("save", "ap_improve").cast("int").alias("ap_improve"),
+        of("save", "invuln", F.min).alias("invuln"),
+        of("fnp", "fnp", F.min).alias("fnp"),
+        F.coalesce(of("damage", "damage_reduction", F.max), F.lit(0)).alias("reduction"),
+        present("hit", "auto_wound").alias("lethal"),
+        present("wound", "mortal_pool").alias("devastating"),
+        present("wound", "reroll").alias("twin"),
+        present("hit", "auto_hit").alias("torrent"),
+    )
+
+
+def open_entries(entries: DataFrame, on: Column) -> DataFrame:
+    """``state`` of each entry (``requires, conflicts, group_tokens, group_max``) under the toggles ``on``."""
+    missing = F.size(F.array_except("requires", on)) > 0
+    state = (
+        F.when(missing, "missing")
+        .when(F.arrays_overlap("conflicts", on), "conflict")
+        .when(F.size(F.array_intersect("group_tokens", on)) > F.col("group_max"), "too_many")
+        .otherwise("open")
+    )
+    return entries.withColumn("state", state)
+
+
+def implied(toggles: Column, rules: dict[str, list[str]]) -> Column:
+    """Toggles with all that they imply, applied until nothing is added (as often as there are rules)."""
+    for _ in rules:
+        for token, more in rules.items():
+            toggles = F.when(F.array_contains(toggles, token), F.array_union(toggles, F.array(*map(F.lit, more)))).otherwise(toggles)
+    return toggles

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, retrieval
+from . import combat, relational, retrieval
 
-_FAMILIES = (relational, retrieval)
+_FAMILIES = (relational, retrieval, combat)
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
 FLAGSHIP = "q33_combat_funnel"

@@ -1,0 +1,300 @@
+"""Queries q33 to q41: simulation, effects, toggles and rosters.
+
+Weapons are drawn from ``part``, targets are the synthetic archetypes, dice
+are hashes, so another engine throws the same ones.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import dice
+from ..operators import combat, roster, rollup
+from ..sources.tables import table
+from .relational import LINE_ORDER
+
+ITERATIONS = 20
+
+
+def _struct(n, faces, plus):
+    return F.struct(n.cast("int").alias("n"), faces.cast("int").alias("faces"), plus.cast("int").alias("plus"))
+
+
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, k = F.col("p_size"), F.col("p_partkey")
+    weapons = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    rolled, d3 = s % 5 == 0, s % 7 == 3
+    return weapons.join(F.broadcast(combat.archetypes(spark))).select(
+        "p_partkey",
+        "target",
+        F.concat_ws("/", k.cast("string"), "target").alias("sid"),
+        _struct(F.when(rolled, 1).otherwise(0), F.when(rolled, 6).otherwise(0), F.when(rolled, 0).otherwise(1 + s % 4)).alias("attacks"),
+        (1 + s % 2).alias("bearers"),
+        F.when(s % 6 == 0, 1).otherwise(0).alias("blast"),
+        F.when(s % 11 != 0, 3 + s % 3).alias("skill"),
+        (3 + s % 7).alias("strength"),
+        (-(s % 4)).alias("ap"),
+        _struct(F.when(d3, 1).otherwise(0), F.when(d3, 3).otherwise(0), F.when(d3, 0).otherwise(1 + s % 3)).alias("damage"),
+        F.when(s % 13 == 0, 5).otherwise(6).alias("crit_hit"),
+        F.when(s % 10 == 0, 4).otherwise(6).alias("crit_wound"),
+        F.when(s % 9 == 0, 1).otherwise(0).alias("hit_mod"),
+        F.when(s % 8 == 0, 2).otherwise(0).alias("wound_mod"),
+        F.when(k % 3 == 0, 1).otherwise(0).alias("sustained"),
+        (k % 4 == 0).alias("lethal"),
+        (k % 5 == 0).alias("devastating"),
+        (k % 7 == 0).alias("twin"),
+        F.lit(None).cast("int").alias("fnp"),
+        F.when(F.col("target") == "veh", k % 2).otherwise(0).cast("int").alias("reduction"),
+        "t",
+        "sv",
+        "invuln",
+        "w",
+        "models",
+    )
+
+
+def _funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = combat.attacks(scenarios(spark, sf_dir), ITERATIONS)
+    out = combat.funnel(combat.resolved(rows))
+    sid = F.split("sid", "/")
+    return out.withColumn("p_partkey", F.get(sid, 0).cast("bigint")).withColumn("target", F.get(sid, 1))
+
+
+def q33_combat_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean attacks, hits, wounds, unsaved wounds and damage of every weapon against every archetype."""
+    stages = ("attacks", "hits", "wounds", "unsaved", "mortals", "damage")
+    return _funnel(spark, sf_dir).groupBy("p_partkey", "target").agg(*[F.round(F.avg(c), 6).alias(c) for c in stages])
+
+
+def q34_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage in order on three models of two wounds each: killed, wounds left on the wounded one, and what took effect."""
+    lines = table(spark, sf_dir, "lineitem")
+    slots = rollup.ordered_list(*LINE_ORDER[1:], value=F.floor(F.col("l_quantity")).cast("int") % 4)
+    out = combat.allocate(F.col("slots"), F.lit(3), F.lit(2))
+    folded = lines.groupBy("l_orderkey").agg(slots.alias("slots")).select("l_orderkey", out.alias("o"))
+    return folded.select("l_orderkey", F.col("o.kills").alias("kills"), F.col("o.left").alias("left_wounds"), F.col("o.effective").alias("effective"))
+
+
+def _kills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slots = F.transform("slots", lambda x: x["dealt"])
+    folded = _funnel(spark, sf_dir).select("p_partkey", "target", "it", combat.allocate(slots, F.col("models"), F.col("w")).alias("o"))
+    return folded.select("p_partkey", "target", "it", F.col("o.kills").alias("kills"), F.col("o.effective").alias("effective"))
+
+
+def q35_sim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of damage that took effect, by size of weapon and target, and the mean for 100 points."""
+    points = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).alias("grade"), (10 + F.col("p_size")).alias("points"))
+    runs = _kills(spark, sf_dir).join(points, "p_partkey")
+    figures = combat.report(runs, ["grade", "target"], "effective")
+    return figures.join(runs.groupBy("grade", "target").agg(F.round(100 * F.sum("effective") / F.sum("points"), 3).alias("per_100")), ["grade", "target"])
+
+
+def q36_matchup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who strikes first, and how many of ten bearers are left to strike back."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    step = lambda s: combat.fight_step(s % 3 == 0, s % 5 == 0, s % 7 == 0)
+    other = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_size").alias("other"))
+    first = combat.first_is_a(step(F.col("p_size")), step(F.col("other")), F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0)
+    lost = _kills(spark, sf_dir).where("target = 'meq'").groupBy("p_partkey").agg(F.sum("kills").alias("kills"))
+    left = combat.survivors(F.lit(10), (20 * ITERATIONS - F.col("kills")) / (20.0 * ITERATIONS))
+    return parts.join(other, "p_partkey").join(lost, "p_partkey").select("p_partkey", first.alias("first_is_a"), left.alias("bearers_left"))
+
+
+def q37_effect_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(o).alias("op")) for p, o in _KINDS])
+    lines = table(spark, sf_dir, "lineitem").withColumn("k", F.get(kinds, (F.col("l_suppkey") % len(_KINDS)).cast("int")))
+    value = (F.floor(F.col("l_quantity")).cast("int") % 7) - 2
+    effects = lines.select("l_partkey", "k.phase", "k.op", F.when(F.col("k.op").isin("modify"), value).otherwise(F.abs(value) + 1).alias("value"))
+    return combat.gathered(effects, ["l_partkey"])
+
+
+_KINDS = (("attacks", "blast"), ("hit", "modify"), ("hit", "crit_threshold"), ("hit", "ignore_hit_mods"), ("wound", "modify"), ("wound", "crit_threshold"), ("save", "ap_improve"), ("fnp", "fnp"), ("hit", "auto_wound"))
+_ENTRIES = (
+    ("oath", ["oath"], [], [], 1),
+    ("charge", ["charged"], ["stationary"], [], 1),
+    ("aimed", ["stationary"], ["charged"], [], 1),
+    ("doctrine", [], [], ["d1", "d2", "d3"], 1),
+    ("near", ["within_12"], [], [], 1),
+    ("close", ["within_8", "oath"], [], ["d1", "oath"], 2),
+)
+_TOGGLES = (("t1", ["oath", "charged"]), ("t2", ["within_8"]), ("t3", ["d1", "d2", "stationary", "charged"]), ("t4", []), ("t5", ["within_8", "oath", "d1"]))
+
+
+def q38_dsl_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which entries are open under which toggles; within 8 inches implies within 12."""
+    entries = spark.createDataFrame(list(_ENTRIES), "entry string, requires array<string>, conflicts array<string>, group_tokens array<string>, group_max int")
+    toggles = spark.createDataFrame(list(_TOGGLES), "name string, given array<string>").withColumn("on", combat.implied(F.col("given"), {"within_8": ["within_12"]}))
+    return combat.open_entries(entries.join(F.broadcast(toggles)), F.col("on")).select("name", "entry", "state")
+
+
+def q39_dice_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.createDataFrame([("D6",), ("2D6+1",), ("d3",), ("4",), ("3D3-1",), ("-1",), ("N/A",), (" 2d6 + 3 ",), ("",)], "text string")
+    parsed = dice.parse_dice(F.col("text"))
+    return texts.select("text", parsed["n"].alias("n"), parsed["faces"].alias("faces"), parsed["plus"].alias("plus"), F.round(dice.expected(parsed), 6).alias("mean"))
+
+
+def _rosters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    size = F.when(F.col("o_orderpriority") == "1-URGENT", "incursion").when(F.col("o_orderpriority") == "2-HIGH", "strike_force").when(F.col("o_orderpriority") == "3-MEDIUM", "onslaught")
+    rosters = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("roster_id"), size.alias("size"), F.concat(F.lit("d"), (F.col("o_custkey") % 4).cast("string")).alias("detachment"))
+    units = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("roster_id"),
+        F.when(F.col("l_suppkey") % 9 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey") % 40 + 1).alias("unit_id"),
+        (F.col("l_linenumber") == 1).alias("warlord"),
+        F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("e"), (F.col("l_partkey") % 5).cast("string"))).alias("enhancement"),
+    )
+    words = F.split("p_type", " ")
+    keywords = F.array_compact(F.array(F.when(F.col("p_size") % 2 == 0, "CHARACTER"), F.when(F.col("p_size") % 10 == 0, "EPIC HERO"), F.when(F.col("p_size") % 3 == 0, "BATTLELINE")))
+    catalogue = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), F.when(F.col("p_partkey") % 17 != 0, F.floor(F.col("p_retailprice") / 3).cast("bigint")).alias("price"), F.when(F.size(words) > 0, keywords).alias("keywords"))
+    enhancements = spark.createDataFrame([(f"d{d}", f"e{e}", None if e == 3 else 10 * e + d) for d in range(3) for e in range(4)], "detachment string, enhancement string, cost int")
+    return rosters, units, catalogue, enhancements
+
+
+def q40_roster_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All violations, and whether the roster is legal."""
+    rosters, units, catalogue, enhancements = _rosters(spark, sf_dir)
+    found = roster.violations(rosters, units, catalogue, enhancements)
+    return found.join(roster.legal(rosters, found), "roster_id").select("roster_id", "code", "n", "legal")
+
+
+def q41_roster_critique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archetype that each weapon serves best against, of equal ones the first by name, and its share of all damage."""
+    scores = _kills(spark, sf_dir).groupBy("p_partkey", "target").agg(F.sum("effective").alias("dealt"))
+    top = F.min(F.struct((-F.col("dealt")).alias("less"), "target")).alias("top")
+    out = scores.groupBy("p_partkey").agg(top, F.sum("dealt").alias("total"))
+    return out.select("p_partkey", F.col("top.target").alias("best"), F.round(F.try_divide(-F.col("top.less"), F.col("total").cast("double")), 6).alias("share"))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
+
+
+def _die(*key: str, faces: str = "6") -> str:
+    text = " || ':' || ".join(["'1234'", *key])
+    return f"((('0x' || substr(md5({text}), 1, 8))::bigint) % {faces} + 1)"
+
+
+_ARCH = ", ".join(f"('{a}', {t}, {sv}, {'null' if i is None else i}, {w}, {m})" for a, t, sv, i, w, m in combat.ARCHETYPES)
+_SIM = f"""
+    arch as (select * from (values {_ARCH}) as a(target, t, sv, invuln, w, models)),
+    sc as (
+        select p_partkey as k, p_size as s, target, p_partkey || '/' || target as sid, t, sv, invuln, w, models,
+               case when p_size % 11 <> 0 then 3 + p_size % 3 end as skill, case when p_size % 13 = 0 then 5 else 6 end as crit_hit, case when p_size % 10 = 0 then 4 else 6 end as crit_wound,
+               case when p_size % 9 = 0 then 1 else 0 end as hit_mod, case when p_size % 8 = 0 then 1 else 0 end as wound_mod,
+               case when 3 + p_size % 7 >= 2 * t then 2 when 3 + p_size % 7 > t then 3 when 3 + p_size % 7 = t then 4 when 2 * (3 + p_size % 7) > t then 5 else 6 end as need,
+               least(greatest(2, sv + p_size % 4), coalesce(invuln, 99)) as save
+        from part, arch),
+    its as (select sc.*, it from sc, range(1, {ITERATIONS + 1}) as r(it)),
+    bear as (select sid, it, unnest(range(1, 2 + s % 2)) as b, s from its),
+    cnt as (
+        select sid, it, sum(case when s % 5 = 0 then {_die('it', 'sid', 'b', "'attacks'", "'1'")} else 1 + s % 4 end) as n from bear group by all),
+    att as (
+        select its.*, cast(cnt.n + (1 + s % 2) * (case when s % 6 = 0 then 1 else 0 end) * (models // 5) as bigint) as n_attacks from its join cnt using (sid, it)),
+    slots as (select *, unnest(range(1, n_attacks + 1)) as slot from att),
+    h as (select *, {_die('it', 'sid', 'slot', "'hit'")} as hr from slots),
+    st as (
+        select *, coalesce(hr <> 1 and hr >= crit_hit and skill is not null, false) as crit,
+               skill is null or (hr <> 1 and (hr >= crit_hit or hr + hit_mod >= skill)) as hit from h),
+    paths as (
+        select *, 'a' || slot as key, hit as alive, crit and k % 4 = 0 as auto_wound from st
+        union all select *, 'x' || slot || '.1', true, false from st where crit and k % 3 = 0),
+    w1 as (select *, {_die('it', 'sid', 'key', "'wound'")} as r1, {_die('it', 'sid', 'key', "'wound2'")} as r2, {_die('it', 'sid', 'key', "'save'")} as sr from paths),
+    w2 as (select *, case when k % 7 = 0 and not (r1 <> 1 and (r1 >= crit_wound or r1 + wound_mod >= need)) then r2 else r1 end as wr from w1),
+    w3 as (
+        select *, alive and (auto_wound or (wr <> 1 and (wr >= crit_wound or wr + wound_mod >= need))) as wounded,
+               alive and not auto_wound and k % 5 = 0 and wr <> 1 and wr >= crit_wound as mortal from w2),
+    w4 as (select *, wounded and (mortal or sr < save) as unsaved from w3),
+    dm as (
+        select *, case when unsaved then greatest(1, case when s % 7 = 3 then {_die('it', 'sid', 'key', "'damage'", "'1'", faces='3')} else 1 + s % 3 end
+                                                     - case when mortal or target <> 'veh' then 0 else k % 2 end) else 0 end as dealt from w4),
+    fun as (
+        select k, target, it, any_value(s) as s, any_value(models) as models, any_value(w) as w, max(n_attacks) as attacks, count(*) filter (where alive) as hits, count(*) filter (where wounded) as wounds,
+               count(*) filter (where unsaved) as unsaved, count(*) filter (where mortal) as mortals, sum(dealt) as damage,
+               list(cast(dealt as integer) order by mortal, length(key), key) filter (where dealt > 0) as slots
+        from dm group by k, target, it)"""
+
+
+def _fold(slots: str, models: str, w: str) -> str:
+    return f"""list_reduce(list_transform({slots}, lambda d: {{'k': 0, 'l': d, 'e': 0}}), lambda a, x: {{
+        'k': cast(a.k + case when a.k < {models} and least(x.l, a.l) >= a.l then 1 else 0 end as integer),
+        'l': cast(case when a.k < {models} and least(x.l, a.l) >= a.l then {w} when a.k < {models} then a.l - least(x.l, a.l) else a.l end as integer),
+        'e': cast(a.e + case when a.k < {models} then least(x.l, a.l) else 0 end as integer)}}, {{'k': 0, 'l': cast({w} as integer), 'e': 0}})"""
+
+
+_RUNS = f"{_SIM}, runs as (select k, s, target, it, {_fold('coalesce(slots, cast([] as integer[]))', 'models', 'w')} as o from fun)"
+
+ORACLE_SQL = {
+    "q33_combat_funnel": f"""
+        with {_SIM} select k as p_partkey, target, round(avg(attacks), 6) as attacks, round(avg(hits), 6) as hits, round(avg(wounds), 6) as wounds, round(avg(unsaved), 6) as unsaved,
+               round(avg(mortals), 6) as mortals, round(avg(damage), 6) as damage from fun group by k, target""",
+    "q34_allocation": f"""
+        with l as (select l_orderkey, list(cast(floor(l_quantity) as integer) % 4 order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as slots from lineitem group by 1),
+        f as (select l_orderkey, {_fold('slots', '3', '2')} as o from l)
+        select l_orderkey, o.k as kills, o.l as left_wounds, o.e as effective from f""",
+    "q35_sim_report": f"""
+        with {_RUNS}, r as (select s % 5 as grade, target, o.e as effective, 10 + s as points from runs)
+        select cast(grade as integer) as grade, target, round(avg(effective), 6) as mean, round(quantile_cont(effective, 0.1), 6) as p10, round(quantile_cont(effective, 0.5), 6) as p50,
+               round(quantile_cont(effective, 0.9), 6) as p90, round(100.0::double * sum(effective) / sum(points), 3) as per_100
+        from r group by grade, target""",
+    "q36_matchup": f"""
+        with {_RUNS}, lost as (select k, sum(o.k) as kills from runs where target = 'meq' group by 1),
+        steps as (
+            select p_partkey, p_size, case when (p_size % 3 = 0 or p_size % 5 = 0) and p_size % 7 <> 0 then 1 when p_size % 7 = 0 and not (p_size % 3 = 0 or p_size % 5 = 0) then 3 else 2 end as step from part)
+        select a.p_partkey, case when a.step <> b.step then a.step < b.step else a.p_partkey % 2 = 0 or a.p_partkey % 3 <> 0 end as first_is_a,
+               cast(round_even(10 * (({20 * ITERATIONS} - kills) / {20.0 * ITERATIONS}), 0) as integer) as bearers_left
+        from steps a join steps b on b.p_partkey = a.p_partkey + 1 join lost on lost.k = a.p_partkey""",
+    "q37_effect_gather": """
+        with e as (
+            select l_partkey, l_suppkey % 9 as k, case when l_suppkey % 9 in (1, 4) then cast(floor(l_quantity) as integer) % 7 - 2 else abs(cast(floor(l_quantity) as integer) % 7 - 2) + 1 end as v from lineitem)
+        select l_partkey, cast(coalesce(max(v) filter (where k = 0), 0) as integer) as blast,
+               cast(greatest(-1, least(1, coalesce(sum(v) filter (where k = 1 and v > 0), 0) + case when bool_or(k = 3) then 0 else coalesce(sum(v) filter (where k = 1 and v < 0), 0) end)) as integer) as hit_mod,
+               least(6, coalesce(min(v) filter (where k = 2), 6)) as crit_hit, cast(greatest(-1, least(1, coalesce(sum(v) filter (where k = 4), 0))) as integer) as wound_mod,
+               least(6, coalesce(min(v) filter (where k = 5), 6)) as crit_wound, cast(coalesce(sum(v) filter (where k = 6), 0) as integer) as ap_improve, cast(null as integer) as invuln,
+               min(v) filter (where k = 7) as fnp, cast(0 as integer) as reduction, bool_or(k = 8) as lethal, false as devastating, false as twin, false as torrent
+        from e group by l_partkey""",
+    "q38_dsl_select": """
+        with e as (select * from (values ('oath', ['oath'], cast([] as varchar[]), cast([] as varchar[]), 1), ('charge', ['charged'], ['stationary'], [], 1), ('aimed', ['stationary'], ['charged'], [], 1),
+                                         ('doctrine', [], [], ['d1', 'd2', 'd3'], 1), ('near', ['within_12'], [], [], 1), ('close', ['within_8', 'oath'], [], ['d1', 'oath'], 2)) as t(entry, req, con, grp, most)),
+        g as (select * from (values ('t1', ['oath', 'charged']), ('t2', ['within_8', 'within_12']), ('t3', ['d1', 'd2', 'stationary', 'charged']), ('t4', cast([] as varchar[])), ('t5', ['within_8', 'oath', 'd1', 'within_12'])) as t(name, on_))
+        select name, entry, case when not list_has_all(on_, req) then 'missing' when list_has_any(con, on_) then 'conflict' when len(list_intersect(grp, on_)) > most then 'too_many' else 'open' end as state from e, g""",
+    "q39_dice_parse": r"""
+        with t as (select unnest(['D6', '2D6+1', 'd3', '4', '3D3-1', '-1', 'N/A', ' 2d6 + 3 ', '']) as text), c as (select text, replace(trim(text), ' ', '') as c from t),
+        p as (
+            select text, case when regexp_matches(c, '^[0-9]*[dD][0-9]+([+-][0-9]+)?$') then coalesce(try_cast(regexp_extract(c, '^([0-9]*)[dD]', 1) as integer), 1) when regexp_matches(c, '^-?[0-9]+$') then 0 end as n,
+                   case when regexp_matches(c, '^[0-9]*[dD][0-9]+([+-][0-9]+)?$') then cast(regexp_extract(c, '[dD]([0-9]+)', 1) as integer) when regexp_matches(c, '^-?[0-9]+$') then 0 end as faces,
+                   case when regexp_matches(c, '^[0-9]*[dD][0-9]+([+-][0-9]+)?$') then coalesce(try_cast(regexp_extract(c, '([+-][0-9]+)$', 1) as integer), 0) when regexp_matches(c, '^-?[0-9]+$') then cast(c as integer) end as plus from c)
+        select text, n, faces, plus, round(n * (faces + 1) / 2.0::double + plus, 6) as mean from p""",
+    "q40_roster_validate": """
+        with r as (
+            select o_orderkey as rid, case o_orderpriority when '1-URGENT' then 'incursion' when '2-HIGH' then 'strike_force' when '3-MEDIUM' then 'onslaught' end as size, 'd' || (o_custkey % 4) as det from orders),
+        u as (
+            select l_orderkey as rid, case when l_suppkey % 9 = 0 then -l_partkey else l_partkey % 40 + 1 end as uid, l_linenumber = 1 as warlord, case when l_suppkey % 3 = 0 then 'e' || (l_partkey % 5) end as enh from lineitem),
+        c as (
+            select p_partkey as uid, case when p_partkey % 17 <> 0 then cast(floor(p_retailprice / 3) as bigint) end as price, p_size % 2 = 0 as chr, p_size % 10 = 0 as epic, p_size % 3 = 0 as bat from part),
+        en as (select 'd' || d as det, 'e' || e as enh, case when e <> 3 then 10 * e + d end as cost from range(3) as x(d), range(4) as y(e)),
+        l as (
+            select r.rid, r.size, r.det, u.uid, u.warlord, u.enh, c.price, c.chr, c.epic, c.bat, c.uid is not null as known, en.cost, en.det is not null as listed
+            from u join r using (rid) left join c on c.uid = u.uid left join en on en.det = r.det and en.enh = u.enh),
+        a as (select rid, any_value(size) as size, sum(coalesce(price, 0)) + sum(coalesce(cost, 0)) as points, count(*) filter (where warlord) as wl, count(enh) as ne from l group by rid),
+        cp as (select rid, uid, count(*) as n, any_value(epic) as epic, any_value(bat) as bat from l where known group by rid, uid),
+        v as (
+            select rid, 'unit_not_found' as code from l where not known
+            union all select rid, 'unit_unpriced' from l where known and price is null
+            union all select rid, 'warlord_not_character' from l where warlord and known and not chr
+            union all select rid, 'enh_unpriced' from l where enh is not null and cost is null
+            union all select rid, 'enh_not_character' from l where enh is not null and known and not chr
+            union all select rid, 'enh_epic_hero' from l where enh is not null and known and chr and epic
+            union all select rid, 'unknown_size' from a where size is null
+            union all select rid, 'points_over' from a where points > case size when 'incursion' then 1000 when 'onslaught' then 3000 else 2000 end
+            union all select rid, 'warlord_count' from a where wl <> 1
+            union all select rid, 'enh_too_many' from a where ne > 3
+            union all select rid, 'rot_exceeded' from cp where n > case when epic then 1 when not bat then 3 end
+            union all select rid, 'rot_exempt_uncapped' from cp where not epic and bat and n > 3
+            union all select rid, 'enh_duplicate' from (select rid, enh from l where enh is not null group by all having count(*) > 1)
+            union all select rid, case when det in ('d0', 'd1', 'd2') then 'enh_wrong_detachment' else 'enh_unverified' end from l where enh is not null and not listed),
+        e as (select rid, code, count(*) as n from v group by all)
+        select rid as roster_id, code, n, not bool_or(code in ('points_over', 'warlord_count', 'warlord_not_character', 'rot_exceeded', 'enh_too_many', 'enh_duplicate', 'enh_not_character', 'enh_epic_hero', 'enh_wrong_detachment')) over (partition by rid) as legal
+        from e""",
+    "q41_roster_critique": f"""
+        with {_RUNS}, sc2 as (select k, target, sum(o.e) as dealt from runs group by all),
+        r as (select *, row_number() over (partition by k order by dealt desc, target) as n, sum(dealt) over (partition by k) as total from sc2)
+        select k as p_partkey, target as best, round(case when total > 0 then dealt::double / total end, 6) as share from r where n = 1""",
+}
