@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import ROW, keyed
+from .frames import ROW, cut, keyed
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 8
@@ -151,10 +151,13 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("nt"))
 
 
-def revealing_terms(docs: DataFrame, near: int = NEAR, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """``entity, term, disclosed`` for the terms that reveal at least ``disclosure`` of an entity."""
+def revealing_terms(docs: DataFrame, holders: DataFrame, near: int = NEAR, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """``entity, term, disclosed`` for the terms that reveal at least ``disclosure`` of an entity.
+
+    ``holders`` are the rows of ``docs`` with base spans; terms are counted in all of ``docs``.
+    """
     total = docs.count()
-    counted = _counted(docs, near)
+    counted = _counted(holders, near)
     pairs = counted.where(F.col("term").isNotNull() & (F.col("n") >= support))
     entities = counted.where("term is null").select("entity", F.col("n").alias("ne"))
     met = pairs.join(entities, "entity").join(_term_counts(docs), "term")
@@ -169,13 +172,13 @@ def find_pii(docs: DataFrame, near: int = NEAR, disclosure: float = DISCLOSURE,
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, entities = [], []
-            for text in batch.column(1):
+            rows = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                spans = base_spans(text)
-                base.append([{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans])
-                entities.append(sorted({_entity(k, text[s:e]) for s, k, e in spans}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, spans_type), pa.array(entities, pa.list_(pa.string()))], [ROW, "base", "entities"])
+                if spans := base_spans(text):
+                    rows.append((row, text, [{"start": s, "kind": KINDS[k], "end": e} for s, k, e in spans], sorted({_entity(k, text[s:e]) for s, k, e in spans})))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], spans_type), pa.array(columns[3], pa.list_(pa.string()))], [ROW, "text", "base", "entities"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,11 +190,10 @@ def find_pii(docs: DataFrame, near: int = NEAR, disclosure: float = DISCLOSURE,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, spans_type)], [ROW, "terms"])
 
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
-    found = docs.select(ROW, "text").mapInArrow(find, f"{ROW} long, base {span}, entities array<string>").where(F.size("base") > 0)
-    terms = revealing_terms(docs, near, disclosure, support).select("entity", "term")
+    found = cut(docs.select(ROW, "text").mapInArrow(find, f"{ROW} long, text string, base {span}, entities array<string>"))
+    terms = revealing_terms(docs, found, near, disclosure, support).select("entity", "term")
     known = found.select(ROW, F.explode("entities").alias("entity")).join(terms, "entity").groupBy(ROW).agg(F.collect_set("term").alias("wanted"))
-    holders = docs.select(ROW, "text").join(known.join(found.select(ROW, "base"), ROW), ROW)
-    marked = holders.select(ROW, "text", "wanted", "base").mapInArrow(mark, f"{ROW} long, terms {span}")
+    marked = found.join(known, ROW).select(ROW, "text", "wanted", "base").mapInArrow(mark, f"{ROW} long, terms {span}")
     none = F.array().cast(span)
     return (
         docs.join(found.select(ROW, "base").join(marked, ROW, "left"), ROW, "left")
