@@ -105,23 +105,33 @@ def _chosen(rows: DataFrame, max_features: int) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, toxic = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(every)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([every[f] for f in names], pa.int64()), pa.array([toxic[f] for f in names], pa.int64())], ["feature", "n", "t"])
+
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
                 found = features(text.as_py())
                 every.update(found)
                 if label:
                     toxic.update(found)
-        names = list(every)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([every[f] for f in names], pa.int64()), pa.array([toxic[f] for f in names], pa.int64())], ["feature", "n", "t"])
+                if len(every) > 200_000:
+                    yield counted()
+                    every.clear()
+                    toxic.clear()
+        yield counted()
 
     n, t = rows.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
     if not n or not t or t == n:
         return []
-    counts = rows.mapInArrow(run, "feature string, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    partial = rows.mapInArrow(run, "feature string, n long, t long")
+    tried = partial.agg(F.approx_count_distinct("feature")).first()[0]  # a sketch, which leaves its task as a few bytes
+    counts = partial.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     rate = F.lit(t / n)
     part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
     gain = part(F.col("t"), rate) + part(F.col("n") - F.col("t"), 1 - rate)
-    limit = math.log(max(1, counts.count())) + 3
+    limit = math.log(max(1, tried)) + 3
     return [r[0] for r in counts.select("feature", gain.alias("gain")).where(F.col("gain") > limit).orderBy(F.desc("gain"), "feature").limit(max_features).collect()]
 
 
