@@ -39,7 +39,7 @@ def test_allocation_equals_the_scalar_fold(spark):
 
 
 def test_allocation_with_ignored_points(spark):
-    got = spark.range(4000).select(combat.allocate(F.array(*[F.lit(3)] * 4), F.lit(100), F.lit(3), F.lit(5), "k", F.col("id").cast("string"))["effective"].alias("e"))
+    got = spark.range(4000).select(combat.allocate(F.array(*[F.lit(3)] * 4), F.lit(1), F.lit(100), F.lit(5), "k", F.col("id").cast("string"))["effective"].alias("e"))
     assert got.agg(F.avg("e")).first()[0] == pytest.approx(8, abs=0.15)  # a third of 12 points is ignored
 
 
