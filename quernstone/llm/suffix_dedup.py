@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .column_bwt import repeated_starts
-from .frames import ROW, bytes_of, groups_of_rows, keyed
+from .frames import ROW, bytes_of, cut, groups_of_rows, keyed
 from .hashing import Bytes, mix
 
 LENGTH = 400
 GRAM = 250
 CROWD = 200
 BLOCK_BYTES = 1 << 19
-COLLECTION_BYTES = 1 << 18
+COLLECTION_BYTES = 1 << 16  # small enough for a processor's cache, which the construction passes over again and again
 
 
 def _longs(column: pa.Array) -> np.ndarray:
@@ -253,7 +253,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd:
     shared = every.withColumn("n1", F.count("*").over(Window.partitionBy("key"))).where("many or n1 > 1")
     same = Window.partitionBy("h", "c")
     named = shared.withColumn("n2", F.count("*").over(same)).withColumn("nth", F.row_number().over(same.orderBy(ROW, "start")))
-    named = named.select("h", "c", ROW, "start", "n", (F.col("whole") | (F.col("n2") > 1)).alias("whole"), (F.col("alone") & (F.col("nth") == 1)).alias("lead"))
+    named = named.select("h", ROW, "start", "n", (F.col("whole") | (F.col("n2") > 1)).alias("whole"), (F.col("alone") & (F.col("nth") == 1)).alias("lead"))
+    named = cut(named)
 
     # The count's key is written differently from the join's, so that both sides are dealt anew and a hot gram can be split.
     leads = named.where("lead").select("h", ROW, "start", "n", "whole")
