@@ -1,16 +1,20 @@
 """Language ID by prediction by partial matching over bytes.
 
 Learning counts, for every language, which byte follows which three bytes
-(with their escapes to two, one and none), over all learnable documents. The
-context trees are pruned to the ``max_contexts`` most frequent contexts; what
-is pruned, like what was never seen, escapes to the next shorter context and
-in the end to a uniform distribution over all bytes. The statistics are then
-frozen: every context and byte get an exact code length in each language
-(escape method C with exclusion), a text's code length is the sum over its
-bytes, and the language with the shortest one is predicted.
-
-The trees are broadcast; ``max_contexts`` bounds their size. They are counted
-in tasks and merged by key; only the pruned trees come to the driver.
+(with their escapes to two, one and none), over all learnable documents. Every
+context that was counted is kept, whatever the size of its language; what was
+never seen escapes to the next shorter context and in the end to a uniform
+distribution over all bytes. The statistics are then frozen: every context and
+byte get an exact code length in each language (escape method C with
+exclusion), a text's code length is the sum over its bytes, and the language
+with the shortest one is predicted. A caller can prune the trees to the
+``max_contexts`` contexts that are most frequent in all languages together.
+
+The trees are sorted arrays of what was seen, 12 bytes for each byte seen after
+a context of a language and for each context. They are counted in tasks, merged
+by key, frozen on the driver and broadcast, so they have to fit in the memory
+of both; they grow with the distinct four bytes of each language, not with the
+text.
 
 Code lengths are rounded to 2^-16 bit and summed as integers, so predictions
 do not depend on how rows are dealt into batches.
@@ -33,7 +37,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .frames import bytes_of, groups_of_rows
 
-MAX_CONTEXTS = 10_000
 ORDER = 3
 SLICE_BYTES = 1 << 20
 UNIT = 1 << 16
@@ -93,96 +96,104 @@ def count_contexts(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Tree:
+    """Frozen code lengths of one language, from its counted grams; sorted arrays for every order.
+
+    ``seen[k]`` are the contexts of k bytes with the byte that followed them and
+    ``bits[k]`` their code lengths; ``contexts[k]`` are the contexts alone and
+    ``escapes[k]`` what a byte never seen there costs beyond the next shorter one.
+    """
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, kept: list[np.ndarray] | None) -> None:
+        self.seen, self.bits, self.contexts, self.escapes = [], [], [], []
+        below = np.full(256, 1 / 256)  # probabilities after the next shorter context of what was seen
+        symbols = np.arange(256, dtype=np.uint32)
+        for k in range(ORDER + 1):
+            keys, at = np.unique(grams & _low(k + 1), return_inverse=True)
+            counts = np.bincount(at, n)
+            shorter = below[np.searchsorted(symbols, keys & _low(max(k, 1)))]
+            if kept is not None:
+                of = np.isin(keys >> np.uint32(8), kept[k])
+                keys, counts, shorter = keys[of], counts[of], shorter[of]
+            contexts, first, at = np.unique(keys >> np.uint32(8), return_index=True, return_inverse=True)
+            kinds = np.diff(np.append(first, len(keys)))
+            total = np.bincount(at, counts, len(contexts)) + np.where(kinds < 256, kinds, 0)
+            below, symbols = counts / total[at], keys
+            rest = np.where(kinds < 256, 1 - np.bincount(at, shorter, len(contexts)), 1.0)
+            self.seen.append(keys)
+            self.bits.append(-np.log2(below))
+            self.contexts.append(contexts)
+            self.escapes.append(np.where(kinds < 256, np.log2(rest) - np.log2(np.where(kinds < 256, kinds, 1) / total), 0.0))
+
+    def lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each of the sorted ``grams``, in units of 1 / UNIT bit."""
+        bits, left = np.zeros(len(grams)), np.arange(len(grams))
+        for k in range(ORDER, -1, -1):
+            keys = grams[left] & _low(k + 1)
+            at, met = _find(self.seen[k], keys)
+            bits[left[met]] += self.bits[k][at[met]]
+            left, keys = left[~met], keys[~met]
+            at, met = _find(self.contexts[k], keys >> np.uint32(8))
+            bits[left[met]] += self.escapes[k][at[met]]
+        bits[left] += 8
+        return np.round(bits * UNIT).astype(np.int64)
+
+
+def _low(n: int) -> np.uint32:
+    return np.uint32((1 << (8 * n)) - 1)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys are in the sorted table, and whether they are."""
+    if not len(table):
+        return np.zeros(len(keys), int), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 class Trees:
-    """Frozen code lengths: ``node`` finds the longest kept context of three bytes, ``cost`` its row."""
+    """The trees of all languages, in the order of ``langs``."""
 
-    def __init__(self, langs: list[str], alphabet: np.ndarray, size: int, node: np.ndarray, cost: np.ndarray) -> None:
-        self.langs, self.alphabet, self.size, self.node, self.cost = langs, alphabet, size, node, cost
+    def __init__(self, langs: list[str], trees: list[Tree]) -> None:
+        self.langs, self.trees = langs, trees
 
     def lengths(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Rows x languages: code lengths in units of 1 / UNIT bit."""
         total = np.zeros((len(ends) - 1, len(self.langs)), np.int64)
-        size = self.size
         for a, b, part, own in _tables(data, ends):
-            grams = _grams(part, own)
-            sym = [self.alphabet[(grams >> np.uint32(8 * k)) & np.uint32(255)].astype(np.int64) for k in range(ORDER + 1)]
-            rows = self.node[(sym[3] * size + sym[2]) * size + sym[1]] * size + sym[0]
             filled = np.flatnonzero(own[:-1] < own[1:])
             if len(filled):
-                for k in range(len(self.langs)):
-                    total[a + filled, k] = np.add.reduceat(self.cost[k][rows].astype(np.int64), own[filled])
+                grams, at = np.unique(_grams(part, own), return_inverse=True)
+                for k, tree in enumerate(self.trees):
+                    total[a + filled, k] = np.add.reduceat(tree.lengths(grams)[at], own[filled])
         return total
 
 
-def _distribution(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities after one context: escape method C; what was seen here is excluded from the shorter context."""
-    seen = counts > 0
-    total, kinds = counts.sum(), seen.sum()
-    if not total:
-        return shorter
-    if seen.all():
-        return counts / total
-    rest = np.where(seen, 0.0, shorter)
-    return np.where(seen, counts / (total + kinds), rest / rest.sum() * (kinds / (total + kinds)))
-
-
-def grow_trees(counts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trees | None:
-    """Prune the counted contexts to the most frequent ones and freeze their code lengths."""
-    gram = F.col("gram")
-    contexts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.shiftright(gram, 8).bitwiseAND((1 << (8 * k)) - 1)).alias("ctx")) for k in range(ORDER + 1)]))
-    by_context = counts.select("lang", "n", gram.bitwiseAND(255).alias("sym"), contexts.alias("c")).select("lang", "c.k", "c.ctx", "sym", "n")
-    rows = by_context.groupBy("k", "ctx", "lang", "sym").agg(F.sum("n").alias("n"))
-    kept = rows.groupBy("k", "ctx").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "k", "ctx").limit(max_contexts).select("k", "ctx")
-    found = rows.join(F.broadcast(kept), ["k", "ctx"]).toArrow()
+def _most_frequent(grams: np.ndarray, n: np.ndarray, max_contexts: int) -> list[np.ndarray]:
+    """The contexts of every order among the most frequent of all orders; of equal ones the shorter, then the lesser."""
+    found = []
+    for k in range(ORDER + 1):
+        contexts, at = np.unique((grams >> np.uint32(8)) & _low(k), return_inverse=True)
+        found.append((np.full(len(contexts), k), contexts, np.bincount(at, n)))
+    order, contexts, total = map(np.concatenate, zip(*found))
+    best = np.lexsort((contexts, order, -total))[:max_contexts]
+    return [contexts[best[order[best] == k]] for k in range(ORDER + 1)]
+
+
+def grow_trees(counts: DataFrame, max_contexts: int | None = None) -> Trees | None:
+    """Freeze the code lengths of all counted contexts, or of the ``max_contexts`` most frequent ones."""
+    found = counts.select("lang", "gram", "n").toArrow()
     if not found.num_rows:
         return None
-    k, ctx, sym, n = (found[c].to_numpy() for c in ("k", "ctx", "sym", "n"))
-    langs = sorted(set(found["lang"].to_pylist()))
-    lang = np.array([langs.index(x) for x in found["lang"].to_pylist()])
-
-    # The last symbol stands for all bytes that were never seen; they share its probability evenly.
-    used = np.unique(np.concatenate([sym, ctx & 255, (ctx >> 8) & 255, (ctx >> 16) & 255]))
-    alphabet = np.full(256, len(used), np.uint8 if len(used) < 256 else np.int16)
-    alphabet[used] = np.arange(len(used))
-    size = len(used) + 1
-    unseen = 256 - len(used)
-    uniform = np.append(np.full(len(used), 1 / 256), max(unseen, 1e-6) / 256)
-
-    order = np.lexsort((ctx, k))
-    keys = k[order].astype(np.int64) << 32 | ctx[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    ids = {int(key): i for i, key in enumerate(keys[first])}  # shorter contexts come first
-    cost = np.empty((len(langs), len(first), size), np.float32)
-    for i, (a, b) in enumerate(zip(first, np.append(first[1:], len(keys)))):
-        at = order[a:b]
-        length, context = int(k[at[0]]), int(ctx[at[0]])
-        back = length - 1
-        while back >= 0 and (back << 32 | context & ((1 << (8 * back)) - 1)) not in ids:
-            back -= 1
-        parent = ids.get(back << 32 | context & ((1 << (8 * max(back, 0))) - 1)) if back >= 0 else None
-        seen = np.zeros((len(langs), size))
-        seen[lang[at], alphabet[sym[at]]] = n[at]
-        for j in range(len(langs)):
-            cost[j, i] = _distribution(seen[j], uniform if parent is None else cost[j, parent])
-    cost[:, :, -1] /= max(unseen, 1)
-    bits = np.round(-np.log2(cost) * UNIT).astype(np.int32)
-
-    node = np.zeros((size, size, size), np.int32)  # by the bytes three, two and one before
-    for key, i in sorted(ids.items()):
-        length, context = key >> 32, key & 0xFFFFFFFF
-        a = [alphabet[(context >> (8 * j)) & 255] for j in range(3)]
-        if length == 0:
-            node[:] = i
-        elif length == 1:
-            node[:, :, a[0]] = i
-        elif length == 2:
-            node[:, a[1], a[0]] = i
-        else:
-            node[a[2], a[1], a[0]] = i
-    return Trees(langs, alphabet, size, node.reshape(-1), bits.reshape(len(langs), -1))
-
-
-def learn(docs: DataFrame, learnable: Column, max_contexts: int = MAX_CONTEXTS) -> Trees | None:
+    lang = found["lang"].combine_chunks().dictionary_encode()
+    at, grams, n = lang.indices.to_numpy(), found["gram"].to_numpy().astype(np.uint32), found["n"].to_numpy()
+    kept = None if max_contexts is None else _most_frequent(grams, n, max_contexts)
+    names = lang.dictionary.to_pylist()
+    langs = sorted(names)
+    return Trees(langs, [Tree(grams[own], n[own], kept) for own in (at == names.index(x) for x in langs)])
+
+
+def learn(docs: DataFrame, learnable: Column, max_contexts: int | None = None) -> Trees | None:
     """Trees from the rows of ``docs`` that have a language and text and are ``learnable``."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     return grow_trees(count_contexts(rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))), max_contexts)
@@ -226,7 +237,7 @@ def keep_predicted(docs: DataFrame, trees: Trees | None, least_score: float = 0.
     return docs.mapInArrow(run, docs.schema)
 
 
-def identify(docs: DataFrame, parts: int = 3, part: int = 1, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def identify(docs: DataFrame, parts: int = 3, part: int = 1, max_contexts: int | None = None) -> DataFrame:
     """One row per document: whether its fold was held out from learning, its language and score."""
     out = held_out(F.col("doc_id"), parts, part)
     trees = learn(docs, ~out & F.col("doc_id").isNotNull(), max_contexts)

@@ -140,6 +140,21 @@ def test_language_id_cases(docs, rows, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_id_keeps_the_contexts_of_a_small_language(spark):
+    """Two languages, each learned from 0.1 % of the rows, that only contexts of two bytes tell apart, beside one of very many contexts."""
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    large = [(3 * i, " ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(400)), "zz") for i in range(2000)]
+    word = {"ca": ("AXW", "BXV"), "es": ("AXV", "BXW")}
+    small = [(100_000 + i, " ".join(r.choice(word[lang]) for _ in range(30)), lang) for i in range(24) for lang in [("ca", "es")[i % 2]]]
+    docs = spark.createDataFrame(large + small, "doc_id long, text string, lang string")
+    trees = language_id.learn(docs, docs["doc_id"] < 100_004)
+    told = language_id.predict(docs.where("doc_id >= 100004"), trees, "doc_id", "lang").collect()
+    assert len(told) == 20 and all(x["lang_pred"] == x["lang"] for x in told)
+    seen = sum(len(np.unique(tree.seen[3])) for tree in trees.trees)
+    assert seen == language_id.count_contexts(docs.where("doc_id < 100004")).count() > 100_000
+
+
 def brute_base(text):
     kinds = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
