@@ -2,8 +2,8 @@ r"""Personal data: base patterns, and information-theoretic sanitisation of what
 
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone
 numbers. Their values are the protected entities. A term (a word of letters)
-that stands within ``NEAR`` words of an entity may reveal it: over the whole
-corpus, with N documents, n(e) and n(t) with the entity and the term and n(e, t)
+that stands within ``NEAR`` words of an entity, whole stretches between white
+space of any length, may reveal it: over the whole corpus, with N documents, n(e) and n(t) with the entity and the term and n(e, t)
 with the term near the entity, the term discloses
 
     log2(N * n(e, t) / (n(e) * n(t))) / log2(N / n(e))
@@ -11,7 +11,8 @@ with the term near the entity, the term discloses
 of the entity's information. Terms that disclose at least ``DISCLOSURE`` of it,
 by at least ``SUPPORT`` documents, are spans of the kind ``term`` wherever they
 occur in documents that hold the entity. A term that is met with one document
-only is no evidence that it reveals anything.
+only is no evidence that it reveals anything; from two documents on, only the
+threshold decides.
 
 Spans count code points, with exclusive ends. ``sanitise`` replaces base spans
 by their kind and generalises terms to ``[TERM]``, or removes both.
@@ -24,6 +25,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ from .frames import ROW, cut, keyed
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 8
 DISCLOSURE = 0.8
-SUPPORT = 3
+SUPPORT = 2
 _PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -45,6 +47,7 @@ _PATTERNS = {
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _NEEDED = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_WORD = re.compile(r"\S+")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -98,16 +101,21 @@ def _entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind == 0 else value if kind == 1 else _NOT_DIGIT.sub('', value)}"
 
 
-def _near(text: str, spans: list[tuple[int, int, str]], near: int) -> Iterator[tuple[str, str]]:
-    """(entity, term) for the terms within ``near`` words of each span."""
+def _near(text: str, spans: list[tuple[int, int, str]], near: int) -> Iterator[tuple[str, set[str]]]:
+    """Each entity with the terms within ``near`` words of its spans; a word that a span cuts counts as far as the span."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    places: dict[str, list[tuple[int, int]]] = {}
     for start, kind, end in spans:
-        entity = _entity(kind, text[start:end])
-        # A word and its gap seldom exceed the reach; a longer stretch is read only as far as needed.
-        before = text[max(0, start - 64 * near) : start].split()[-near:]
-        after = text[end : end + 64 * near].split()[:near]
-        for word in (*before, *after):
-            for term in _TERM.findall(word.lower()):
-                yield entity, term
+        places.setdefault(_entity(kind, text[start:end]), []).append((start, end))
+    for entity, own in places.items():
+        met = set()
+        for start, end in own:
+            last, first = bisect_left(starts, start), bisect_right(ends, end)
+            reach = [(a, min(b, start)) for a, b in words[max(0, last - near) : last]] + [(max(a, end), b) for a, b in words[first : first + near]]
+            for a, b in reach:
+                met.update(_TERM.findall(text[a:b].lower()))
+        yield entity, met
 
 
 def _counted(docs: DataFrame, near: int) -> DataFrame:
@@ -118,11 +126,11 @@ def _counted(docs: DataFrame, near: int) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py()
-                if spans := base_spans(text):
-                    counts.update({(_entity(k, text[s:e]), None) for s, k, e in spans} | set(_near(text, spans, near)))
-            if len(counts) > 200_000:
-                yield _pairs(counts)
-                counts.clear()
+                for entity, terms in _near(text, spans, near) if (spans := base_spans(text)) else ():
+                    counts.update((entity, term) for term in (None, *terms))
+                    if len(counts) > 200_000:
+                        yield _pairs(counts)
+                        counts.clear()
         if counts:
             yield _pairs(counts)
 

@@ -191,6 +191,20 @@ def test_pii_report(spark):
     assert "secretname" not in dict(pii.sanitise(docs, remove=True).where("doc_id < 6").collect())[3]
 
 
+def test_pii_terms_of_two_documents(spark):
+    rows = [(i, f"written by ownername jo.doe@mail.example.com on day {i}") for i in range(2)] + [(2, "solitary +1 (988) 555-2485")]
+    rows += [(10 + i, f"written by somebody on day {i}") for i in range(60)]
+    found = dict(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found[0] == "written by [TERM] [EMAIL] on day 0" and found[1] == "written by [TERM] [EMAIL] on day 1"
+    assert found[2] == "solitary [PHONE]"
+
+
+def test_pii_reach_is_whole_words():
+    filler = "7" * 300
+    text = " ".join(["outside", "reached", *[filler] * 7, "jo.doe@mail.example.com", *[filler] * 7, "wholeword" + "z" * 3000, "beyond"])
+    assert dict(pii._near(text, pii.base_spans(text), 8)) == {"email:jo.doe@mail.example.com": {"reached", "wholeword" + "z" * 3000}}
+
+
 def test_pii_empty(empty):
     assert pii.pii_report(empty).count() == 0
 
