@@ -84,11 +84,14 @@ def q25_rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q26_layer_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules passages are sought among rules passages only, so there are some however far down the whole table they rank."""
     dense, sparse = _hybrid(spark, sf_dir)
     source = retrieve.layers(table(spark, sf_dir, "documents").select("doc_id", "source"), {"src10": "faction"}, [("src19", "rules"), ("src2", "supplement")], "other").select("doc_id", "layer")
     ranked = retrieve.fuse([dense, sparse]).join(source, "doc_id")
     rows, queries = _vectors(spark, sf_dir)
-    near = retrieve.nearest(rows, queries.join(_questions(spark, sf_dir).select("query_id"), "query_id", "left_semi"), 200).withColumnRenamed("vec_id", "doc_id").join(source, "doc_id")
+    rules = rows.join(source.where("layer = 'rules'").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    # A passage that a head of 8 already has is not added: 8 more than the 2 wanted are enough.
+    near = retrieve.nearest(rules, queries.join(_questions(spark, sf_dir).select("query_id"), "query_id", "left_semi"), 8 + 2).withColumnRenamed("vec_id", "doc_id").join(source, "doc_id")
     return retrieve.layer_floor(ranked, near, "rules").select("query_id", "doc_id", "layer", F.col("rank").cast("bigint").alias("rank"))
 
 

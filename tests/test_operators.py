@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as tx
 from quernstone.operators import combat, ordered, overlay, quality, resolve, retrieve, roster
+from quernstone.plans import retrieval
 from quernstone.sources import tables
 from quernstone.streaming import incremental
 
@@ -181,6 +182,16 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert got.count() == 50
 
 
+def test_layer_floor_reaches_beyond_the_nearest_200(spark, tmp_path):
+    docs = [(i, "alpha" if i < 10 else "beta", "src19" if i in (300, 310, 320) else "src5") for i in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i), 0.0]) for i in range(400)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "alpha"), (1, "beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = retrieval.q26_layer_floor(spark, str(tmp_path)).where("query_id = 0").orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, 9))
+    assert [(r["doc_id"], r["layer"]) for r in found[6:]] == [(300, "rules"), (310, "rules")]
+
+
 def test_cascade(spark):
     canonical = spark.createDataFrame([(1, "Scouts", "SM"), (2, "Scouts", "AM"), (3, "Lion", "DA")], "entity_id long, name string, faction string")
     names = spark.createDataFrame(list(enumerate(["lion", "Scouts", "scouts (am)", "the big cat", "zzz"])), "name_id long, name string")
