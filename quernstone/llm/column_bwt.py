@@ -7,8 +7,13 @@ last round's suffixes and sorting the list stably by symbol gives the new
 suffixes' places. Common prefixes are carried along: behind the same symbol
 they are one longer than the least between the two places in the old order.
 
-Every round is one sequential pass over the old lists that writes the new
-ones. The lists of one collection are kept in memory: callers bound its size.
+Every round is a few sequential passes over the old lists that write the new
+ones: the sort is a counting sort of symbols of 16 bits, and the least common
+prefix of a range comes from the least ones of runs of 1, 2, 4 and more. Which
+suffix stands where is not listed; walking the finished transform tells it,
+one symbol of every text a step.
+
+The lists of one collection are kept in memory, as callers bound its size.
 """
 
 from __future__ import annotations
@@ -16,62 +21,74 @@ from __future__ import annotations
 import numpy as np
 
 
-def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each text, whether the ``length`` bytes from each start on also start elsewhere in the collection."""
-    m = len(texts)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    stops = np.cumsum(sizes)
-    used = np.unique(data)
-    symbol = np.zeros(256, np.uint8 if len(used) < 256 else np.uint16)  # 0 is the end of a text
-    symbol[used] = np.arange(1, len(used) + 1)
-    data = symbol[data]
+def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """The least value from ``first`` to ``last``, both included, of each pair; ``space`` is room for ``len(values)`` times its binary logarithm."""
+    if not len(first):
+        return values[:0]
+    depth = np.frexp((last - first + 1).astype(np.float64))[1] - 1  # two runs of 2 ** depth cover the pair's range
+    n, span = len(values), 1
+    levels = int(depth.max()) + 1
+    runs = space[: levels * n].reshape(levels, n)
+    runs[0] = values
+    for level in range(1, levels):
+        runs[level, n - span :] = runs[level - 1, n - span :]
+        np.minimum(runs[level - 1, : n - span], runs[level - 1, span:], out=runs[level, : n - span])
+        span *= 2
+    runs, at = runs.reshape(-1), depth * n
+    return np.minimum(runs[at + first], runs[at + last + 1 - (1 << depth)])
+
+
+def repeated_starts(data: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """For each symbol, whether the ``length`` symbols from it on lie in its text and also start elsewhere in the collection.
 
-    before = np.zeros(m, symbol.dtype)  # the transform
+    ``data`` has the texts' symbols one text after the other, all above 0 (which is the end of a text).
+    """
+    m, stops = len(sizes), np.cumsum(sizes)
+    before = np.zeros(m, data.dtype)  # the transform
     common = np.zeros(m, np.int16)  # common prefix with the suffix before
-    suffix = np.full(m, -1, np.int32)  # where the suffix starts
-    texts_left, place = np.arange(m), np.arange(m)
+    space = np.empty((len(data) + m) * (len(data) + m).bit_length(), common.dtype)
+    live, place = np.arange(m), np.arange(m)
     for j in range(1, int(sizes.max(initial=0)) + 1):
-        more = sizes[texts_left] >= j
-        texts_left, place = texts_left[more], place[more]
-        start = stops[texts_left] - j
-        before[place] = data[start]
+        more = sizes[live] >= j
+        live, place = live[more], place[more]
+        before[place] = data[stops[live] - j]
+        n, ended = len(before), m - len(live)
         order = np.argsort(before, kind="stable")
-        ended = len(before) - np.count_nonzero(before)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        new = rank[place]
+        last = np.zeros(n, bool)
+        last[place] = True
+        new = np.flatnonzero(last[order])
+        live = live[np.searchsorted(place, order[new])]
 
         # Common prefixes of the new suffixes with those before them, and of those behind with them.
-        touched = np.unique(np.concatenate([new, new + 1]))
-        touched = touched[(touched > ended) & (touched < len(order))]
+        near = np.zeros(n + 1, bool)
+        near[new] = near[new + 1] = True
+        near = np.flatnonzero(near[:n])
+        touched = near[near > ended]
         left, right = order[touched - 1], order[touched]
         same = before[left] == before[right]
-        touched, left, right = touched[same], left[same], right[same]
-        by = np.argsort(left)
-        touched, left, right = touched[by], left[by], right[by]
-        bounds = np.stack([left + 1, right + 1], axis=1).reshape(-1)
-        longest = np.minimum(np.minimum.reduceat(np.append(common, 0), bounds)[::2] + 1, length) if len(bounds) else bounds
+        touched = touched[same]
+        longest = np.minimum(_least(common, left[same] + 1, right[same], space) + 1, length)
 
-        old = np.ones(len(before) + len(place), bool)
-        place = new + m - ended
+        place = new + len(live)
+        old = np.ones(n + len(place), bool)
         old[place] = False
-
-        def widened(values: np.ndarray, fill) -> np.ndarray:
-            wide = np.empty(len(old), values.dtype)
-            wide[old] = values
-            wide[place] = fill
-            return wide
-
-        before, common, suffix = widened(before, 0), widened(common, 0), widened(suffix, start)
-        fresh = np.concatenate([new, new + 1])
-        fresh = fresh[fresh < len(order)] + m - ended
-        common[fresh] = 0
-        common[touched + m - ended] = longest
+        grown = np.zeros(len(old), before.dtype)
+        grown[old] = before
+        prefixes = np.empty(len(old), common.dtype)
+        prefixes[old] = common
+        prefixes[near + len(live)] = 0
+        prefixes[touched + len(live)] = longest
+        before, common = grown, prefixes
 
     alike = common >= length
     alike[:-1] |= common[1:] >= length
-    found = np.zeros(len(data) + 1, bool)
-    found[suffix[alike]] = True
-    starts = stops - sizes
-    return [found[a:b] for a, b in zip(starts, stops)]
+    step = np.empty(len(before), np.int64)
+    step[np.argsort(before, kind="stable")] = np.arange(len(before))
+    found = np.zeros(len(data), bool)
+    live, place = np.arange(m), np.arange(m)
+    for j in range(1, int(sizes.max(initial=0)) + 1):
+        more = sizes[live] >= j
+        live = live[more]
+        place = step[place[more]]
+        found[stops[live] - j] = alike[place]
+    return found

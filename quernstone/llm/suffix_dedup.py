@@ -1,28 +1,40 @@
 """Suffix-array dedup: bytes covered by a string of LENGTH bytes that also starts elsewhere.
 
-Among the hashes of the ``GRAM``-byte strings inside a window of LENGTH bytes
+Among the hashes of the ``gram``-byte strings inside a window of LENGTH bytes
 one is the least (the leftmost of equal ones); equal windows have equal least
 grams at equal places. Consecutive windows that share their least gram form a
 stretch, so windows can only equal windows of stretches of the same gram, and
 a stretch whose gram occurs nowhere else holds no repeated window.
 
-Of the other stretches, those with equal bytes are repeated as a whole; one of
-them goes on. Stretches of one gram with different bytes are brought together,
-in collections of bounded size, and the collection's Burrows-Wheeler transform
-and common prefixes are built column by column (``column_bwt``): suffixes with
-LENGTH bytes in common are repeated windows.
+The other stretches are brought together gram by gram in collections of
+bounded size, whose Burrows-Wheeler transform and common prefixes are built
+column by column (``column_bwt``): suffixes with LENGTH bytes in common are
+repeated windows, and nothing else makes a window one. Of stretches with equal
+bytes two go in, and what is found in the first holds for all of them.
 
-Stretches that share a gram with more than ``CROWD`` different others are not
-brought together; their windows are named by 128-bit hashes and counted, which
-needs no group in one place.
+All stretches of a gram hold it, so it stands as one symbol, and the bytes
+beside it, at most LENGTH - gram on either side, are taken in symbols of
+``SYMBOL`` bytes. A window may begin at any byte, so each stretch is written
+once for each remainder of the windows' starts; what the symbols leave over
+next to the gram is part of the gram's symbol. A round inserts one symbol of
+every text, and there are as many as one side has symbols, twice over.
 
-Equal grams, stretches and windows are settled within a block of text first,
-and one of them goes on, so that no key has more rows than there are blocks.
+Grams with more than ``GROUP`` different stretches are divided by what stands
+next to them: their stretches are texts of their own to the same operator with
+grams longer by half of what is missing to LENGTH. Stretches that have grams
+of LENGTH bytes in common are equal, so this ends.
+
+The published method keeps the lists in sequential files since its collection
+is the whole corpus. Here they would be rewritten once a round by every task;
+collections of bounded size pass over them in memory instead.
+
+Grams and stretches are named by 128 bits; of strings as short as these no two
+are known to share a name in both families.
 
 Defined cases: null and empty texts have no bytes; rows with null or repeated
-doc_ids are texts of their own; an empty table gives an empty result; other
-columns are ignored. What is kept may begin or end inside a character, so it
-is binary.
+doc_ids are texts of their own; an empty table gives an empty result; very
+long texts are read in overlapping blocks; other columns are ignored. What is
+kept may begin or end inside a character, so it is binary.
 """
 
 from __future__ import annotations
@@ -32,39 +44,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from .column_bwt import repeated_starts
-from .frames import ROW, bytes_of, cut, groups_of_rows, keyed
-from .hashing import Bytes, mix
+from .frames import ROW, bytes_of, groups_of_rows, keyed, stored
+from .hashing import Bytes
 
 LENGTH = 400
-GRAM = 250
-CROWD = 200
+GRAM = 302
+SYMBOL = 7
+GROUP = 4096
 BLOCK_BYTES = 1 << 19
-COLLECTION_BYTES = 1 << 16  # small enough for a processor's cache, which the construction passes over again and again
+COLLECTION_BYTES = 1 << 17
 
 
 def _longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _spread(row: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mix(row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64))
-
-
-def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows with equal keys: whether a row is the first of them, and whether it has others."""
-    n = len(keys[0])
-    by = np.lexsort(keys[::-1])
-    new = np.ones(n, bool)
-    new[1:] = np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)
-    first, many = np.empty(n, bool), np.empty(n, bool)
-    first[by] = new
-    many[by] = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1] if n else new
-    return first, many
-
-
 def _blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, row and offset of each text in them, n + 1 ends): texts together up to BLOCK_BYTES, longer ones in overlapping pieces."""
     data, ends = bytes_of(batch.column("text"))
@@ -98,40 +94,46 @@ def _least_grams(data: np.ndarray, ends: np.ndarray, length: int, gram: int) ->
     return starts, texts, (least & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
-def stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``key, h, c, _row, start, n, whole, many``: every stretch of ``n`` windows.
+def _stretches(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple]:
+    """Of each block: its bytes, and of every stretch the hash of its gram, the row, its start there and in the block, its windows, and the gram's place in it."""
+    for data, rows, offsets, ends in _blocks(batch, length):
+        starts, texts, places = _least_grams(data, ends, length, gram)
+        if len(starts):
+            new = np.ones(len(starts), bool)
+            new[1:] = (places[1:] != places[:-1]) | (texts[1:] != texts[:-1])
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(starts)))
+            start, text, place = starts[at], texts[at], places[at]
+            h = Bytes(data, 0).of(place, place + gram)
+            yield data, h, rows[text], start - ends[text] + offsets[text], start, n, place - start
 
-    ``h`` names its gram and ``c`` its bytes. ``whole``: its bytes are known to occur elsewhere; ``many``: its gram is.
-    ``key`` is ``h`` for one stretch of each gram in a block.
-    """
+
+def shared_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``h``: hashes of least grams that two stretches have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, rows, offsets, ends in _blocks(batch, length):
-                starts, texts, places = _least_grams(data, ends, length, gram)
-                if not len(starts):
-                    continue
-                new = np.ones(len(starts), bool)
-                new[1:] = (places[1:] != places[:-1]) | (texts[1:] != texts[:-1])
-                at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(starts)))
-                start, text, place = starts[at], texts[at], places[at]
-                h = Bytes(data, 0).of(place, place + gram)
-                c = Bytes(data, 1).of(start, start + n - 1 + length)
-                row, start = rows[text], start - ends[text] + offsets[text]
-                first, many = _firsts(h)
-                alone, whole = _firsts(h, c)
-                spread = _spread(row, start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (np.where(first, h, spread).view(np.int64), np.where(alone, h, spread).view(np.int64), c.view(np.int64), row, start.astype(np.int32), n.astype(np.int32), whole, many)] + [pa.array(alone)],
-                    ["key", "h", "c", ROW, "start", "n", "whole", "many", "alone"],
-                )
+            for _, h, *_ in _stretches(batch, length, gram):
+                names, k = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.minimum(k, 2).astype(np.int8))], ["h", "k"])
+
+    return docs.select(ROW, "text").mapInArrow(run, "h long, k tinyint").groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h")
+
+
+def stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``h, c, _row, start, n, at``: every stretch of ``n`` windows. ``h`` names its gram, which begins ``at`` bytes on, ``c`` its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, h, row, start, begin, n, at in _stretches(batch, length, gram):
+                c = Bytes(data, 1).of(begin, begin + n - 1 + length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), row, start.astype(np.int32), n.astype(np.int32), at.astype(np.int32))], ["h", "c", ROW, "start", "n", "at"])
 
-    return docs.select(ROW, "text").mapInArrow(run, f"key long, h long, c long, {ROW} long, start int, n int, whole boolean, many boolean, alone boolean")
+    return docs.select(ROW, "text").mapInArrow(run, f"h long, c long, {ROW} long, start int, n int, at int")
 
 
-def _cut_out(docs: DataFrame, length: int) -> DataFrame:
-    """``h, _row, start, n, whole, bytes`` of the stretches listed in ``wanted``."""
+def _cut_out(docs: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
+    """``h, g, c, first, n, at, bytes`` of the stretches listed in ``wanted``; ``g`` is the gram's second name, and the gram is left out of ``bytes`` unless ``whole``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,14 +141,67 @@ def _cut_out(docs: DataFrame, length: int) -> DataFrame:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 wanted, count = part.column("wanted").flatten(), _longs(part.column("wanted").value_lengths())
-                h, start, n, whole = wanted.flatten()
-                begin = np.repeat(ends[a : a + part.num_rows], count) + _longs(start)
-                stop = begin + _longs(n) - 1 + length
-                bits = pa.array([data[x:y].tobytes() for x, y in zip(begin.tolist(), stop.tolist())], pa.binary())
-                row = pa.array(np.repeat(_longs(part.column(ROW)), count))
-                yield pa.RecordBatch.from_arrays([h, row, start, n, whole, bits], ["h", ROW, "start", "n", "whole", "bytes"])
+                h, c, first, start, n, at = wanted.flatten()
+                text = data[ends[a] : ends[a + part.num_rows]]
+                begin = np.repeat(ends[a : a + part.num_rows], count) - ends[a] + _longs(start)
+                stop, place = begin + _longs(n) - 1 + length, begin + _longs(at)
+                g = pa.array(Bytes(text, 1).of(place, place + gram).view(np.int64))
+                if whole:
+                    bits = [text[x:y].tobytes() for x, y in zip(begin.tolist(), stop.tolist())]
+                else:
+                    bits = [text[x:p].tobytes() + text[p + gram : y].tobytes() for x, p, y in zip(begin.tolist(), place.tolist(), stop.tolist())]
+                yield pa.RecordBatch.from_arrays([h, g, c, first, n, at, pa.array(bits, pa.binary())], ["h", "g", "c", "first", "n", "at", "bytes"])
+
+    return docs.select(ROW, "text", "wanted").mapInArrow(run, "h long, g long, c long, first boolean, n int, at int, bytes binary")
+
 
-    return docs.select(ROW, "doc_id", "text", "wanted").mapInArrow(run, f"h long, {ROW} long, start int, n int, whole boolean, bytes binary")
+def repeated_windows(data: np.ndarray, at: np.ndarray, n: np.ndarray, grams: np.ndarray, flank: int) -> list[np.ndarray]:
+    """For each stretch, which of its windows occur twice in the collection.
+
+    ``data`` has the stretches' bytes without their grams, ``at`` of them before the gram and as many as the last window
+    needs behind it; ``grams`` numbers the grams, ``flank`` is how many bytes a window has beside its gram.
+    """
+    left_over = at - n + 1  # bytes before the gram in the last window
+    offset = np.concatenate([[0], np.cumsum(at + flank - left_over)[:-1]])
+    first = np.concatenate([[0], np.cumsum(n)])
+    found = np.zeros(first[-1], bool)
+    padded = np.append(data, np.zeros(SYMBOL, np.uint8))
+    weight = (np.uint64(1) << (8 * np.arange(SYMBOL, dtype=np.uint64))).astype(np.uint64)
+
+    def names(begin: np.ndarray, size: int) -> np.ndarray:
+        return sum((padded[begin + i].astype(np.uint64) * weight[i] for i in range(size)), np.zeros(len(begin), np.uint64))
+
+    for r in range(SYMBOL):
+        who = np.flatnonzero(-(-(left_over - r) // SYMBOL) * SYMBOL + r <= at)
+        if r > flank or not len(who):
+            continue
+        before = (at[who] - r) // SYMBOL  # symbols before the gram in the first of these windows, and in the last
+        least = np.maximum(-(-(left_over[who] - r) // SYMBOL), 0)
+        near = (flank - r) % SYMBOL
+        after = (flank - r - near) // SYMBOL - least
+        sizes = before + 1 + after
+        text = np.repeat(np.arange(len(who)), sizes)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = offset[who] + at[who]  # where the gram was
+        begin = np.where(nth < before[text], place[text] - r - SYMBOL * (before[text] - nth), place[text] + near + SYMBOL * (nth - before[text] - 1))
+        centre = nth == before[text]
+        begin[centre] = 0
+        symbol = np.unique(names(begin, SYMBOL), return_inverse=True)[1] + 1
+        # The gram's own symbol: its number, and the bytes left over on its two sides.
+        sides = np.stack([grams[who].astype(np.uint64), names(place - r, r), names(place, near)])
+        own = np.lexsort(sides)
+        change = np.ones(len(own), bool)
+        change[1:] = np.any(sides[:, own[1:]] != sides[:, own[:-1]], axis=0)
+        number = np.empty(len(own), np.int64)
+        number[own] = np.cumsum(change)
+        top = int(symbol.max())
+        symbol[centre] = top + number
+        kind = np.uint16 if top + int(change.sum()) < 1 << 16 else np.uint32
+        repeated = repeated_starts(symbol.astype(kind), sizes, 1 + (flank - r - near) // SYMBOL)
+        window = np.flatnonzero(nth <= (before - least)[text])
+        number_in_stretch = at[who][text[window]] - (r + SYMBOL * (before[text[window]] - nth[window]))
+        found[first[who][text[window]] + number_in_stretch] = repeated[window]
+    return [found[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
 def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,57 +211,45 @@ def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(edge == -1) - start
 
 
-def _transformed(pieces: DataFrame, length: int) -> DataFrame:
-    """``_row, start, n``: runs of repeated windows of stretches, which come sorted by gram within their partition."""
-
-    def settle(rows: list[dict]) -> pa.RecordBatch:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for r, found in zip(rows, repeated_starts([r["bytes"] for r in rows], length)):
-            if not r["whole"]:
-                start, n = _runs(found[: r["n"]])
-                out.append((np.full(len(start), r[ROW]), start + r["start"], n))
-        columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), (), ()))]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32))], [ROW, "start", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        size = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                for r in batch.slice(at, 1024).to_pylist():
-                    if size >= COLLECTION_BYTES and r["h"] != rows[-1]["h"]:
-                        yield settle(rows)
-                        rows, size = [], 0
-                    rows.append(r)
-                    size += len(r["bytes"])
-        if rows:
-            yield settle(rows)
-
-    return pieces.mapInArrow(run, f"{ROW} long, start int, n int")
-
-
-def _window_names(pieces: DataFrame, length: int) -> DataFrame:
-    """``k1, k2, _row, start, settled`` of all windows of the stretches; settled ones are known to repeat."""
+def _transformed(pieces: DataFrame, flank: int) -> DataFrame:
+    """``h, c, runs``: runs of repeated windows of stretches, which come sorted by gram within their partition."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+
+    def settle(part: pa.Table) -> pa.RecordBatch:
+        data, ends = bytes_of(part["bytes"])
+        data = data[ends[0] : ends[-1]]
+        h, g = _longs(part["h"]), _longs(part["g"])
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        first = part["first"].to_numpy()
+        found = repeated_windows(data, _longs(part["at"]), _longs(part["n"]), np.cumsum(new), flank)
+        lists = [(i, *_runs(f)) for i, f in enumerate(found) if first[i] and f.any()]
+        kept = np.array([i for i, _, _ in lists], np.int64)
+        ends_of = np.cumsum([0, *(len(s) for _, s, _ in lists)]).astype(np.int32)
+        flat = [np.concatenate([*(x[k] for x in lists), np.zeros(0, np.int64)]).astype(np.int32) for k in (1, 2)]
+        runs = pa.ListArray.from_arrays(ends_of, pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(kind.value_type)))
+        return pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(_longs(part["c"])[kept]), runs], ["h", "c", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                data, ends = bytes_of(part.column("bytes"))
-                data, ends = data[ends[0] : ends[-1]], ends - ends[0]
-                n = _longs(part.column("n"))
-                who = np.repeat(np.arange(part.num_rows), n)
-                inside = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                begin = ends[who] + inside
-                k1, k2 = Bytes(data, 0).of(begin, begin + length), Bytes(data, 1).of(begin, begin + length)
-                row, start = _longs(part.column(ROW))[who], _longs(part.column("start"))[who] + inside
-                first, many = _firsts(k1, k2)
-                key = np.where(first, k1, _spread(row, start))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(row), pa.array(start.astype(np.int32)), pa.array(many)], ["k1", "k2", ROW, "start", "settled"]
-                )
-
-    return pieces.mapInArrow(run, f"k1 long, k2 long, {ROW} long, start int, settled boolean")
+            h, weight = _longs(batch.column("h")), np.cumsum(_longs(pa.compute.binary_length(batch.column("bytes"))))
+            edges = [0, *np.flatnonzero(h[1:] != h[:-1]) + 1, batch.num_rows]
+            cut = 0
+            for a, b in zip(edges[:-1], edges[1:]):
+                done = weight[a - 1] - (weight[cut - 1] if cut else 0) if a else 0
+                if size + done >= COLLECTION_BYTES and h[a] != last:
+                    held.append(batch.slice(cut, a - cut))
+                    yield settle(pa.Table.from_batches(held))
+                    held, size, cut = [], 0, a
+                last = h[b - 1]
+            held.append(batch.slice(cut))
+            size += weight[-1] - (weight[cut - 1] if cut else 0) if batch.num_rows else 0
+        if sum(b.num_rows for b in held):
+            yield settle(pa.Table.from_batches(held))
+
+    return pieces.mapInArrow(run, "h long, c long, runs array<struct<start:int,n:int>>")
 
 
 def _kept_bytes(docs: DataFrame, length: int) -> DataFrame:
@@ -245,29 +288,36 @@ def _kept_bytes(docs: DataFrame, length: int) -> DataFrame:
     return docs.select(ROW, "doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def repeated_runs(texts: DataFrame, length: int, gram: int, group: int = GROUP) -> DataFrame:
+    """``_row, start, n``: runs of ``n`` windows from ``start`` on that are repeated, of the rows ``_row, text``."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = stored(stretches(texts, length, gram).join(shared_grams(texts, length, gram), "h", "left_semi"))
+    place = F.struct(ROW, "start", "n", "at")
+    classes = shared.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    members = F.when(F.col("first") == F.col("last"), F.array(F.struct(F.lit(True).alias("first"), F.col("first").alias("p")))).otherwise(
+        F.array(F.struct(F.lit(True).alias("first"), F.col("first").alias("p")), F.struct(F.lit(False).alias("first"), F.col("last").alias("p")))
+    )
+    pieces = stored(classes.select("h", "c", F.explode(members).alias("m")).select("h", "c", "m.first", "m.p.*"))
+    large = stored(pieces.groupBy("h").agg(F.count("*").alias("pieces")).where(F.col("pieces") > group).select("h"))
+    divided = not large.isEmpty()
+
+    def listed(some: DataFrame) -> DataFrame:
+        wanted = some.groupBy(ROW).agg(F.collect_list(F.struct("h", "c", "first", "start", "n", "at")).alias("wanted"))
+        return texts.join(wanted, ROW)
+
+    ready = _cut_out(listed(pieces.join(large, "h", "left_anti") if divided else pieces), length, gram, False)
+    found = _transformed(ready.repartition(parts, "h").sortWithinPartitions("h", "g"), length - gram)
+    if divided:
+        whole = stored(_cut_out(listed(pieces.join(large, "h", "left_semi")), length, gram, True).withColumn(ROW, F.monotonically_increasing_id()))
+        inner = repeated_runs(whole.select(ROW, F.col("bytes").alias("text")), length, (gram + length + 1) // 2, group)
+        found = found.unionByName(whole.where("first").join(inner, ROW).groupBy("h", "c").agg(F.collect_list(F.struct("start", inner["n"])).alias("runs")))
+    met = shared.join(found, ["h", "c"]).select(ROW, F.col("start").alias("from"), F.explode("runs").alias("r"))
+    return met.select(ROW, (F.col("from") + F.col("r.start")).alias("start"), F.col("r.n").alias("n"))
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None, group: int = GROUP) -> DataFrame:
     """One row per document: its bytes, what is removed, in how many runs, and the bytes that are kept."""
-    texts = keyed(docs).select(ROW, "doc_id", "text")  # each pass takes the same columns, so that texts are dealt out once
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = stretches(texts, length, gram)
-    shared = every.withColumn("n1", F.count("*").over(Window.partitionBy("key"))).where("many or n1 > 1")
-    same = Window.partitionBy("h", "c")
-    named = shared.withColumn("n2", F.count("*").over(same)).withColumn("nth", F.row_number().over(same.orderBy(ROW, "start")))
-    named = named.select("h", ROW, "start", "n", (F.col("whole") | (F.col("n2") > 1)).alias("whole"), (F.col("alone") & (F.col("nth") == 1)).alias("lead"))
-    named = cut(named)
-
-    # The count's key is written differently from the join's, so that both sides are dealt anew and a hot gram can be split.
-    leads = named.where("lead").select("h", ROW, "start", "n", "whole")
-    crowds = leads.groupBy("h").agg(F.count("*").alias("others")).where("others > 1").select(F.col("h").bitwiseXOR(F.lit(1)).alias("g"), "others")
-    met = leads.join(crowds, F.col("h").bitwiseXOR(F.lit(1)) == F.col("g"))
-
-    def pieces(which: str) -> DataFrame:
-        wanted = met.where(which).groupBy(ROW).agg(F.collect_list(F.struct("h", "start", "n", "whole")).alias("wanted"))
-        return _cut_out(texts.join(wanted, ROW), length)
-
-    few = _transformed(pieces(f"others <= {crowd}").repartition(parts, "h").sortWithinPartitions("h"), length)
-    names = _window_names(pieces(f"others > {crowd}"), length).withColumn("n", F.count("*").over(Window.partitionBy("k1", "k2")))
-    crowded = names.where("settled or n > 1").select(ROW, "start", F.lit(1).alias("n"))
-    found = named.where("whole").select(ROW, "start", "n").unionByName(few).unionByName(crowded)
-    runs = found.groupBy(ROW).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    texts = keyed(docs).select(ROW, "doc_id", "text")
+    gram = gram or max(1, length * GRAM // LENGTH)
+    runs = repeated_runs(texts, length, gram, group).groupBy(ROW).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return _kept_bytes(texts.join(runs, ROW, "left"), length)

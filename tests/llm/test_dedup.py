@@ -99,9 +99,9 @@ def brute_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "crowd"), [(400, 250, 200), (100, 40, 200), (100, 40, 0), (60, 20, 2)])
-def test_suffix_dedup(docs, rows, length, gram, crowd):
-    found = suffix_dedup.suffix_dedup(docs, length, gram, crowd).withColumn("kept_sha256", F.sha2("kept", 256))
+@pytest.mark.parametrize(("length", "gram", "group"), [(400, None, 4096), (100, 40, 4096), (100, 93, 4096), (60, 20, 2), (30, 30, 4096)])
+def test_suffix_dedup(docs, rows, length, gram, group):
+    found = suffix_dedup.suffix_dedup(docs, length, gram, group).withColumn("kept_sha256", F.sha2("kept", 256))
     assert bag(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, length)
 
 
@@ -109,8 +109,9 @@ def test_suffix_dedup(docs, rows, length, gram, crowd):
 @given(st.lists(st.text("ab\u0000", max_size=30).map(str.encode), min_size=1, max_size=8), st.integers(1, 6))
 def test_column_bwt(texts, length):
     counts = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
-    for t, found in zip(texts, repeated_starts(texts, length)):
-        assert found.tolist() == [len(t) - p >= length and counts[t[p : p + length]] > 1 for p in range(len(t))]
+    expected = [len(t) - p >= length and counts[t[p : p + length]] > 1 for t in texts for p in range(len(t))]
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
+    assert repeated_starts(data, np.array([len(t) for t in texts]), length).tolist() == expected
 
 
 def brute_near(rows, width, percent):
