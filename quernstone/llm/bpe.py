@@ -12,7 +12,7 @@ be encoded apart; each distinct piece is encoded once and kept, up to
 
 Where two merges of one rank overlap, the library takes the one listed first
 and the rank rule the one further left. Pieces that hold such an overlap are
-therefore merged by ``merge_by_rank``.
+therefore merged by ``merge_by_rank``, in the time of a heap of its pairs.
 
 Decoding reverses the byte table. A token may end inside a character; the
 bytes of consecutive tokens are joined before they are read as UTF-8, and what
@@ -20,13 +20,15 @@ is then still broken becomes U+FFFD.
 
 Defined cases: a null text is encoded as an empty one (no ids); rows are
 independent, so null or repeated doc_ids, repeated rows and other columns have
-no influence; an empty table gives an empty result.
+no influence, whatever their names; an empty table gives an empty result; a
+text or a piece of it may be of any length, and is in memory as one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import os
 import re
 from collections.abc import Iterator
@@ -37,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 KEPT_PIECES = 300_000
+LONGEST_KEPT = 1_000  # characters; longer pieces hardly come twice
 #: A space after something else than white space begins a match of the pattern.
 _CUT = re.compile(r"(?<=\S) ")
 _IRREGULAR = re.compile(r"\s ")
@@ -57,12 +60,22 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [ranks[p] for p in parts]
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap = [(ranks[pair], i) for i in range(len(parts) - 1) if (pair := parts[i] + parts[i + 1]) in ranks]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if not parts[i] or j == len(parts) or ranks.get(parts[i] + parts[j]) != rank:
+            continue  # one of the two has been merged meanwhile
+        parts[i], parts[j] = parts[i] + parts[j], b""
+        after[i] = k = after[j]
+        if k < len(parts):
+            before[k] = i
+        for a in (before[i], i):
+            if a >= 0 and after[a] < len(parts) and (found := ranks.get(parts[a] + parts[after[a]])) is not None:
+                heapq.heappush(heap, (found, a))
+    return [ranks[p] for p in parts if p]
 
 
 class Codec:
@@ -126,7 +139,11 @@ class Codec:
         known = {p: self.kept[p] for p in set(pieces) if p in self.kept} if len(self.kept) + len(new) > KEPT_PIECES else {}
         self._learn(new)
         self.kept.update(known)
-        return b"".join(map(self.kept.__getitem__, pieces))
+        ids = b"".join(map(self.kept.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > LONGEST_KEPT:
+                del self.kept[piece]
+        return ids
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
