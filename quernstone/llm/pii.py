@@ -19,7 +19,9 @@ by their kind and generalises terms to ``[TERM]``, or removes both.
 
 Defined cases: null and empty texts have no spans; every row counts as a
 document of its own, with null or repeated doc_ids too; an empty table gives
-an empty result; other columns are ignored.
+an empty result; a text of any length is searched in time that grows with its
+length, as a match is tried only where one can begin; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -45,6 +48,8 @@ _PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOT = re.compile(r"(?<=[0-9])\.(?=[0-9])")
+_DIGITS = frozenset("0123456789")
 _NEEDED = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _WORD = re.compile(r"\S+")
@@ -58,7 +63,7 @@ def _luhn(digits: str) -> bool:
 
 def _holds(kind: str, value: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in value.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in value.split(".")))
     if kind == "card":
         digits = _NOT_DIGIT.sub("", value)
         return 14 <= len(digits) <= 19 and _luhn(digits)
@@ -81,6 +86,19 @@ def _emails(text: str) -> Iterator[re.Match]:
         at = text.find("@", max(at + 1, done))
 
 
+def _addresses(text: str) -> Iterator[re.Match]:
+    """The matches of the pattern, tried only at the first digit of a run that a dot and a digit follow, which is where one can begin."""
+    done = 0
+    for dot in _DOT.finditer(text):
+        begin = dot.start()
+        while begin > done and text[begin - 1] in _DIGITS:
+            begin -= 1
+        found = _PATTERNS["ip"].match(text, begin) if begin < dot.start() else None
+        if found:
+            yield found
+            done = found.end()
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     """(start, index of the kind, end) of the base spans, sorted by start and kind."""
     if not text or not _NEEDED.search(text):
@@ -89,6 +107,8 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     for k, kind in enumerate(KINDS):
         if kind == "email":
             found = _emails(text)
+        elif kind == "ip":
+            found = _addresses(text)
         elif kind == "phone" and "+" not in text:
             continue
         else:
@@ -194,7 +214,9 @@ def find_pii(docs: DataFrame, near: int = NEAR, disclosure: float = DISCLOSURE,
             for text, terms, base in zip(batch.column(1), batch.column(2), batch.column(3)):
                 text, wanted, taken = text.as_py(), set(terms.as_py()), [(b["start"], b["end"]) for b in base.as_py()]
                 spans = [m.span() for m in _TERM.finditer(text) if m.group().lower() in wanted]
-                out.append([{"start": s, "kind": "term", "end": e} for s, e in spans if not any(a < e and s < b for a, b in taken)])
+                starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max, initial=0))
+                # Sorted by start, a span that begins before the term's end touches it if one of them ends behind the term's start.
+                out.append([{"start": s, "kind": "term", "end": e} for s, e in spans if reach[bisect_left(starts, e)] <= s])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, spans_type)], [ROW, "terms"])
 
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
