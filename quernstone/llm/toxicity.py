@@ -1,23 +1,37 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over which words a text has, and which first letters (four to
-seven) one, two or three of its different words share. Features are chosen by the likelihood ratio of their
-association with the label, against a limit that rises with the number of
-features tried. Every training text that names a group is paired with texts
-that name other groups instead; the loss adds ``FAIRNESS`` times the squared
-differences between their scores (log-odds), so that the name of a group
-alone moves the score little and neutral mentions are not taken for toxic.
+seven) one, two or three of its different words share. First letters stand for
+stems: inflected and compound forms of one word share them, and a form that no
+labelled row has is still met. Features are chosen by the likelihood ratio of
+their association with the label, against a limit that rises with the number
+of features tried.
+
+Terms that may be exchanged for each other are stated (``IDENTITY_TERMS``,
+names of groups in four languages) and learned: common words (in at least
+``COMMON`` of the labelled texts) whose association with the label is within
+chance, put together where the common words before and behind them are the
+same (cosine of the counts of at least ``ALIKE``). They are features whether
+associated or not. Every mention in a labelled text is exchanged, a stated
+term for each other one of its set, a learned one for one of its set that a
+hash of the text picks; the loss adds ``FAIRNESS`` times the mean squared
+difference that this makes to the score (log-odds), so that which of the
+terms a text has moves the score little, and neutral mentions are not taken
+for toxic.
 
 Learning takes at most ``MAX_ROWS`` labelled rows, those with the least hashes
-of doc_id; their ids (a bounded number) are broadcast to find their texts.
-At most ``MAX_FEATURES`` features and ``MAX_ROWS`` short lists of them come to
-the driver, which fits the weights. Every whole text is scored.
+of doc_id, and one text for each, which are kept in the checkpoint folder;
+their ids (a bounded number) are broadcast to find the texts. Features, their
+lists for these rows, and exchanges (counted by what they change) come to the
+driver, which fits the weights. Every whole text is scored.
 
 Defined cases: null and empty texts have no features and get the score of the
 intercept alone; null labels are not learned from, of several labels for a
-document the highest counts; a null doc_id is never held out nor learned
-from; without any usable label every score is 0; an empty table gives an empty
-result; repeated rows are scored alike; other columns are ignored.
+document the highest counts, and of several texts under one doc_id the one
+with the least hash; a null doc_id is never held out nor learned from; without
+any usable label every score is 0; an empty table gives an empty result; very
+long texts are one row of a task, their different words in memory; repeated
+rows are scored alike; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,22 +40,25 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .frames import cut
 from .language_id import held_out
 
 MAX_ROWS = 40_000
-MAX_FEATURES = 4_000
+COMMON = 0.05
+ALIKE = 0.9
 FAIRNESS = 1.0
 RIDGE = 1e-4
 STEPS = 300
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
-#: Names of groups that are exchanged for each other, set by set.
+# Names of groups that are exchanged for each other, set by set.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -52,6 +69,15 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("immigrants", "refugees", "natives", "citizens"),
     ("old", "young"),
     ("disabled", "deaf", "blind"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "réfugiés", "citoyens"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("einwanderer", "flüchtlinge", "bürger"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "ciudadanos"),
 )
 
 
@@ -65,14 +91,14 @@ def features(text: str | None) -> set[str]:
     return found
 
 
-def counterfactuals(found: set[str], identity: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Iterator[set[str]]:
-    """The features of the text with each group name exchanged for each other one of its set."""
-    words = {f for f in found if "^" not in f}
+def counterfactuals(words: set[str], identity: Sequence[Sequence[str]], learned: dict[str, Sequence[str]], draw: int) -> Iterator[tuple[str, str]]:
+    """The exchanges (out, in) of the terms among the words: stated ones for each other one, learned ones for one that ``draw`` picks."""
     for names in identity:
-        for name in words.intersection(names):
-            for other in names:
-                if other != name:
-                    yield features(" ".join(words - {name} | {other}))
+        for name in sorted(words.intersection(names)):
+            yield from ((name, other) for other in names if other != name)
+    for name in sorted(words.intersection(learned)):
+        others = [x for x in learned[name] if x != name]
+        yield name, others[(draw + crc32(name.encode())) % len(others)]
 
 
 class Model:
@@ -97,11 +123,12 @@ def _training_rows(docs: DataFrame, labels: DataFrame, learnable: Column, max_ro
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & learnable)
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    one = F.min_by("text", F.struct(F.xxhash64("text").alias("h"), "text")).alias("text")
+    return cut(texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(one).select("text", "toxic"))
 
 
-def _chosen(rows: DataFrame, max_features: int) -> list[str]:
-    """Features whose association with the label is beyond what chance gives the best of so many."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """``feature, n, t``: in how many texts, and toxic texts, each feature is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, toxic = Counter(), Counter()
@@ -114,7 +141,7 @@ def _chosen(rows: DataFrame, max_features: int) -> list[str]:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
                 found = features(text.as_py())
                 every.update(found)
-                if label:
+                if label > 0:
                     toxic.update(found)
                 if len(every) > 200_000:
                     yield counted()
@@ -122,73 +149,129 @@ def _chosen(rows: DataFrame, max_features: int) -> list[str]:
                     toxic.clear()
         yield counted()
 
+    return cut(rows.mapInArrow(run, "feature string, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+
+
+def choose(rows: DataFrame, common: float = COMMON) -> tuple[list[str], list[str]]:
+    """Features whose association with the label is beyond what chance gives the best of so many, and common words for which it is not."""
     n, t = rows.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
     if not n or not t or t == n:
-        return []
-    partial = rows.mapInArrow(run, "feature string, n long, t long")
-    tried = partial.agg(F.approx_count_distinct("feature")).first()[0]  # a sketch, which leaves its task as a few bytes
-    counts = partial.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+        return [], []
+    counts = _counts(rows)
     rate = F.lit(t / n)
     part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
     gain = part(F.col("t"), rate) + part(F.col("n") - F.col("t"), 1 - rate)
-    limit = math.log(max(1, tried)) + 3
-    return [r[0] for r in counts.select("feature", gain.alias("gain")).where(F.col("gain") > limit).orderBy(F.desc("gain"), "feature").limit(max_features).collect()]
+    limit = math.log(max(1, counts.count())) + 3
+    rated = counts.withColumn("gain", gain).withColumn("chosen", F.col("gain") > limit)
+    kept = rated.where(F.col("chosen") | ((F.col("n") >= common * n) & ~F.contains("feature", F.lit("^")))).select("feature", "chosen").orderBy(F.desc("gain"), "feature").collect()
+    return [r[0] for r in kept if r[1]], [r[0] for r in kept if not r[1]]
 
 
-def fit(rows: DataFrame, max_features: int = MAX_FEATURES, fairness: float = FAIRNESS, identity: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
-    """A model from ``text, toxic`` rows, which must be few enough for the driver."""
-    names = _chosen(rows, max_features)
-    shared = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+def exchangeable(rows: DataFrame, words: Sequence[str], alike: float = ALIKE) -> list[list[str]]:
+    """Sets of the given words that the same ones of them come before and behind."""
+    shared = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, pairs = shared.value, Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                at = [own.get(w, -1) for w in _WORD.findall((text.as_py() or "").lower())]
+                pairs.update((a, b) for a, b in zip(at, at[1:]) if a >= 0 and b >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], ["a", "b", "n"])
+
+    met = rows.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    context: list[dict[int, float]] = [{} for _ in words]
+    for a, b, n in zip(*(met[c].to_pylist() for c in "abn")):
+        context[a][b] = float(n)
+        context[b][-1 - a] = float(n)
+    size = [math.sqrt(math.fsum(x * x for x in c.values())) for c in context]
+    sets: list[list[int]] = []
+    for i in range(len(words)):
+        if not size[i]:
+            continue
+        for own in sets:
+            first = context[own[0]]
+            if math.fsum(x * first.get(k, 0.0) for k, x in context[i].items()) >= alike * size[i] * size[own[0]]:
+                own.append(i)
+                break
+        else:
+            sets.append([i])
+    return [[words[i] for i in own] for own in sets if len(own) > 1]
+
+
+def _encoded(rows: DataFrame, names: list[str], identity: Sequence[Sequence[str]], learned: list[list[str]]) -> tuple[DataFrame, DataFrame]:
+    """``has, toxic`` of each row, and ``gone, come, n``: how many exchanges take these features away and bring those."""
+    of = {w: own for own in learned for w in own}
+    shared = rows.sparkSession.sparkContext.broadcast(({f: i for i, f in enumerate(names)}, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (own, groups), swaps = shared.value, Counter()
         for batch in batches:
-            has, swapped = [], []
+            has = []
             for text in batch.column(0):
                 found = features(text.as_py())
+                words = {f for f in found if "^" not in f}
                 at = {own[f] for f in found if f in own}
                 has.append(sorted(at))
-                pairs = []
-                for other in counterfactuals(found, identity):
-                    to = {own[f] for f in other if f in own}
+                # An exchange changes the two words, and only first letters of theirs.
+                for out, into in counterfactuals(words, identity, groups, crc32((text.as_py() or "").encode())):
+                    to = {own[f] for f in features(" ".join(words - {out} | {into})) if f in own} if stems(own, out, into) else at - {own.get(out)} | ({own[into]} if into in own else set())
                     if to != at:
-                        # What the exchange takes away, then -1, then what it brings.
-                        pairs.append([*sorted(at - to), -1, *sorted(to - at)])
-                swapped.append(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32()))), batch.column(1)], ["has", "swapped", "toxic"])
-
-    table = rows.mapInArrow(run, "has array<int>, swapped array<array<int>>, toxic int").toArrow()
-    if not table.num_rows:
-        return Model([], np.zeros(0), -700.0)
-    label = (table["toxic"].to_numpy() > 0).astype(float)
-    at = [np.array(x, np.int64) for x in table["has"].to_pylist()]
-    row = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    column = np.concatenate([*at, np.zeros(0, np.int64)])
-    # One row for each exchange: +1 for what it takes away, -1 for what it brings.
-    pair_row, pair_column, pair_sign = [], [], []
-    for k, pair in enumerate(p for pairs in table["swapped"].to_pylist() for p in pairs):
-        cut = pair.index(-1)
-        for f, sign in [*((f, 1.0) for f in pair[:cut]), *((f, -1.0) for f in pair[cut + 1 :])]:
-            pair_row.append(k)
-            pair_column.append(f)
-            pair_sign.append(sign)
-    pair_row, pair_column, pair_sign = np.array(pair_row, np.int64), np.array(pair_column, np.int64), np.array(pair_sign)
-
-    weights, intercept = np.zeros(len(names)), math.log((label.mean() + 1e-9) / (1 - label.mean() + 1e-9))
-    speed = np.zeros(len(names) + 1)  # running sum of squared gradients, one step size for each weight
+                        swaps[tuple(sorted(at - to)), tuple(sorted(to - at))] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32())), batch.column(1), pa.nulls(len(has), pa.list_(pa.int32())), pa.nulls(len(has), pa.list_(pa.int32())), pa.nulls(len(has), pa.int64())], columns)
+        k = len(swaps)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.int32()), pa.array([a for a, _ in swaps], pa.list_(pa.int32())), pa.array([b for _, b in swaps], pa.list_(pa.int32())), pa.array(list(swaps.values()), pa.int64())], columns)
+
+    columns = ["has", "toxic", "gone", "come", "n"]
+    both = cut(rows.mapInArrow(run, "has array<int>, toxic int, gone array<int>, come array<int>, n long"))
+    return both.where("n is null").select("has", "toxic"), both.where("n is not null").groupBy("gone", "come").agg(F.sum("n").alias("n"))
+
+
+def stems(names: dict[str, int], *words: str) -> bool:
+    """Whether first letters of one of the words are a feature."""
+    return any(f"1^{w[:n]}" in names or f"2^{w[:n]}" in names or f"3^{w[:n]}" in names for w in words for n in PREFIXES if len(w) > n)
+
+
+def descend(has: list[list[int]], toxic: np.ndarray, swaps: list[tuple[list[int], list[int], int]], width: int, fairness: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept by gradient steps, each weight with a step size of its own."""
+    label = (toxic > 0).astype(float)
+    row = np.repeat(np.arange(len(has)), [len(x) for x in has])
+    column = np.concatenate([*(np.array(x, np.int64) for x in has), np.zeros(0, np.int64)])
+    # One row for each kind of exchange: +1 for what it takes away, -1 for what it brings.
+    pair_row = np.repeat(np.arange(len(swaps)), [len(a) + len(b) for a, b, _ in swaps])
+    pair_column = np.array([f for a, b, _ in swaps for f in (*a, *b)], np.int64)
+    pair_sign = np.array([s for a, b, _ in swaps for s in (*(1.0 for _ in a), *(-1.0 for _ in b))])
+    times = np.array([n for *_, n in swaps], float)
+    times /= max(1.0, times.sum())
+
+    weights, intercept = np.zeros(width), math.log((label.mean() + 1e-9) / (1 - label.mean() + 1e-9))
+    speed = np.zeros(width + 1)  # running sum of squared gradients
     for _ in range(STEPS):
         z = intercept + np.bincount(row, weights[column], len(label))
         error = (1 / (1 + np.exp(-z)) - label) / len(label)
-        gradient = np.bincount(column, error[row], len(names)) + RIDGE * weights
-        if len(pair_row):
-            pairs = int(pair_row[-1]) + 1
-            apart = np.bincount(pair_row, pair_sign * weights[pair_column], pairs) / pairs
-            gradient += 2 * fairness * np.bincount(pair_column, pair_sign * apart[pair_row], len(names))
+        gradient = np.bincount(column, error[row], width) + RIDGE * weights
+        if len(swaps):
+            apart = np.bincount(pair_row, pair_sign * weights[pair_column], len(swaps)) * times
+            gradient += 2 * fairness * np.bincount(pair_column, pair_sign * apart[pair_row], width)
         whole = np.append(gradient, error.sum())
         speed += whole**2
         step = 0.5 * whole / (np.sqrt(speed) + 1e-12)
         weights, intercept = weights - step[:-1], intercept - step[-1]
-    return Model(names, weights, float(intercept))
+    return weights, float(intercept)
+
+
+def fit(rows: DataFrame, fairness: float = FAIRNESS, identity: Sequence[Sequence[str]] = IDENTITY_TERMS, common: float = COMMON) -> Model:
+    """A model from ``text, toxic`` rows, which must be few enough for the driver."""
+    chosen, neutral = choose(rows, common)
+    learned = exchangeable(rows, neutral) if neutral else []
+    terms = {w for own in (*identity, *learned) for w in own}
+    names = chosen + sorted(terms - set(chosen))
+    table, swaps = _encoded(rows, names, identity, learned)
+    table = table.toArrow()
+    if not table.num_rows:
+        return Model([], np.zeros(0), -700.0)
+    weights, intercept = descend(table["has"].to_pylist(), table["toxic"].to_numpy(), [tuple(r) for r in swaps.orderBy("gone", "come").collect()], len(names), fairness)
+    return Model(names, weights, intercept)
 
 
 def score(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
