@@ -53,8 +53,8 @@ LENGTH = 400
 GRAM = 302
 SYMBOL = 7
 GROUP = 4096
-BLOCK_BYTES = 1 << 19
-COLLECTION_BYTES = 1 << 17
+BLOCK_BYTES = 1 << 17
+COLLECTION_BYTES = 1 << 18
 
 
 def _longs(column: pa.Array) -> np.ndarray:

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, decontaminate, language_id, pii, sharding, toxicity
 
@@ -74,6 +76,14 @@ def test_bpe_any_text(reference_encoder, text):
     assert np.frombuffer(ids, "<u4").tolist() == reference_encoder.encode_ordinary(text) and own.decode(ids).decode() == text
 
 
+def test_bpe_of_long_pieces(reference_encoder):
+    own = bpe.codec(PATH, PATTERN)
+    for text in ("a" * 200_000, "0" * 200_000, "ab" * 100_000, "ens" * 50_000, "日本" * 30_000):
+        began = time.time()
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == reference_encoder.encode_ordinary(text)
+        assert time.time() - began < 60 and not any(len(p) > bpe.LONGEST_KEPT for p in own.kept)
+
+
 def brute_code_lengths(train, text, order=3):
     """Bits of the text in each language, straight from the definition; contexts are not pruned."""
     used = sorted({b for t in train.values() for x in t for b in x} | {0})
@@ -205,6 +215,44 @@ def test_pii_reach_is_whole_words():
     assert dict(pii._near(text, pii.base_spans(text), 8)) == {"email:jo.doe@mail.example.com": {"reached", "wholeword" + "z" * 3000}}
 
 
+def test_base_spans_of_long_texts():
+    assert pii.base_spans("x 1.2.3." + "0" * 5000 + "1 y") == [(2, 1, 5009)]
+    assert pii.base_spans("x 1.2.3." + "9" * 5000 + " y") == []
+    began = time.time()
+    for text in ("1" * 1_000_000, "1." * 200_000, "+1(" * 200_000, "a@" * 200_000, "1 " * 200_000):
+        assert not [k for _, k, _ in pii.base_spans(text) if k != 1]
+    assert time.time() - began < 20
+
+
+def test_terms_beside_many_spans(spark):
+    """A term that touches a base span is left out, however many spans there are."""
+    text = " ".join(f"secretname x{i}@secretname.com" for i in range(300))
+    rows = [(i, text) for i in range(2)] + [(10 + i, "nothing here") for i in range(60)]
+    spans = pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").first()["spans"].split(",")
+    terms = [x for x in spans if x.startswith("term")]
+    assert len(terms) == 300 and all(text[int(a) : int(b)] == "secretname" and text[int(b)] == " " for a, b in (x.split(":")[1:] for x in terms))
+
+
+def test_pii_disclosure_is_that_of_its_definition(spark):
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    people = [f"p{i}@mail.example.com" for i in range(6)]
+    texts = [" ".join([*(r.choice(vocab) for _ in range(12)), *([r.choice(people), vocab[0]] if r.random() < 0.4 else []), *(r.choice(vocab) for _ in range(6))]) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    n, near, ne, nt = len(texts), Counter(), Counter(), Counter()
+    for t in texts:
+        words = t.split()
+        nt.update({w for w in re.findall(r"[^\W\d_]{3,}", t.lower())})
+        for p in set(people) & set(words):
+            at = words.index(p)
+            ne[p] += 1
+            near.update({(p, w) for w in words[max(0, at - 8) : at] + words[at + 1 : at + 9]})
+    expected = {("email:" + p, w) for (p, w), k in near.items() if k >= 2 and np.log2(n * k / (ne[p] * nt[w])) / np.log2(n / ne[p]) >= 0.3}
+    holders = docs.where("text like '%@%'")
+    found = {(x["entity"], x["term"]) for x in pii.revealing_terms(docs, holders, disclosure=0.3).collect()}
+    assert found == expected and expected
+
+
 def test_pii_empty(empty):
     assert pii.pii_report(empty).count() == 0
 
@@ -231,7 +279,7 @@ def test_toxicity_held_out(spark):
     docs = spark.createDataFrame([*rows, (None, None), (9999, ""), (9998, "neutral words on muslims"), (9997, "vilefoo")], "doc_id long, text string")
     labelled = spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     truth = {i: t for i, _, t in labels}
-    found = {r["doc_id"]: r for r in toxicity.toxicity(docs, labelled, fairness=5.0).collect()}
+    found = {r["doc_id"]: r for r in toxicity.toxicity(docs, labelled).collect()}
     assert len(found) == len(rows) + 4
     out = [(found[i]["predicted"], truth[i]) for i in truth if found[i]["held_out"]]
     assert np.mean([a == b for a, b in out]) > 0.97
@@ -249,6 +297,55 @@ def test_toxicity_on_documents(spark):
     assert hit / max(1, sum(r[1] for r in found)) > 0.9 and hit / max(1, sum(r[0] for r in found)) > 0.9
 
 
+def test_exchanges_act_on_the_given_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity._training_rows(docs, labels, F.lit(True), toxicity.MAX_ROWS)
+    learned = toxicity.exchangeable(rows, toxicity.choose(rows)[1])
+    assert learned and all(len(x) > 1 for x in learned)
+    fair, plain = toxicity.fit(rows), toxicity.fit(rows, fairness=0.0)
+    spread = lambda model: np.mean([np.std([model.weight[w] for w in own]) for own in learned])
+    assert spread(fair) < 0.8 * spread(plain)
+
+
+def test_exchangeable_words_are_those_of_like_contexts(spark):
+    r = random.Random(2)
+    rows = [(f"the {r.choice(['cats', 'dogs'])} like {r.choice(['milk', 'meat'])}", 0) for _ in range(200)]
+    found = toxicity.exchangeable(spark.createDataFrame(rows, "text string, toxic int"), ["the", "cats", "dogs", "like", "milk", "meat"])
+    assert {frozenset(x) for x in found} == {frozenset(["cats", "dogs"]), frozenset(["milk", "meat"])}
+
+
+def test_descent_reaches_the_optimum():
+    """Against gradient steps on dense matrices that are many times as many."""
+    r = np.random.default_rng(4)
+    x = (r.random((200, 6)) < 0.4).astype(float)
+    label = (x[:, 0] + 0.3 * x[:, 1] + r.random(200) > 1.1).astype(float)
+    swaps = [([1], [2], 30), ([3], [4], 10), ([0], [], 1)]
+    pairs, times = np.array([[0, 1, -1, 0, 0, 0], [0, 0, 0, 1, -1, 0], [1, 0, 0, 0, 0, 0]], float), np.array([30, 10, 1]) / 41
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - label * z) + toxicity.RIDGE / 2 * w @ w + np.sum(times * (pairs @ w) ** 2)
+
+    w, b = np.zeros(6), 0.0
+    for _ in range(30_000):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - label) / 200
+        w, b = w - 0.3 * (x.T @ error + toxicity.RIDGE * w + 2 * pairs.T @ (times * (pairs @ w))), b - 0.3 * error.sum()
+    own = toxicity.descend([np.flatnonzero(row).tolist() for row in x], label, swaps, 6, 1.0)
+    assert loss(*own) < loss(w, b) + 2e-3
+    assert abs(own[0][1] - own[0][2]) < 0.1 * abs(toxicity.descend([np.flatnonzero(row).tolist() for row in x], label, swaps, 6, 0.0)[0][1])
+
+
+def test_toxicity_of_repeated_rows(spark):
+    """A labelled id with many texts gives one row to learn from, and clashing columns do no harm."""
+    rows, labels = toxic_rows(200)
+    docs = spark.createDataFrame([(*x, 0.5, True) for x in rows + [(5, f"again {i}") for i in range(300)]], "doc_id long, text string, score double, held_out boolean")
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity._training_rows(docs, labelled, F.lit(True), 150).count() == 150
+    found = toxicity.toxicity(docs, labelled)
+    assert found.count() == 500 and found.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
 def test_toxicity_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(docs, none).collect()} == {0}
