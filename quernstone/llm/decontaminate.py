@@ -2,18 +2,24 @@ r"""Benchmark decontamination with a broadcast set of item windows, in DataFrame
 
 Words are the runs of letters, digits and non-ASCII characters of the text
 with A-Z lower-cased. Every run of ``n`` consecutive item words is a window
-(an item of fewer words is one window). The windows' hashes are broadcast if
-they are few enough, the hash of every run of document words is probed, and
-each probe that meets a hash is compared with the item's words themselves.
-
-The benchmark does not grow with the corpus; its windows are counted, and
-above ``broadcast_windows`` the probe is an ordinary shuffled join instead.
+(an item of fewer words is one window). The distinct windows are numbered and
+broadcast if their bytes are few enough; every word of a document is hashed
+once, the hashes of runs of words are put together from those of runs of half
+the length, each is probed, and each probe that meets a window is compared
+with the window's words themselves.
+
+The benchmark does not grow with the corpus; still its windows' bytes are
+counted, and above ``BROADCAST_BYTES`` the probe is an ordinary shuffled join.
+Items are looked up by the number of the window after the hits are told apart,
+so that a window of many items is one row. Texts are not shuffled: what may be
+hit is brought to them, broadcast under the same limit.
 
 Defined cases: null and empty texts have no words and no hits; an empty
 benchmark hits nothing; repeated items are separate items; rows with a null or
 repeated doc_id are judged each on its own; items without words and items with
 a null id and no words hit nothing, a null item_id is left out of the list of
-ids; other columns are ignored.
+ids; of a very long text only the words and their hashes are held; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .frames import ROW, cut, keep_rows, keyed
 
 WINDOW_WORDS = 10
-BROADCAST_WINDOWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP, _ANY_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -36,48 +42,78 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0))
 
 
-def _runs(length: int) -> Column:
-    """Start and hash of every run of ``length`` words of the column ``words``."""
-    w = F.col("words")
-    starts = F.when(F.size(w) >= length, F.sequence(F.lit(0), F.size(w) - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.xxhash64(F.lit(length), F.slice(w, i + 1, length)).alias("h")))
-
-
-def item_windows(benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
-    """``h, seq, items``: the distinct windows with the sorted ids of their items."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
-    size = F.least(F.size("words"), F.lit(n))
-    starts = F.sequence(F.lit(0), F.size("words") - size)
-    return (
-        items.where(F.size("words") > 0)
-        .select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, size))).alias("seq"))
-        .groupBy("seq")
-        .agg(F.collect_set("item_id").alias("items"))
-        .select(F.xxhash64(F.size("seq"), "seq").alias("h"), "seq", "items")
-    )
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """``_row, doc_id, text, words, hit, items`` for the rows of a ``keyed`` frame: ``hit`` lists the positions of hit words."""
-    windows = cut(item_windows(benchmark, n))
-    lengths = sorted(r[0] for r in windows.select(F.size("seq")).distinct().collect())  # n values at most
-    few = windows.count() <= broadcast_windows
-    probe = docs.select(ROW, words(F.coalesce("text", F.lit(""))).alias("words"))
-    runs = F.concat(*[_runs(k) for k in lengths]) if lengths else F.array().cast("array<struct<start:int,h:bigint>>")
-    probes = probe.select(ROW, F.explode(runs).alias("run")).select(ROW, "run.start", "run.h")
-    found = (
-        probes.join(F.broadcast(windows) if few else windows, "h")
-        .groupBy(ROW)
-        .agg(F.collect_list(F.struct("start", "seq", "items")).alias("found"))
-    )
-    true = F.filter(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), lambda c: F.slice("words", c.start + 1, F.size(c.seq)) == c.seq)
+def with_runs(df: DataFrame, words: str, lengths: list[int]) -> DataFrame:
+    """``df`` with a column ``run<k>`` for each length k (and those it is made of): the hash of every run of k words."""
+    made: set[int] = set()
+
+    def parts(k: int) -> tuple[int, int]:
+        half = 1 << (k - 1).bit_length() - 1
+        return half, k - half
+
+    def need(k: int) -> None:
+        made.add(k)
+        for part in parts(k) if k > 1 else ():
+            need(part)
+
+    for k in lengths:
+        need(k)
+    for k in sorted(made):  # columns of their own, so that none is worked out twice
+        if k == 1:
+            run = F.transform(words, lambda w: F.xxhash64(w))
+        else:
+            half, rest = parts(k)
+            many = F.greatest(F.size(words) - k + 1, F.lit(0))
+            run = F.zip_with(F.slice(f"run{half}", F.lit(1), many), F.slice(f"run{rest}", F.lit(half + 1), many), lambda x, y: F.xxhash64(x, y))
+        df = df.withColumn(f"run{k}", run)
+    return df
+
+
+def _size(words: str, n: int) -> Column:
+    return F.least(F.size(words), F.lit(n))
+
+
+def item_windows(benchmark: DataFrame, n: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``w, k, h, seq``: the distinct windows of ``k`` words, numbered; and ``w, item_id``: the items that have them."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(0), F.size("words") - _size("words", n))
+    found = cut(items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, _size("words", n)))).alias("seq")).distinct())
+    distinct = cut(found.select("seq").distinct()).select(F.monotonically_increasing_id().alias("w"), F.size("seq").alias("k"), "seq")
+    # A short item's only window has the hash of a run of all its words.
+    lengths = sorted(r[0] for r in distinct.select("k").distinct().collect())  # n values at most
+    h = F.coalesce(*[F.when(F.col("k") == k, F.get(f"run{k}", 0)) for k in lengths], F.lit(None).cast("long"))
+    windows = cut(with_runs(distinct, "seq", lengths).select("w", "k", h.alias("h"), "seq"))
+    return windows, cut(found.join(windows, "seq").select("w", "item_id"))
+
+
+def _broadcast(df: DataFrame, bytes_: Column, most: int) -> DataFrame:
+    """``df``, to be broadcast if it has no more than ``most`` bytes."""
+    held = df.agg(F.sum(bytes_)).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``_row, doc_id, text, n_words, hit, items`` for the rows of a ``keyed`` frame: ``hit`` lists the positions of hit words."""
+    windows, members = item_windows(benchmark, n)
+    lengths = sorted(r[0] for r in windows.select("k").distinct().collect())  # n values at most
+    near = _broadcast(windows.select("w", "h"), F.lit(32), broadcast_bytes)
+    probe = with_runs(docs.select(ROW, words(F.coalesce("text", F.lit(""))).alias("words")), "words", lengths)
+    runs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"run{k}").alias("hs")) for k in lengths]) if lengths else F.array().cast("array<struct<k:int,hs:array<bigint>>>")
+    probes = probe.select(ROW, F.explode(runs).alias("run")).select(ROW, "run.k", F.posexplode("run.hs").alias("start", "h"))
+    found = cut(probes.select(ROW, "start", "h").join(near.select("w", "h"), "h").select(ROW, "start", "w"))
+
+    # The words that may be hit, compared with the windows' own.
+    sequences = _broadcast(windows.select("w", "seq"), F.length(F.array_join("seq", " ")) + 24 * F.size("seq"), broadcast_bytes)
+    listed = found.join(sequences, "w").groupBy(ROW).agg(F.collect_list(F.struct("start", "w", "seq")).alias("found"))
+    listed = _broadcast(cut(listed), F.aggregate("found", F.lit(0), lambda a, c: a + 32 + 24 * F.size(c.seq) + F.length(F.array_join(c.seq, " "))), broadcast_bytes)
+    told = docs.withColumn("words", words(F.coalesce("text", F.lit("")))).join(listed, ROW, "left")
+    true = F.filter(F.coalesce("found", F.array().cast(listed.schema["found"].dataType)), lambda c: F.slice("words", c.start + 1, F.size(c.seq)) == c.seq)
     covered = F.array_distinct(F.flatten(F.transform("true", lambda c: F.sequence(c.start, c.start + F.size(c.seq) - 1))))
-    return (
-        docs.join(found, ROW, "left")
-        .withColumn("words", words(F.coalesce("text", F.lit(""))))
-        .select(ROW, "doc_id", "text", "words", true.alias("true"))
-        .select(ROW, "doc_id", "text", F.size("words").alias("n_words"), covered.alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda c: c["items"])))).alias("items"))
-    )
+    told = told.select(ROW, "doc_id", "text", F.size("words").alias("n_words"), true.alias("true")).select(ROW, "doc_id", "text", "n_words", covered.alias("hit"))
+
+    rows_hit = docs.join(listed, ROW).withColumn("words", words("text")).select(ROW, true.alias("true")).select(ROW, F.explode(F.array_distinct(F.transform("true", lambda c: c.w))).alias("w"))
+    items = rows_hit.join(members, "w").groupBy(ROW).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = _broadcast(cut(items), F.length(F.array_join("items", ",")) + 24 * F.size("items") + 32, broadcast_bytes)
+    return told.join(items, ROW, "left").select(ROW, "doc_id", "text", "n_words", "hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
