@@ -22,13 +22,16 @@ three pivots of the band: the one that shares bands with the most others, the
 least, and one more; this links nearly all groups. Then only members of
 different components can add to the result: those outside the band's largest
 component are compared with all of the band, each pair in the first band that
-it shares.
+it shares. A band with many of them is dealt out: they go to one part each, of
+at most about ``PART_ROWS``, and all of the band goes to every part, so that no
+task has a whole band to compare.
 
 Defined cases: null and empty texts have empty sets and are linked with
 nothing; of fewer words than a shingle the whole sequence is the one shingle;
 rows with null or repeated doc_ids are documents of their own (null doc_ids
 sort last; a group of null doc_ids only has a null component_id); an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; very long texts are sliced on their own, their set
+in memory; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,6 +52,7 @@ SAMPLES, ROWS = 200, 5
 SKETCH_LONGS = 16
 DEVIATIONS = 6.0
 SLICE_BYTES = 1 << 20
+PART_ROWS = 512
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -191,9 +195,12 @@ def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRE
     mixed = cut(sizes.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("count", "component")).alias("main")).where("kinds > 1").select("band", "main"))
     if not mixed.isEmpty():
         open_rows = cut(labelled.join(mixed, "band").join(heads.select(ROW, "n", "sketch", "odd", "bands"), ROW))
-        x, y = open_rows.where("component <> main").alias("x"), open_rows.alias("y")
+        outside = open_rows.where("component <> main").groupBy("band").agg((F.count("*") / PART_ROWS).cast("int").alias("last"))
+        open_rows = open_rows.join(cut(outside), "band")
+        x = open_rows.where("component <> main").withColumn("part", F.pmod(F.xxhash64(ROW), F.col("last") + 1).cast("int")).alias("x")
+        y = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), "last"))).alias("y")
         first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.array_position("x.bands", F.col("x.band"))
-        rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & _likely("x", "y", percent) & first_shared)
+        rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & _likely("x", "y", percent) & first_shared)
         rest = cut(rest.select(F.least(f"x.{ROW}", f"y.{ROW}").alias("a"), F.greatest(f"x.{ROW}", f"y.{ROW}").alias("b")).distinct())
         more = cut(_confirmed(rest, docs, width, percent))
         if not more.isEmpty():
