@@ -13,24 +13,32 @@ by doc_id.
 
 Law: ``bytes``; shard sizes differ by no more than a row, or by ``slack``.
 
-Only the sample and the ranges' totals come to the driver: ``per_range`` keys
-and one row for each range, whose number is the input's size over
-``range_bytes``.
+Only the sample and the ranges' totals come to the driver: about PER_RANGE
+keys and one row for each range. Ranges are as many as the input's size over
+``range_bytes``, and MOST_RANGES at most: what is sorted in a range is a few
+numbers for each document, not its text. The splitters are broadcast, and
+found by binary search.
 
 Defined cases: null text has size 1 and the crc32 of the empty string; rows
 with null or repeated doc_ids are placed one by one (nulls first); an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; a text of any length is one row, which no shard
+divides; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .frames import ROW, cut, keyed
 
 RANGE_BYTES = 128 << 20
-LEAST_RANGES = 64
+LEAST_RANGES, MOST_RANGES = 64, 16_384
+ATTEMPTS = 6
 PER_RANGE = 32
 OVERFULL = 2.0
 SLACK = 0.005
@@ -38,15 +46,30 @@ SLACK = 0.005
 Key = tuple[int, int, int]
 
 
-def _range_of(splitters: list[Key], low: int = 0, high: int | None = None) -> Column:
-    """The number of splitters at or below the key, by a binary decision over their sorted list."""
-    high = len(splitters) if high is None else high
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    h, d, r = splitters[mid]
-    below = (F.col("key") < h) | ((F.col("key") == h) & ((F.col("doc_key") < d) | ((F.col("doc_key") == d) & (F.col(ROW) < r))))
-    return F.when(below, _range_of(splitters, low, mid)).otherwise(_range_of(splitters, mid + 1, high))
+def ranks(columns: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
+    """For each row of ``columns``, how many of the sorted splitters are at or below it, compared column by column."""
+    low, high = (np.searchsorted(splitters[0], columns[0], side) for side in ("left", "right"))
+    if len(columns) == 1:
+        return high
+    out, tied = low.copy(), np.flatnonzero(high > low)
+    for value in np.unique(columns[0][tied]):
+        own = tied[columns[0][tied] == value]
+        a, b = low[own[0]], high[own[0]]
+        out[own] = a + ranks([c[own] for c in columns[1:]], [x[a:b] for x in splitters[1:]])
+    return out
+
+
+def _dealt(rows: DataFrame, splitters: list[Key]) -> DataFrame:
+    """``rows`` with the number of their ``range``."""
+    shared = rows.sparkSession.sparkContext.broadcast([np.array(c, np.int64) for c in zip(*splitters)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_key", ROW)]
+            at = ranks(own, shared.value) if shared.value else np.zeros(batch.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "range"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", range int")
 
 
 def _sampled(rows: DataFrame, chance: Column, salt: int) -> list[Key]:
@@ -76,10 +99,10 @@ def placed(docs: DataFrame, shards: int, range_bytes: int = RANGE_BYTES, least_r
     )
     rows = cut(rows)
     total = rows.agg(F.sum("size")).first()[0] or 0
-    parts = max(least_ranges, -(-total // range_bytes))
+    parts = min(MOST_RANGES, max(least_ranges, -(-total // range_bytes)))
     splitters = _boundaries(_sampled(rows, F.col("size") * (parts * PER_RANGE / max(total, 1)), 0), parts)
-    for attempt in range(1, 4):
-        dealt = rows.withColumn("range", _range_of(splitters))
+    for attempt in range(1, ATTEMPTS + 1):
+        dealt = _dealt(rows, splitters)
         sums = {r["range"]: r["s"] for r in dealt.groupBy("range").agg(F.sum("size").alias("s")).collect()}
         full = {k: s for k, s in sums.items() if s > OVERFULL * total / parts}
         if not full:
@@ -97,7 +120,7 @@ def placed(docs: DataFrame, shards: int, range_bytes: int = RANGE_BYTES, least_r
 
     order = Window.partitionBy("range").orderBy("key", "doc_key", ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("range", "key")
-    ranged = rows.withColumn("range", _range_of(splitters)).repartition(max(1, len(splitters) + 1), "range")
+    ranged = _dealt(rows, splitters).repartition(max(1, len(splitters) + 1), "range")
     totals = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("range").collect()
     offsets, before, index = [], 0, 0
     for r in totals:
