@@ -291,7 +291,8 @@ def _kept_bytes(docs: DataFrame, length: int) -> DataFrame:
 def repeated_runs(texts: DataFrame, length: int, gram: int, group: int = GROUP) -> DataFrame:
     """``_row, start, n``: runs of ``n`` windows from ``start`` on that are repeated, of the rows ``_row, text``."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = stored(stretches(texts, length, gram).join(shared_grams(texts, length, gram), "h", "left_semi"))
+    grams = stored(shared_grams(texts, length, gram))  # a table, so that the join deals both sides anew and can split a hot gram
+    shared = stored(stretches(texts, length, gram).join(grams, "h", "left_semi"))
     place = F.struct(ROW, "start", "n", "at")
     classes = shared.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     members = F.when(F.col("first") == F.col("last"), F.array(F.struct(F.lit(True).alias("first"), F.col("first").alias("p")))).otherwise(
