@@ -23,10 +23,12 @@ _REPEATABLE = re.compile(r"^(Relation|LogicalRelation|LogicalRDD|LocalRelation|P
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoint() at ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """Point checkpoint() at ``spark.checkpoint.dir``; a temporary folder only where that is unset and all of Spark is one process (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,8 +46,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def repeatable(df: DataFrame) -> bool:
-    """True if another run of ``df`` gives the same rows in the same partitions."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    """True if another run of ``df`` gives the same rows in the same partitions: narrow steps over stored or checkpointed rows."""
+    optimized = df._jdf.queryExecution().optimizedPlan()
+    plan = optimized.toString()
+    leaves = optimized.collectLeaves()
+    made = [leaves.apply(i) for i in range(leaves.size())]
+    if any(leaf.nodeName() == "LogicalRDD" and not leaf.rdd().isCheckpointed() for leaf in made):
+        return False
     return all(_REPEATABLE.match(line.lstrip(" :+-")) for line in plan.splitlines() if line.strip())
 
 

@@ -1,6 +1,7 @@
 """Dedup operators against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -156,6 +157,18 @@ def test_near_dedup_of_a_chain(spark):
     assert found == {(r[0], r[2]) for r in brute_near(rows, 4, 80)}
 
 
+def test_near_dedup_of_a_band_without_links(spark, monkeypatch):
+    """Many texts share half of their words, and bands, and few are alike enough; the band is dealt out in parts."""
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 8)
+    r = random.Random(6)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"x{i}_{j}" for j in range(r.randint(10, 30))])) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {tuple(r) for r in near_dedup.near_dedup(docs, 4).select("doc_id", "component_id").collect()}
+    assert found == {(r[0], r[2]) for r in brute_near(rows, 4, 80)} and len({c for _, c in found}) == 120
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (5, 5), (7, 8), (8, 9), (9, 3), (20, 21), (21, 22), (22, 23), (23, 24)]
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())

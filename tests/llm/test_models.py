@@ -377,7 +377,7 @@ def test_decontamination(spark, docs, rows):
         expected[r[0], len(w), len(hit), len(ids), ",".join(sorted(ids)), bool(hit)] += 1
     found = decontaminate.decontaminate(docs, benchmark)
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["item_ids"]), r["contaminated"]) for r in found.collect()) == expected
-    joined = decontaminate.contamination(decontaminate.keyed(docs), benchmark, broadcast_windows=0)
+    joined = decontaminate.contamination(decontaminate.keyed(docs), benchmark, broadcast_bytes=0)
     assert joined.where("size(hit) > 0").count() == sum(n for k, n in expected.items() if k[5])
     left = decontaminate.remove_hit_documents(docs, benchmark)
     assert left.columns == docs.columns and left.count() == sum(n for k, n in expected.items() if not k[5])
@@ -415,6 +415,20 @@ def test_sharding_divides_a_hot_group(spark):
     assert len({r["shard"] for r in found if r["size"] == 10}) > 2
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(-3, 3)] * 3), max_size=40), st.lists(st.tuples(*[st.integers(-3, 3)] * 3), max_size=12))
+def test_sharding_ranks(rows, splitters):
+    splitters = sorted(set(splitters))
+    if rows and splitters:
+        found = sharding.ranks([np.array(c) for c in zip(*rows)], [np.array(c) for c in zip(*splitters)])
+        assert found.tolist() == [sum(s <= r for s in splitters) for r in rows]
+
+
+def test_sharding_divides_overfull_ranges(docs, rows):
+    found = sharding.shard(docs, 8, range_bytes=2000, least_ranges=2).collect()
+    check_shards(found, rows, 8, sharding.SLACK)
+
+
 def test_sharding_empty(empty):
     assert sharding.shard(empty).count() == 0
 
