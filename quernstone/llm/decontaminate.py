@@ -3,10 +3,9 @@ r"""Benchmark decontamination with a broadcast set of item windows, in DataFrame
 Words are the runs of letters, digits and non-ASCII characters of the text
 with A-Z lower-cased. Every run of ``n`` consecutive item words is a window
 (an item of fewer words is one window). The distinct windows are numbered and
-broadcast if their bytes are few enough; every word of a document is hashed
-once, the hashes of runs of words are put together from those of runs of half
-the length, each is probed, and each probe that meets a window is compared
-with the window's words themselves.
+broadcast if their bytes are few enough; the hash of every run of document
+words is probed, and each probe that meets a window is compared with the
+window's words themselves.
 
 The benchmark does not grow with the corpus; still its windows' bytes are
 counted, and above ``BROADCAST_BYTES`` the probe is an ordinary shuffled join.
@@ -18,7 +17,7 @@ Defined cases: null and empty texts have no words and no hits; an empty
 benchmark hits nothing; repeated items are separate items; rows with a null or
 repeated doc_id are judged each on its own; items without words and items with
 a null id and no words hit nothing, a null item_id is left out of the list of
-ids; of a very long text only the words and their hashes are held; other
+ids; a very long text's words and runs are held as one row; other
 columns are ignored, whatever their names.
 """
 
@@ -31,41 +30,21 @@ from .frames import ROW, cut, keep_rows, keyed
 WINDOW_WORDS = 10
 BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 _GAP, _ANY_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Normalised words; null for a null text."""
-    ascii_only = F.length(text) == F.octet_length(text)
-    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0))
+    spaced = F.translate(text, _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def with_runs(df: DataFrame, words: str, lengths: list[int]) -> DataFrame:
-    """``df`` with a column ``run<k>`` for each length k (and those it is made of): the hash of every run of k words."""
-    made: set[int] = set()
-
-    def parts(k: int) -> tuple[int, int]:
-        half = 1 << (k - 1).bit_length() - 1
-        return half, k - half
-
-    def need(k: int) -> None:
-        made.add(k)
-        for part in parts(k) if k > 1 else ():
-            need(part)
-
-    for k in lengths:
-        need(k)
-    for k in sorted(made):  # columns of their own, so that none is worked out twice
-        if k == 1:
-            run = F.transform(words, lambda w: F.xxhash64(w))
-        else:
-            half, rest = parts(k)
-            many = F.greatest(F.size(words) - k + 1, F.lit(0))
-            run = F.zip_with(F.slice(f"run{half}", F.lit(1), many), F.slice(f"run{rest}", F.lit(half + 1), many), lambda x, y: F.xxhash64(x, y))
-        df = df.withColumn(f"run{k}", run)
-    return df
+def _runs(length: int) -> Column:
+    """Start and hash of every run of ``length`` words of the column ``words``."""
+    w = F.col("words")
+    starts = F.when(F.size(w) >= length, F.sequence(F.lit(0), F.size(w) - length)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.xxhash64(F.lit(length), F.slice(w, i + 1, length)).alias("h")))
 
 
 def _size(words: str, n: int) -> Column:
@@ -78,10 +57,7 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW_WORDS) -> tuple[DataFrame
     starts = F.sequence(F.lit(0), F.size("words") - _size("words", n))
     found = cut(items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, _size("words", n)))).alias("seq")).distinct())
     distinct = cut(found.select("seq").distinct()).select(F.monotonically_increasing_id().alias("w"), F.size("seq").alias("k"), "seq")
-    # A short item's only window has the hash of a run of all its words.
-    lengths = sorted(r[0] for r in distinct.select("k").distinct().collect())  # n values at most
-    h = F.coalesce(*[F.when(F.col("k") == k, F.get(f"run{k}", 0)) for k in lengths], F.lit(None).cast("long"))
-    windows = cut(with_runs(distinct, "seq", lengths).select("w", "k", h.alias("h"), "seq"))
+    windows = cut(distinct.select("w", "k", F.xxhash64(F.col("k"), "seq").alias("h"), "seq"))
     return windows, cut(found.join(windows, "seq").select("w", "item_id"))
 
 
@@ -96,10 +72,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     windows, members = item_windows(benchmark, n)
     lengths = sorted(r[0] for r in windows.select("k").distinct().collect())  # n values at most
     near = _broadcast(windows.select("w", "h"), F.lit(32), broadcast_bytes)
-    probe = with_runs(docs.select(ROW, words(F.coalesce("text", F.lit(""))).alias("words")), "words", lengths)
-    runs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"run{k}").alias("hs")) for k in lengths]) if lengths else F.array().cast("array<struct<k:int,hs:array<bigint>>>")
-    probes = probe.select(ROW, F.explode(runs).alias("run")).select(ROW, "run.k", F.posexplode("run.hs").alias("start", "h"))
-    found = cut(probes.select(ROW, "start", "h").join(near.select("w", "h"), "h").select(ROW, "start", "w"))
+    probe = docs.select(ROW, words(F.coalesce("text", F.lit(""))).alias("words"))
+    runs = F.concat(*[_runs(k) for k in lengths]) if lengths else F.array().cast("array<struct<start:int,h:bigint>>")
+    probes = probe.select(ROW, F.explode(runs).alias("run")).select(ROW, "run.start", "run.h")
+    found = cut(probes.join(near.select("w", "h"), "h").select(ROW, "start", "w"))
 
     # The words that may be hit, compared with the windows' own.
     sequences = _broadcast(windows.select("w", "seq"), F.length(F.array_join("seq", " ")) + 24 * F.size("seq"), broadcast_bytes)
