@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import unit_key
+
 
 def compare_and_set(base: DataFrame, patches: DataFrame, key: Sequence[str], column: str, guard=lambda c: c) -> tuple[DataFrame, DataFrame]:
     """Set ``column`` to ``to`` where it still reads ``from``.
@@ -140,3 +142,64 @@ def price_tiers(items: DataFrame, key: Sequence[str], models: str, cost: str, qu
     plain = F.max(F.when(~F.col(qualified), F.col(cost)))
     least, most = (f(F.when(F.col(qualified), F.col(cost))) for f in (F.min, F.max))
     return items.groupBy(*key, models).agg(plain.alias("_plain"), least.alias("_least"), most.alias("_most")).select(*key, models, F.coalesce("_plain", F.when(F.col("_least") == F.col("_most"), F.col("_least"))).alias(cost)).where(F.col(cost).isNotNull())
+
+
+def price_lookup(listed: DataFrame, units: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``list_id, how, unit_id``: the units that a listed name means, by its name, its alias, or its singular if one name has it.
+
+    ``listed``: list_id, faction, name. ``units``: unit_id, faction, name; all units of a name are meant.
+    ``aliases``: alias, name.
+    """
+    own = units.select("unit_id", "faction", F.lower(F.trim("name")).alias("unit"))
+    names = own.select("faction", "unit").distinct()
+    single = names.groupBy("faction", unit_key(F.col("unit")).alias("single")).agg(F.min("unit").alias("by_single"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    wanted = listed.select("list_id", "faction", F.lower(F.trim("name")).alias("key")).withColumn("single", unit_key(F.col("key")))
+    alias = aliases.select(F.lower(F.trim("alias")).alias("key"), F.lower(F.trim("name")).alias("unit")).join(names, "unit").select("faction", "key", F.col("unit").alias("by_alias")).distinct()
+    met = (
+        wanted.join(names.select("faction", F.col("unit").alias("key"), F.col("unit").alias("by_name")), ["faction", "key"], "left")
+        .join(alias, ["faction", "key"], "left")
+        .join(single, ["faction", "single"], "left")
+    )
+    how = F.when(F.col("by_name").isNotNull(), "exact").when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_single").isNotNull(), "singular").otherwise("none")
+    told = met.select("list_id", "faction", how.alias("how"), F.coalesce("by_name", "by_alias", "by_single").alias("unit"))
+    return told.join(own, ["faction", "unit"], "left").select("list_id", "how", "unit_id")
+
+
+def merged_tiers(items: Column, listed: Column) -> Column:
+    """Price items ``array<struct<models, cost>>`` with the listed costs: matching ones updated, missing ones added."""
+    has = F.map_from_entries(listed)
+    updated = F.transform(items, lambda i: F.struct(i["models"].alias("models"), F.coalesce(F.try_element_at(has, i["models"]), i["cost"]).alias("cost")))
+    known = F.transform(items, lambda i: i["models"])
+    return F.concat(updated, F.filter(listed, lambda i: ~F.array_contains(known, i["models"])))
+
+
+def imported(rows: DataFrame, key: str, renames: dict[str, str] | None = None) -> DataFrame:
+    """The rows that have a key, under their new names."""
+    return rows.where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != "")).withColumnsRenamed(renames or {})
+
+
+def import_counts(rows: DataFrame, key: str) -> DataFrame:
+    """``kept, skipped``: rows with and without a key."""
+    has = F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != "")
+    return rows.agg(F.count_if(has).alias("kept"), F.count_if(~has).alias("skipped"))
+
+
+def priced(ids: DataFrame, units: DataFrame, items: DataFrame) -> DataFrame:
+    """``unit_id, points, options, note`` of every id asked for: its least price, how many prices it has, or why it has none.
+
+    ``units``: unit_id. ``items``: unit_id, cost.
+    """
+    least = items.groupBy("unit_id").agg(F.min("cost").alias("points"), F.countDistinct("cost").alias("options"))
+    met = ids.join(units.select("unit_id", F.lit(True).alias("_known")), "unit_id", "left").join(least, "unit_id", "left")
+    note = F.when(F.col("_known").isNull(), "unknown unit").when(F.col("points").isNull(), "no price").otherwise("")
+    return met.select("unit_id", "points", F.coalesce("options", F.lit(0).cast("bigint")).alias("options"), note.alias("note"))
+
+
+def guarded_writes(pages: DataFrame, registered: DataFrame) -> DataFrame:
+    """``page, status``: official pages and those a person has edited (their hash is not the registered one) stay, others are written.
+
+    ``pages``: page, sha256, official. ``registered``: page, sha256.
+    """
+    met = pages.join(registered.select("page", F.col("sha256").alias("_own")), "page", "left")
+    status = F.when(F.col("official"), "official").when(F.col("_own").isNull(), "new").when(F.col("_own") != F.col("sha256"), "edited").otherwise("write")
+    return met.select("page", status.alias("status"))

@@ -29,6 +29,30 @@ def lint(rules: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [found.select(F.lit(rule).alias("rule"), F.col("subject").cast("string").alias("subject")) for rule, found in rules.items()])
 
 
+def layered_summary(results: DataFrame) -> DataFrame:
+    """One row: how often retrieval hit and generation was right, generation given a hit, and where answers failed.
+
+    ``results``: retrieval, generation (each correct, partial or wrong). Shares are per cent; null where nothing is counted.
+    """
+    hit, right = F.col("retrieval") == "correct", F.col("generation") == "correct"
+    share = lambda n, d: F.round(F.try_divide(100.0 * n, d), 1)
+    stage = tx.bottleneck(F.col("retrieval"), F.col("generation"))
+    return results.agg(
+        F.count("*").alias("total"),
+        *[F.count_if(stage == s).alias(f"stage_{s}") for s in ("ok", "generation", "retrieval", "mixed")],
+        share(F.count_if(hit), F.count("*")).alias("retrieval_accuracy"),
+        share(F.count_if(right), F.count("*")).alias("generation_accuracy"),
+        share(F.count_if(hit & right), F.count_if(hit)).alias("conditional_accuracy"),
+    )
+
+
+def ambiguous_versions(files: DataFrame, group: list[str], kind: str) -> DataFrame:
+    """Per group its highest kind of version, and whether that is a plain number of four digits which two files or more have."""
+    top = files.groupBy(*group).agg(F.max(kind).alias("kind"), F.count("*").alias("files"))
+    many = files.groupBy(*group, kind).agg(F.count("*").alias("_n"))
+    return top.join(many, [*group, kind]).select(*group, "files", kind, ((F.col(kind) == 1) & (F.col("_n") > 1)).alias("ambiguous"))
+
+
 def invented(output: Column, source: Column) -> Column:
     """Numbers of the output that the source does not have, as a set."""
     return F.array_sort(F.array_except(F.array_distinct(tx.numbers(output)), tx.numbers(source)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import combat, quality, relational, retrieval
+from . import building, quality, relational, retrieval
 
-_FAMILIES = (relational, retrieval, combat, quality)
+_FAMILIES = (relational, retrieval, building, quality)
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
-FLAGSHIP = "q33_combat_funnel"
+FLAGSHIP = "q02_nested_rollup"

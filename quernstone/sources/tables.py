@@ -86,6 +86,33 @@ def price_rows(html: Column) -> Column:
     return F.array_distinct(F.transform(items, lambda x: F.struct(F.regexp_extract(x, "^([0-9]+)", 1).cast("int").alias("models"), F.regexp_extract(x, "([0-9]+) pts", 1).cast("int").alias("points"))))
 
 
+# The sections of a price page whose prices are the army's own.
+KEPT_SECTIONS = ("UNITS", "FORTIFICATIONS")
+_SEGMENT = '(?s)<div hidden id="S:([0-9a-f]+)">(.*?)</div><script>[^<]*?\\$RS\\("S:\\1","P:\\1"\\)</script>'
+_PLACEHOLDER = '<template id="P:[0-9a-f]+"></template>'
+
+
+def filled_placeholders(html: Column, rounds: int = 10) -> Column:
+    """A streamed page as a browser shows it: hidden segments move to their placeholders, and those without one are empty."""
+    ids, bodies = (F.regexp_extract_all(html, F.lit(_SEGMENT), F.lit(group)) for group in (1, 2))
+    segments = F.arrays_zip(ids.alias("id"), bodies.alias("body"))
+    body = F.regexp_replace(html, _SEGMENT, "")
+
+    def fill(doc: Column, _: Column) -> Column:
+        return F.aggregate(segments, doc, lambda d, s: F.replace(d, F.concat(F.lit('<template id="P:'), s["id"], F.lit('"></template>')), s["body"]))
+
+    return F.regexp_replace(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), body, fill), _PLACEHOLDER, "")
+
+
+def kept_sections(html: Column, kept: Sequence[str] = KEPT_SECTIONS) -> Column:
+    """What stands under the headings that count; all of a page without headings."""
+    parts = F.slice(F.split(html, "<h3[^>]*>"), 2, 1 << 30)
+    title = lambda p: F.upper(F.trim(F.regexp_replace(F.substring_index(p, "</h3>", 1), "<[^>]+>", "")))
+    own = F.filter(parts, lambda p: title(p).isin(*kept))
+    under = F.transform(own, lambda p: F.substring(p, F.instr(p, "</h3>") + 5, F.length(p)))
+    return F.when(F.size(parts) > 0, F.array_join(under, "")).otherwise(html)
+
+
 def staged_write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace a table: the commit protocol moves the files in place only when all are written."""
     writer = df.write.mode("overwrite")

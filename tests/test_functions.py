@@ -1,9 +1,9 @@
-"""Normalisers, parsers and dice on stated values."""
+"""Normalisers and parsers on stated values."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import dice, text as tx
+from quernstone.functions import stats, text as tx
 
 
 def one(spark, column):
@@ -47,15 +47,15 @@ CASES = [
     (lambda: tx.heading_scripts(F.lit("星际战士 Space Marines"))[0], "星际战士"),
     (lambda: tx.heading_scripts(F.lit("Only Latin"))[0], None),
     (lambda: tx.edition_layer(F.lit("11"), F.lit("rules")), "[11/rules]"),
-    (lambda: dice.stat_int(F.lit("3+")), 3),
-    (lambda: dice.stat_int(F.lit("N/A")), None),
-    (lambda: dice.armour_piercing(F.lit("−2")), -2),
-    (lambda: dice.armour_piercing(F.lit("x")), 0),
-    (lambda: dice.keyword(F.lit("RAPID FIRE 2"))["name"], "rapid_fire"),
-    (lambda: dice.keyword(F.lit("Anti-Infantry 4+"))["value"], 4),
-    (lambda: dice.keyword(F.lit("Twin-linked"))["name"], "twin_linked"),
-    (lambda: dice.cost(F.lit(" 20 ")), 20),
-    (lambda: dice.cost(F.lit("abc")), None),
+    (lambda: stats.stat_int(F.lit("3+")), 3),
+    (lambda: stats.stat_int(F.lit("N/A")), None),
+    (lambda: stats.armour_piercing(F.lit("−2")), -2),
+    (lambda: stats.armour_piercing(F.lit("x")), 0),
+    (lambda: stats.keyword(F.lit("RAPID FIRE 2"))["name"], "rapid_fire"),
+    (lambda: stats.keyword(F.lit("Anti-Infantry 4+"))["value"], 4),
+    (lambda: stats.keyword(F.lit("Twin-linked"))["name"], "twin_linked"),
+    (lambda: stats.cost(F.lit(" 20 ")), 20),
+    (lambda: stats.cost(F.lit("abc")), None),
 ]
 
 
@@ -65,12 +65,6 @@ def test_function(spark, case):
     assert one(spark, column()) == expected
 
 
-def test_dice(spark):
-    got = spark.createDataFrame([("2D6+1",), ("D3",), ("4",), ("?",)], "t string").select(dice.parse_dice(F.col("t")).alias("d"), dice.expected(dice.parse_dice(F.col("t"))).alias("e")).collect()
-    assert [tuple(r["d"]) if r["d"] else None for r in got] == [(2, 6, 1), (1, 3, 0), (0, 0, 4), None]
-    assert [r["e"] for r in got] == [8.0, 2.0, 4.0, None]
-
-
 def test_rolls_are_fair_and_repeat(spark):
     rolls = spark.range(60000).select(dice.roll("s", F.col("id").cast("string"), "hit").alias("r"))
     counts = {r["r"]: r["count"] for r in rolls.groupBy("r").count().collect()}

@@ -7,81 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as tx
-from quernstone.operators import combat, ordered, overlay, quality, resolve, retrieve, roster
+from quernstone.operators import chunk, ordered, overlay, quality, resolve, retrieve, roster
 from quernstone.plans import retrieval
 from quernstone.sources import tables
 from quernstone.streaming import incremental
 
 
-def test_wound_and_save_tables(spark):
-    rows = spark.createDataFrame([(8, 4), (5, 4), (4, 4), (3, 5), (2, 4), (2, 5)], "s int, t int")
-    assert [r[0] for r in rows.select(combat.wound_target(F.col("s"), F.col("t"))).collect()] == [2, 3, 4, 5, 6, 6]
-    saves = spark.createDataFrame([(3, 0, None), (3, -1, None), (2, -3, None), (6, -2, 4), (3, -1, 5)], "sv int, ap int, i int")
-    assert [r[0] for r in saves.select(combat.effective_save(F.col("sv"), F.col("ap"), F.col("i"))).collect()] == [3, 4, 5, 4, 4]
-
-
-def fold(models, w, slots):
-    kills, left, effective = 0, w, 0
-    for d in slots:
-        if kills < models:
-            taken = min(d, left)
-            effective += taken
-            left -= taken
-            if left == 0:
-                kills, left = kills + 1, w
-    return kills, left, effective
-
-
-def test_allocation_equals_the_scalar_fold(spark):
-    r = random.Random(2)
-    cases = [(r.randint(1, 12), r.randint(1, 12), [r.randint(1, 6) for _ in range(r.randint(0, 19))]) for _ in range(300)]
-    got = spark.createDataFrame(cases, "m int, w int, slots array<int>").select(combat.allocate(F.col("slots"), F.col("m"), F.col("w")).alias("o")).collect()
-    assert [(x["o"]["kills"], x["o"]["left"], x["o"]["effective"]) for x in got] == [fold(*c) for c in cases]
-
-
-def test_allocation_with_ignored_points(spark):
-    got = spark.range(4000).select(combat.allocate(F.array(*[F.lit(3)] * 4), F.lit(1), F.lit(100), F.lit(5), "k", F.col("id").cast("string"))["effective"].alias("e"))
-    assert got.agg(F.avg("e")).first()[0] == pytest.approx(8, abs=0.15)  # a third of 12 points is ignored
-
-
-def scenario(spark, **changes):
-    base = dict(sid="x", attacks=(0, 0, 20), bearers=1, blast=0, skill=3, strength=4, ap=0, damage=(0, 0, 1), t=4, sv=5, invuln=None, w=1, models=20, crit_hit=6, crit_wound=6, hit_mod=0, wound_mod=0, sustained=0, lethal=False, devastating=False, twin=False, fnp=None, reduction=0)
-    base |= changes
-    schema = "sid string, attacks struct<n int, faces int, plus int>, bearers int, blast int, skill int, strength int, ap int, damage struct<n int, faces int, plus int>, t int, sv int, invuln int, w int, models int, crit_hit int, crit_wound int, hit_mod int, wound_mod int, sustained int, lethal boolean, devastating boolean, twin boolean, fnp int, reduction int"
-    return spark.createDataFrame([tuple(base.values())], schema)
-
-
-def means(spark, **changes):
-    out = combat.funnel(combat.resolved(combat.attacks(scenario(spark, **changes), 1500)))
-    return out.agg(*[F.avg(c).alias(c) for c in ("attacks", "hits", "wounds", "unsaved", "mortals", "damage")]).first()
-
-
-def test_funnel_means(spark):
-    m = means(spark)
-    hits = 20 * 4 / 6
-    assert m["attacks"] == 20 and m["hits"] == pytest.approx(hits, rel=0.02) and m["wounds"] == pytest.approx(hits / 2, rel=0.03)
-    assert m["unsaved"] == pytest.approx(hits / 2 * 4 / 6, rel=0.04)
-
-
-def test_funnel_keywords(spark):
-    crits = 20 / 6
-    assert means(spark, sustained=2)["hits"] == pytest.approx(20 * 4 / 6 + 2 * crits, rel=0.03)
-    assert means(spark, lethal=True)["wounds"] == pytest.approx((20 * 4 / 6 - crits) / 2 + crits, rel=0.03)
-    assert means(spark, devastating=True)["mortals"] == pytest.approx(20 * 4 / 6 / 6, rel=0.08)
-    assert means(spark, twin=True)["wounds"] == pytest.approx(20 * 4 / 6 * 0.75, rel=0.03)
-    assert means(spark, skill=None)["hits"] == 20
-    assert means(spark, blast=1)["attacks"] == 24
-    assert means(spark, bearers=0)["attacks"] == 0
-
-
-def test_fight_order(spark):
-    step = combat.fight_step(F.lit(True), F.lit(False), F.lit(True))
-    assert spark.range(1).select(step).first()[0] == 2
-    ties = [(1, 3, True), (3, 1, False), (2, 2, True)]
-    for a, b, expected in ties:
-        assert spark.range(1).select(combat.first_is_a(F.lit(a), F.lit(b), F.lit(False), F.lit(False))).first()[0] is expected
-
-
 def test_compare_and_set_statuses(spark):
     base = spark.createDataFrame([(1, "20+"), (2, "x"), (3, "y"), (3, "y")], "k int, v string")
     wanted = spark.createDataFrame([(1, 1, '20+"', "5"), (2, 1, "20", "6"), (3, 2, "x", "x"), (4, 3, "y", "z"), (5, 9, "a", "b"), (6, 2, None, "b")], "patch_id int, k int, from string, to string")
@@ -206,10 +137,4 @@ def test_lint_and_conflicts(spark):
     assert [r["target"] for r in quality.broken_links(links, pages).collect()] == ["c"]
     names = spark.createDataFrame([("p", "X"), ("q", "x"), ("p", "Y")], "page string, name string")
     found = quality.lint({"links": quality.broken_links(links, pages).withColumn("subject", F.col("target")), "names": quality.name_conflicts(names).withColumn("subject", F.col("name"))})
-    assert sorted(map(tuple, found.collect())) == [("links", "c"), ("names", "x")]
-
-
-def test_implied_toggles(spark):
-    rules = {"a": ["b"], "b": ["c"]}
-    got = spark.range(1).select(combat.implied(F.array(F.lit("a")), rules)).first()[0]
-    assert sorted(got) == list(itertools.chain("abc"))
+    assert sorted(map(tuple, found.collect())) == [("links", "c"), ("names", "x")]
\ No newline at end of file
