@@ -52,16 +52,16 @@ def previous_tail(df: DataFrame, group: Sequence[str], order: Sequence[str], tex
     return df.withColumn("tail", F.right(before, F.lit(size)))
 
 
-def packed(sizes: Column, budget: int) -> Column:
-    """Greedy bins for an array of sizes: the bin number of each, a new bin where the budget would be passed."""
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("bins"))
+def bin_starts(sizes: Column, budget: int) -> Column:
+    """Greedy bins for an array of sizes: where each begins; a new bin is begun where the budget would be passed."""
+    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, size: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + size > budget)
-        bin_ = acc["bin"] + F.when(over, 1).otherwise(0)
-        return F.struct((F.when(over, size).otherwise(acc["used"] + size)).cast("long").alias("used"), bin_.alias("bin"), F.concat(acc["bins"], F.array(bin_)).alias("bins"))
+        new = (acc["at"] == 0) | ((acc["used"] > 0) & (acc["used"] + size > budget))
+        used = F.when(new, size).otherwise(acc["used"] + size).cast("long")
+        return F.struct(used.alias("used"), (acc["at"] + 1).alias("at"), F.when(new, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"))
 
-    return F.aggregate(sizes, state, step, lambda acc: acc["bins"])
+    return F.aggregate(sizes, state, step, lambda acc: acc["starts"])
 
 
 def distinct_slugs(df: DataFrame, slug: Column, order: Sequence[str]) -> DataFrame:

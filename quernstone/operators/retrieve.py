@@ -14,6 +14,7 @@ from ..functions.text import latin_tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 QUERY_BLOCK = 2048
+TIE = 2e-6  # distances are rounded to six digits before ties are settled
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 15, tokens=latin_tokens) -> DataFrame:
@@ -21,16 +22,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 15, tokens=latin_tokens)
 
     ``docs`` has ``doc_id, text``, ``queries`` has ``query_id, text``. A term
     in more than half of all documents weighs EPSILON of the mean weight. Only
-    the query terms' postings are joined; statistics cover all documents.
+    the query terms' postings are shuffled; statistics cover all documents.
     """
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    tf = words.select("doc_id", F.explode("words").alias("tok"), F.size("words").alias("dl")).groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
     totals = words.agg(F.count_if(F.size("words") > 0).alias("n"), F.avg(F.when(F.size("words") > 0, F.size("words"))).alias("avgdl"))
     idf = df.join(F.broadcast(totals)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.agg(F.avg("idf").alias("mean"))
     wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
     weights = idf.join(F.broadcast(mean)).join(wanted, "tok").withColumn("w", F.col("qtf") * F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
+    # A document is one row, so its words are counted after those that no query has are gone.
+    postings = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("tok")).join(wanted.select("tok").distinct(), "tok", "left_semi")
+    tf = postings.groupBy("doc_id", "dl", "tok").agg(F.count("*").alias("tf"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = tf.join(weights, "tok").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return best(scores, ["query_id"], [F.desc("score"), "doc_id"], k)
@@ -40,12 +43,47 @@ def best(df: DataFrame, group: list[str], order: list[Column | str], k: int) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _nearest_rows(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` nearest rows of all batches for each query, and those that tie with the last of them."""
+    least = np.full(len(ids), np.inf)  # the distance of the k-th so far
+    squares = np.square(matrix).sum(axis=1)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, row, distance = map(np.concatenate, zip(*held))
+        by = np.lexsort((distance, query))
+        query, row, distance = query[by], row[by], distance[by]
+        first = np.searchsorted(query, np.arange(len(ids)))
+        count = np.diff(np.append(first, len(query)))
+        full = np.flatnonzero(count >= k)
+        least[full] = np.minimum(least[full], distance[first[full] + k - 1])
+        keep = distance <= least[query] + TIE
+        return query[keep], row[keep], distance[keep]
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            rows = part.column(0).to_numpy(zero_copy_only=False)
+            vectors = np.array(part.column(1).to_pylist(), np.float64)
+            about = squares[:, None] - 2 * matrix @ vectors.T + np.square(vectors).sum(axis=1)
+            if len(rows) >= k:
+                least = np.minimum(least, np.partition(about, k - 1, axis=1)[:, k - 1] + TIE)
+            query, column = np.nonzero(about <= least[:, None] + TIE)
+            # The product only chooses; the distance itself is worked out term by term.
+            held.append((query, rows[column], np.square(vectors[column] - matrix[query]).sum(axis=1)))
+            if sum(len(q) for q, *_ in held) > 4 * k * len(ids) + 65_536:
+                held = [settled()]
+    if held:
+        query, row, distance = settled()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(row), pa.array(distance)], ["query_id", "vec_id", "distance"])
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     """``query_id, vec_id, distance, rank``: exact nearest rows by squared Euclidean distance.
 
     Queries (``query_id, embedding``) are taken in blocks of QUERY_BLOCK, which
-    bounds what a task holds; every task keeps the best ``k`` of its batches
-    for each query, and only those are shuffled.
+    bounds what a task holds; every task keeps the best ``k`` of its rows for
+    each query, and only those are shuffled.
     """
     found = None
     count = queries.count()
@@ -59,17 +97,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    own = part.column(0).to_numpy(zero_copy_only=False)
-                    vectors = np.array(part.column(1).to_pylist(), np.float64)
-                    for q, v in zip(ids, matrix):
-                        distance = np.square(vectors - v).sum(axis=1)
-                        # All ties of the k-th are kept; the final ranking settles them.
-                        keep = np.flatnonzero(distance <= np.partition(distance, min(k, len(distance)) - 1)[min(k, len(distance)) - 1] + 1e-9)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), q)), pa.array(own[keep]), pa.array(distance[keep])], ["query_id", "vec_id", "distance"])
+            yield from _nearest_rows(batches, *shared.value, k)
 
         part = rows.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, "query_id long, vec_id long, distance double")
         found = part if found is None else found.unionByName(part)

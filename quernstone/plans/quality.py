@@ -18,7 +18,7 @@ RULES = [("fnp", "the[a-z]*n([^a-z]|$)"), ("stealth", "(^|[^a-z])in[a-z]+ble"),
 
 def q29_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    body = F.regexp_replace(F.regexp_replace("html", "<script>[^<]*(?:</p>)?[^<]*</script>", " "), "<style>[^<]*</style>", " ")
+    body = F.regexp_replace(F.regexp_replace("html", "(?is)<script\\b.*?</script>", " "), "<style>[^<]*</style>", " ")
     return pages.select(
         "page_id",
         tables.page_title(F.col("html")).alias("title"),
@@ -56,17 +56,17 @@ def q32_page_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(total, "source").select("source", "state", "pages", F.round(F.col("pages") / F.col("total"), 6).alias("share"))
 
 
-_GOLD = [("g1", "M: 6 T: 4 SV: 3", "M: 6 T: 4 SV: 3"), ("g2", "W=12 OC=4", "W: 12"), ("g3", "A: D6+1", "A: d6+1"), ("g4", "M: 6 M: 7", "M: 6"), ("g5", "no fields", "M: 6"), ("g6", "S: 8", "S: 9"), ("g7", "LD: 6", None)]
-_VERDICTS = [("v1", "✅ fine but wrong"), ("v2", "this is incorrect"), ("v3", "Correct."), ("v4", "❌ correct"), ("v5", "hm"), ("v6", "⚠ wrong")]
-
-
 def q42_qa_mechanical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers scored against gold fields, verdicts read from text, and the turns of conversations by length."""
-    gold = spark.createDataFrame(_GOLD, "id string, gold string, answer string")
-    scored = gold.select("id", quality.mechanical(quality.gold_fields(F.col("gold")), quality.gold_fields(F.col("answer"))).alias("verdict"))
-    read = spark.createDataFrame(_VERDICTS, "id string, text string").select("id", tx.verdict(F.col("text")).alias("verdict"))
+    k, size = F.col("p_partkey") % 7, F.col("p_size")
+    field = lambda name, value: F.concat(F.lit(name), F.lit(": "), value.cast("string"), F.lit(" "))
+    gold = F.when(k == 6, F.concat(field("M", size), field("M", size + 1))).when(k == 5, "no fields").otherwise(F.concat(field("M", size), field("T", size + 2), F.when(size % 2 == 0, field("LD", size % 9)).otherwise("")))
+    answer = F.when(k == 1, F.concat(F.lit("M="), size.cast("string"), F.lit("+"))).when(k == 2, F.concat(field("M", size + 1), field("T", size))).when(k == 3, F.lit(None)).otherwise(gold)
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), gold.alias("gold"), answer.alias("answer"))
+    scored = parts.select("id", quality.mechanical(quality.gold_fields(F.col("gold")), quality.gold_fields(F.col("answer"))).alias("verdict"))
+    judged = table(spark, sf_dir, "labels").select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("id"), tx.verdict(F.when(F.col("quality") == 0, F.when(F.col("doc_id") % 3 == 0, "❌ correct").when(F.col("doc_id") % 3 == 1, "this is incorrect").otherwise("⚠ wrong")).otherwise(F.when(F.col("doc_id") % 3 == 0, "✅ fine but wrong").when(F.col("doc_id") % 3 == 1, "Correct.").otherwise("hm"))).alias("verdict"))
     turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("id"), tx.bottleneck(F.when(F.length("text") > 200, "correct").otherwise("wrong"), F.when(F.col("role") == "user", "correct").otherwise("partial")).alias("verdict"))
-    return scored.unionByName(read).unionByName(turns)
+    return scored.unionByName(judged).unionByName(turns)
 
 
 def q43_version_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def q44_text_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q45_prev_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.previous_tail(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text", 50).select("conv_id", "turn", "tail")
+    return ordered.previous_tail(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text", 500).select("conv_id", "turn", "tail")
 
 
 def q46_zip_and_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ def q47_slug_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q48_entity_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn with the last thing the user had said up to it."""
     turns = table(spark, sf_dir, "conversations")
-    return ordered.carried(turns, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.substring("text", 1, 20)), "topic").select("conv_id", "turn", "topic")
+    return ordered.carried(turns, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("text")), "topic").select("conv_id", "turn", "topic")
 
 
 def q49_link_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +113,14 @@ def q49_link_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q51_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table taken in as a stream; its users' rows equal those of the table."""
+    """The events table taken in as a stream, after a first batch of some users with other values, which it replaces."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     work = f"{base}/ingest-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
-    events.write.parquet(f"{work}/landing")
-    rows = incremental.ingest(spark, f"{work}/landing", f"{work}/table", f"{work}/state", events.schema.simpleString()[7:-1].replace(":", " "), "user_id")
+    schema = events.schema.simpleString()[7:-1].replace(":", " ")
+    for batch in (events.where("user_id % 3 = 0").withColumn("value", F.col("value") + 1), events):
+        batch.write.mode("append").parquet(f"{work}/landing")
+        rows = incremental.ingest(spark, f"{work}/landing", f"{work}/table", f"{work}/state", schema, "user_id")
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("event_id").alias("last_event"))
 
 
@@ -133,7 +135,7 @@ QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q"
 _ENTITIES = "html"
 for _old, _new in tx.ENTITIES:
     _ENTITIES = f"replace({_ENTITIES}, '{_old}', '{_new.replace(chr(39), chr(39) * 2)}')"
-_BODY = r"regexp_replace(regexp_replace(html, '<script>[^<]*(?:</p>)?[^<]*</script>', ' ', 'g'), '<style>[^<]*</style>', ' ', 'g')"
+_BODY = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '<style>[^<]*</style>', ' ', 'g')"
 
 ORACLE_SQL = {
     "q29_html_extract": rf"""
@@ -161,8 +163,8 @@ ORACLE_SQL = {
                    when n_chars >= 300 and refined < 0.3 * n_chars then 'truncated' when quality = 0 then 'verify_warn' else 'ok' end as state from m)
         select source, state, count(*) as pages, round(count(*)::double / sum(count(*)) over (partition by source), 6) as share from s group by source, state""",
     "q42_qa_mechanical": """
-        select * from (values ('g1', 'correct'), ('g2', 'partial'), ('g3', 'correct'), ('g4', 'unknown'), ('g5', 'unknown'), ('g6', 'wrong'), ('g7', 'wrong'),
-                              ('v1', 'correct'), ('v2', 'wrong'), ('v3', 'correct'), ('v4', 'wrong'), ('v5', 'partial'), ('v6', 'partial')) as t(id, verdict)
+        select 'p' || p_partkey as id, case when p_partkey % 7 in (5, 6) then 'unknown' when p_partkey % 7 = 1 then 'partial' when p_partkey % 7 in (2, 3) then 'wrong' else 'correct' end as verdict from part
+        union all select 'v' || doc_id, case when doc_id % 3 = 2 then 'partial' when quality = 0 then 'wrong' when quality = 1 then 'correct' end from labels
         union all select 'c' || conv_id || '.' || turn, case when role = 'user' then 'ok' when length(text) > 200 then 'generation' else 'retrieval' end from conversations""",
     "q43_version_latest": r"""
         with p as (
@@ -174,7 +176,7 @@ ORACLE_SQL = {
             select case when regexp_matches(text, 'the[a-z]*n([^a-z]|$)') then 'fnp' when regexp_matches(text, '(^|[^a-z])in[a-z]+ble') then 'stealth' when regexp_matches(text, 'tion[a-z]*tion') then 'minus_hit'
                    when regexp_matches(text, '(^|[^a-z])wh') then 'aura' when regexp_matches(text, '(^|[^a-z])(que|der)([^a-z]|$)') then 'deployment' else 'other' end as category from documents)
         select category, count(*) as n from c group by 1 union all select 'total', count(*) from c""",
-    "q45_prev_tail": "select conv_id, turn, right(lag(text) over (partition by conv_id order by turn), 50) as tail from conversations",
+    "q45_prev_tail": "select conv_id, turn, right(lag(text) over (partition by conv_id order by turn), 500) as tail from conversations",
     "q46_zip_and_drift": """
         with l as (
             select l_orderkey, l_suppkey % 2 as side, list(cast(floor(l_quantity) as bigint) order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as v from lineitem group by all),
@@ -186,7 +188,7 @@ ORACLE_SQL = {
         n as (select *, row_number() over (partition by base order by p_partkey) as n from s)
         select p_partkey, case when n = 1 then base else base || '-' || n end as slug from n""",
     "q48_entity_carry": """
-        select conv_id, turn, last_value(case when role = 'user' then substr(text, 1, 20) end ignore nulls) over (partition by conv_id order by turn) as topic from conversations""",
+        select conv_id, turn, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn) as topic from conversations""",
     "q51_incremental_ingest": "select user_id, count(*) as n, round(sum(value), 4) as total, max(event_id) as last_event from events group by user_id",
     "q52_ext_event_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
 }

@@ -42,7 +42,7 @@ def q04_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q05_keep_first_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.lower(F.substring("text", 1, 12)).alias("alias"), "source", "doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.lower(F.substring_index("text", "\n", 1)).alias("alias"), "source", "doc_id")
     return ordered.collisions(docs, ["alias"], "source", ["doc_id"]).select("alias", "source", "collisions", "repeats")
 
 
@@ -207,7 +207,7 @@ ORACLE_SQL = {
         select user_id, event_type, event_id, round(value, 6) as value from events
         qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1""",
     "q05_keep_first_collisions": """
-        with d as (select lower(substr(text, 1, 12)) as alias, source, doc_id from documents),
+        with d as (select lower(string_split(text, chr(10))[1]) as alias, source, doc_id from documents),
         f as (select *, first_value(source) over (partition by alias order by doc_id) as first from d)
         select alias, first as source, count(*) filter (where source <> first) as collisions, count(*) filter (where source = first) - 1 as repeats
         from f group by alias, first""",

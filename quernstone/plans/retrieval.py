@@ -41,7 +41,7 @@ def q21_query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lower("text").alias("text"))
     met = retrieve.substring_matches(texts, aliases.select(F.col("alias").alias("name"))).join(aliases, F.col("name") == F.col("alias"))
     found = met.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "target"))), lambda x: x["target"]), "；").alias("more"))
-    expanded = F.when(F.col("more").isNotNull(), F.concat(F.substring("text", 1, 40), F.lit("（"), "more", F.lit("）"))).otherwise(F.substring("text", 1, 40))
+    expanded = F.when(F.col("more").isNotNull(), F.concat("text", F.lit("（"), "more", F.lit("）"))).otherwise(F.col("text"))
     return texts.join(found, "id", "left").select(F.col("id").alias("item_id"), expanded.alias("expanded"))
 
 
@@ -109,8 +109,10 @@ def q27_heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q28_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed in order into chunks of at most 2000 characters, a longer line alone."""
     sizes = F.transform(F.split("text", "\n"), lambda x: F.length(x))
-    bins = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ordered.packed(sizes, 2000)).alias("line", "bin"))
-    return bins.groupBy("doc_id", "bin").agg(F.count("*").alias("n_lines"), F.min("line").alias("first_line")).select("doc_id", F.col("bin").cast("bigint").alias("bin"), "n_lines", F.col("first_line").cast("bigint").alias("first_line"))
+    packed = table(spark, sf_dir, "documents").select("doc_id", F.size(sizes).alias("lines"), ordered.bin_starts(sizes, 2000).alias("starts"))
+    bins = packed.select("doc_id", "lines", "starts", F.posexplode("starts").alias("bin", "first_line"))
+    upto = F.coalesce(F.get("starts", F.col("bin") + 1), F.col("lines"))
+    return bins.select("doc_id", F.col("bin").cast("bigint").alias("bin"), (upto - F.col("first_line")).cast("bigint").alias("n_lines"), F.col("first_line").cast("bigint").alias("first_line"))
 
 
 def q50_weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +172,7 @@ ORACLE_SQL = {
         al as (select * from l union all select * from c where alias not in (select alias from l)),
         t as (select item_id, lower(text) as text from benchmark),
         m as (select item_id, string_agg(target, '；' order by alias, target) as more from t join al on contains(text, alias) where length(alias) >= 3 group by 1)
-        select item_id, substr(text, 1, 40) || case when more is null then '' else '（' || more || '）' end as expanded from t left join m using (item_id)""",
+        select item_id, text || case when more is null then '' else '（' || more || '）' end as expanded from t left join m using (item_id)""",
     "q22_dense_topk": f"with {_NEAR} select query_id, vec_id, distance, rank from near where rank <= 30",
     "q23_dense_postfilter": f"""
         with {_NEAR}, l as (select near.* from near join embeddings using (vec_id) where rank <= 200 and label % 3 = 1)
@@ -183,10 +185,13 @@ ORACLE_SQL = {
         rk as (select query_id, doc_id, layer, rank from fused join lay using (doc_id)),
         head as (select * from rk where rank <= 8),
         miss as (select query_id from head group by 1 having count(*) filter (where layer = 'rules') = 0),
+        rules as (
+            select query_id, vec_id, layer, row_number() over (partition by query_id order by distance, vec_id) as rank
+            from dist join lay on lay.doc_id = dist.vec_id where layer = 'rules'),
         cand as (
-            select query_id, near.vec_id as doc_id, layer, row_number() over (partition by query_id order by rank, near.vec_id) as k
-            from near join lay on lay.doc_id = near.vec_id where rank <= 200 and layer = 'rules' and query_id in (select query_id from miss)
-              and not exists (select 1 from head where head.query_id = near.query_id and head.doc_id = near.vec_id)),
+            select query_id, vec_id as doc_id, layer, row_number() over (partition by query_id order by rank) as k
+            from rules where rank <= 10 and query_id in (select query_id from miss)
+              and not exists (select 1 from head where head.query_id = rules.query_id and head.doc_id = rules.vec_id)),
         add_ as (select * from cand where k <= 2),
         room as (select query_id, count(*) as room from add_ group by 1)
         select query_id, doc_id, layer, rank from head left join room using (query_id) where rank <= 8 - coalesce(room, 0)

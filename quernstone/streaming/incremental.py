@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 
 def merged(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
@@ -15,8 +14,8 @@ def merged(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
 
 def latest_of_sources(rows: DataFrame, source: str, batch: str) -> DataFrame:
     """All rows of the last batch of each source."""
-    last = F.max(batch).over(Window.partitionBy(source))
-    return rows.withColumn("_last", last).where(F.col(batch) == F.col("_last")).drop("_last")
+    last = rows.groupBy(source).agg(F.max(batch).alias(batch))
+    return rows.join(last, [source, batch], "left_semi")
 
 
 def ingest(spark: SparkSession, landing: str, table: str, state: str, schema: str, source: str) -> DataFrame:

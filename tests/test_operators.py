@@ -61,7 +61,37 @@ def test_packing(spark):
                 used, number = 0, number + 1
             used += s
             bins.append(number)
-        assert spark.createDataFrame([(sizes,)], "s array<int>").select(ordered.packed(F.col("s"), 2000)).first()[0] == bins
+        starts = [i for i, b in enumerate(bins) if i == 0 or b != bins[i - 1]]
+        assert spark.createDataFrame([(sizes,)], "s array<int>").select(ordered.bin_starts(F.col("s"), 2000)).first()[0] == starts
+
+
+def test_size_pieces(spark):
+    text = "aaa\n\nbbb\nccc\n\n\nddddddddddddddd\n"
+    rows = spark.createDataFrame([(text,), ("",), (None,), ("x" * 25,)], "t string").select(chunk.size_pieces(F.col("t"), 10)).collect()
+    assert [r[0] for r in rows] == [["aaa", "bbb\nccc", "dddddddddd", "ddddd\n"], [], None, ["x" * 10, "x" * 10, "x" * 5]]
+
+
+def test_placeholders_and_sections(spark):
+    html = '<h3>UNITS</h3><li>A 5 models 10 pts</li><template id="P:1"></template><h3>OTHER</h3><li>B 1 model 9 pts</li><template id="P:9"></template>'
+    html += '<div hidden id="S:1"><li>C 2 models 7 pts</li><template id="P:2"></template></div><script>$RS("S:1","P:1")</script><div hidden id="S:2"><li>D 3 models 8 pts</li></div><script>$RS("S:2","P:2")</script>'
+    page = spark.createDataFrame([(html,), ("no heading 4 models 6 pts",)], "h string")
+    got = page.select(tables.price_rows(tables.kept_sections(tables.filled_placeholders(F.col("h"))))).collect()
+    assert [[tuple(x) for x in r[0]] for r in got] == [[(5, 10), (2, 7), (3, 8)], [(4, 6)]]
+
+
+def test_merged_tiers(spark):
+    rows = spark.createDataFrame([([(5, 80), (10, 150)], [(5, 85), (3, 40)])], "items array<struct<models:int,cost:int>>, listed array<struct<models:int,cost:int>>")
+    assert [tuple(x) for x in rows.select(overlay.merged_tiers(F.col("items"), F.col("listed"))).first()[0]] == [(5, 85), (10, 150), (3, 40)]
+
+
+def test_nearest_against_all_distances(spark):
+    r = random.Random(9)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(4)]) for i in range(500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x["query_id"], x["rank"]): x["vec_id"] for x in retrieve.nearest(frame, frame.where("vec_id < 5").withColumnRenamed("vec_id", "query_id"), 7).collect()}
+    for q in range(5):
+        order = sorted(rows, key=lambda x: (sum((a - b) ** 2 for a, b in zip(x[1], rows[q][1])), x[0]))
+        assert [got[q, k + 1] for k in range(7)] == [i for i, _ in order[:7]]
 
 
 def test_piped_text(spark, tmp_path):
