@@ -9,7 +9,7 @@ of features tried.
 
 Terms that may be exchanged for each other are stated (``IDENTITY_TERMS``,
 names of groups in four languages) and learned: common words (in at least
-``COMMON`` of the labelled texts) whose association with the label is within
+``COMMON`` of the labelled texts, and in LEAST_TEXTS) whose association with the label is within
 chance, put together where the common words before and behind them are the
 same (cosine of the counts of at least ``ALIKE``). They are features whether
 associated or not. Every mention in a labelled text is exchanged, a stated
@@ -50,7 +50,7 @@ from .frames import cut
 from .language_id import held_out
 
 MAX_ROWS = 40_000
-COMMON = 0.05
+COMMON, LEAST_TEXTS = 0.05, 20
 ALIKE = 0.9
 FAIRNESS = 1.0
 RIDGE = 1e-4
@@ -163,7 +163,7 @@ def choose(rows: DataFrame, common: float = COMMON) -> tuple[list[str], list[str
     gain = part(F.col("t"), rate) + part(F.col("n") - F.col("t"), 1 - rate)
     limit = math.log(max(1, counts.count())) + 3
     rated = counts.withColumn("gain", gain).withColumn("chosen", F.col("gain") > limit)
-    kept = rated.where(F.col("chosen") | ((F.col("n") >= common * n) & ~F.contains("feature", F.lit("^")))).select("feature", "chosen").orderBy(F.desc("gain"), "feature").collect()
+    kept = rated.where(F.col("chosen") | ((F.col("n") >= max(common * n, LEAST_TEXTS)) & ~F.contains("feature", F.lit("^")))).select("feature", "chosen").orderBy(F.desc("gain"), "feature").collect()
     return [r[0] for r in kept if r[1]], [r[0] for r in kept if not r[1]]
 
 
@@ -180,23 +180,35 @@ def exchangeable(rows: DataFrame, words: Sequence[str], alike: float = ALIKE) ->
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], ["a", "b", "n"])
 
     met = rows.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    context: list[dict[int, float]] = [{} for _ in words]
-    for a, b, n in zip(*(met[c].to_pylist() for c in "abn")):
-        context[a][b] = float(n)
-        context[b][-1 - a] = float(n)
-    size = [math.sqrt(math.fsum(x * x for x in c.values())) for c in context]
-    sets: list[list[int]] = []
+    table = np.zeros((len(words), 2 * len(words)), np.float32)
+    first, second, n = (met[c].to_numpy() for c in "abn")
+    table[first, second] = n
+    table[second, len(words) + first] = n
+    size = np.sqrt(np.square(table).sum(axis=1))
+    table /= np.maximum(size, 1e-12)[:, None]
+    free, sets = size > 0, []
     for i in range(len(words)):
-        if not size[i]:
-            continue
-        for own in sets:
-            first = context[own[0]]
-            if math.fsum(x * first.get(k, 0.0) for k, x in context[i].items()) >= alike * size[i] * size[own[0]]:
-                own.append(i)
-                break
-        else:
-            sets.append([i])
-    return [[words[i] for i in own] for own in sets if len(own) > 1]
+        if free[i]:
+            own = np.flatnonzero(free & (table @ table[i] >= alike))
+            free[own] = False
+            if len(own) > 1:
+                sets.append([words[k] for k in own])
+    return sets
+
+
+def exchange(words: set[str], stems: Counter, out: str, into: str) -> tuple[set[str], set[str]]:
+    """The features that a text of these words (and of them with these first letters) loses and gains when ``into`` takes the place of ``out``."""
+    new = into not in words
+    change = Counter(out[:n] for n in PREFIXES if len(out) > n)
+    change = Counter({p: -k for p, k in change.items()})
+    if new:
+        change.update(into[:n] for n in PREFIXES if len(into) > n)
+    gone, come = {out}, {into} if new else set()
+    for letters, by in change.items():
+        had = stems[letters]
+        gone.update(f"{j}^{letters}" for j in range(had + by + 1, min(had, 3) + 1))
+        come.update(f"{j}^{letters}" for j in range(had + 1, min(had + by, 3) + 1))
+    return gone, come
 
 
 def _encoded(rows: DataFrame, names: list[str], identity: Sequence[Sequence[str]], learned: list[list[str]]) -> tuple[DataFrame, DataFrame]:
@@ -211,13 +223,12 @@ def _encoded(rows: DataFrame, names: list[str], identity: Sequence[Sequence[str]
             for text in batch.column(0):
                 found = features(text.as_py())
                 words = {f for f in found if "^" not in f}
-                at = {own[f] for f in found if f in own}
-                has.append(sorted(at))
-                # An exchange changes the two words, and only first letters of theirs.
+                has.append(sorted(own[f] for f in found if f in own))
+                stems = Counter(w[:n] for w in words for n in PREFIXES if len(w) > n)
                 for out, into in counterfactuals(words, identity, groups, crc32((text.as_py() or "").encode())):
-                    to = {own[f] for f in features(" ".join(words - {out} | {into})) if f in own} if stems(own, out, into) else at - {own.get(out)} | ({own[into]} if into in own else set())
-                    if to != at:
-                        swaps[tuple(sorted(at - to)), tuple(sorted(to - at))] += 1
+                    sides = tuple(tuple(sorted(own[f] for f in side if f in own)) for side in exchange(words, stems, out, into))
+                    if any(sides):
+                        swaps[sides] += 1
             yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32())), batch.column(1), pa.nulls(len(has), pa.list_(pa.int32())), pa.nulls(len(has), pa.list_(pa.int32())), pa.nulls(len(has), pa.int64())], columns)
         k = len(swaps)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.int32()), pa.array([a for a, _ in swaps], pa.list_(pa.int32())), pa.array([b for _, b in swaps], pa.list_(pa.int32())), pa.array(list(swaps.values()), pa.int64())], columns)
@@ -227,11 +238,6 @@ def _encoded(rows: DataFrame, names: list[str], identity: Sequence[Sequence[str]
     return both.where("n is null").select("has", "toxic"), both.where("n is not null").groupBy("gone", "come").agg(F.sum("n").alias("n"))
 
 
-def stems(names: dict[str, int], *words: str) -> bool:
-    """Whether first letters of one of the words are a feature."""
-    return any(f"1^{w[:n]}" in names or f"2^{w[:n]}" in names or f"3^{w[:n]}" in names for w in words for n in PREFIXES if len(w) > n)
-
-
 def descend(has: list[list[int]], toxic: np.ndarray, swaps: list[tuple[list[int], list[int], int]], width: int, fairness: float) -> tuple[np.ndarray, float]:
     """Weights and intercept by gradient steps, each weight with a step size of its own."""
     label = (toxic > 0).astype(float)
