@@ -15,8 +15,9 @@ collision costs time but never joins two texts.
 
 Defined cases: null text equals empty text; rows that share a doc_id are rows
 like any others (of equal rows the one read last stays); a null doc_id counts
-as the smallest; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+as the smallest; an empty table gives an empty result; a very long text is
+many blocks, which are dealt out; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -69,9 +69,12 @@ def keyed(docs: DataFrame, *more: str, doc_id: str = "doc_id", text: str = "text
 
 def keep_rows(docs: DataFrame, judge, *args) -> DataFrame:
     """``docs``, all columns, cut down to the ``_row`` numbers that ``judge(keyed docs, *args)`` returns."""
-    stored = fixed(docs)
-    rows = stored.withColumn(ROW, F.monotonically_increasing_id())
-    return rows.join(judge(keyed(stored), *args).select(ROW), ROW, "left_semi").drop(ROW)
+    stored, number = fixed(docs), ROW
+    while number in docs.columns:
+        number += "_"
+    rows = stored.withColumn(number, F.monotonically_increasing_id())
+    kept = judge(keyed(stored), *args).select(F.col(ROW).alias(number))
+    return rows.join(kept, number, "left_semi").select(docs.columns)
 
 
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

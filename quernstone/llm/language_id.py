@@ -22,8 +22,10 @@ do not depend on how rows are dealt into batches.
 Defined cases: null texts and texts without a letter get ``und`` and score 0;
 ties go to the language that sorts first; without any learnable document all
 rows get ``und``; repeated rows and null doc_ids are predicted like any
-others (a null doc_id is never held out and never learned from); other columns
-are ignored.
+others (a null doc_id is never held out and never learned from); an empty
+table gives an empty result; a very long text is one row of a task; languages
+may be many, each has a tree of its own and every text is scored by all; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

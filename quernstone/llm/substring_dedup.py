@@ -22,7 +22,8 @@ dealt out evenly.
 Defined cases: null and empty texts have no words; texts of fewer than W words
 have no windows and stay whole; a null doc_id sorts before all others, rows of
 one doc_id are in the order of the table; an empty table gives an empty
-result; other columns are ignored. ``W`` is at least 13.
+result; a very long text is a block of its own; other columns are ignored,
+whatever their names. ``W`` is at least 13.
 """
 
 from __future__ import annotations

@@ -308,6 +308,17 @@ def test_exchanges_act_on_the_given_tables(spark):
     assert spread(fair) < 0.8 * spread(plain)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=8), min_size=1, max_size=12), st.text("ab", min_size=1, max_size=8))
+def test_exchanges_change_the_features(words, into):
+    words = set(words)
+    out = min(words)
+    if out != into:
+        stems = Counter(w[:n] for w in words for n in toxicity.PREFIXES if len(w) > n)
+        before, after = toxicity.features(" ".join(words)), toxicity.features(" ".join(words - {out} | {into}))
+        assert toxicity.exchange(words, stems, out, into) == (before - after, after - before)
+
+
 def test_exchangeable_words_are_those_of_like_contexts(spark):
     r = random.Random(2)
     rows = [(f"the {r.choice(['cats', 'dogs'])} like {r.choice(['milk', 'meat'])}", 0) for _ in range(200)]
