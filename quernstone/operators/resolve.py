@@ -6,9 +6,9 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.window import Window
 
 from ..functions.text import match_key
+from . import overlay
 
 
 def resolve(names: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -48,17 +48,63 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
 
+def _may_match(a: str, b: str, cutoff: float) -> F.Column:
+    """Whether the ratio can reach ``cutoff``: it is at most twice the characters in common, in any order, over both lengths."""
+    times = lambda c, of: F.length(of) - F.length(F.replace(F.col(of), c, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.split(F.col(a), "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(c, a), times(c, b))))
+    return 2.0 * common >= cutoff * (F.length(a) + F.length(b)) - 1e-9
+
+
+def _lengths(name: str, cutoff: float) -> F.Column:
+    """The lengths that a name at least ``cutoff`` like this one can have; none for an empty name."""
+    n, times = F.length(name), (2 - cutoff) / cutoff
+    return F.when(n > 0, F.sequence(F.ceil(n / times - 1e-9).cast("int"), F.floor(n * times + 1e-9).cast("int")))
+
+
+def _close(wanted: DataFrame, pool: DataFrame, block: str, cutoff: float) -> DataFrame:
+    """``wanted`` (with a name ``a``) beside each name ``b`` of its block in ``pool`` that is ``cutoff`` like it; a null block is one too."""
+    sized = pool.select(F.col(block).alias("_block"), F.length("b").alias("_length"), "b", *[c for c in pool.columns if c not in (block, "b")])
+    asked = wanted.withColumn("_n", F.explode(_lengths("a", cutoff)))
+    near = asked.join(sized, F.col(block).eqNullSafe(F.col("_block")) & (F.col("_n") == F.col("_length"))).where(_may_match("a", "b", cutoff))
+    return near.withColumn("ratio", similarity("b", "a")).where(F.col("ratio") >= cutoff).drop("_block", "_length", "_n")
+
+
 def fuzzy(names: DataFrame, canonical: DataFrame, block: str, cutoff: float = 0.85) -> DataFrame:
-    """``name_id, match, ratio``: the most similar canonical name of the same block.
+    """``name_id, match, ratio``: the most similar canonical name of the same block, the last by name of equal ones.
+
+    Names meet by block and by the lengths that can be near enough, and are
+    compared if their characters allow it.
+    """
+    wanted = names.select("name_id", block, match_key(F.col("name")).alias("a"))
+    near = _close(wanted, canonical.select(block, match_key(F.col("name")).alias("b")).distinct(), block, cutoff)
+    best = near.groupBy("name_id").agg(F.max(F.struct("ratio", "b")).alias("_best"))
+    return best.select("name_id", F.col("_best.b").alias("match"), F.round("_best.ratio", 6).alias("ratio"))
+
+
+def pair(entities: DataFrame, canonical: DataFrame, cutoff: float = 0.85) -> DataFrame:
+    """``entity_id, how, canonical_id``: entities of books with the canonical entry that they are.
 
-    Lengths bound the ratio from above, so pairs whose lengths lie too far
-    apart are not compared.
+    ``entities``: entity_id (one row each), book, name. ``canonical``:
+    canonical_id, faction, name. Ways: exact (one entry has the name), faction
+    (several have, one of them in the book's faction), fuzzy (the nearest of the
+    names that one entry of the book's faction has), else ambiguous or none. A
+    book's faction is that of most of its exact entities, ties to the earliest;
+    without one, names that one entry of all has are sought. Null names are none.
     """
-    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    pairs = names.select("name_id", block, match_key(F.col("name")).alias("a")).join(canonical.select(block, match_key(F.col("name")).alias("b")).distinct(), block)
-    scored = pairs.where(2.0 * short >= cutoff * (short + long)).withColumn("ratio", F.round(similarity("a", "b"), 6)).where(F.col("ratio") >= cutoff)
-    nth = F.row_number().over(Window.partitionBy("name_id").orderBy(F.desc("ratio"), "b"))
-    return scored.withColumn("_n", nth).where("_n = 1").select("name_id", F.col("b").alias("match"), "ratio")
+    known = canonical.select("canonical_id", "faction", match_key(F.col("name")).alias("key"))
+    whole = known.groupBy("key").agg(F.count("*").alias("n"), F.min("canonical_id").alias("id"), F.min("faction").alias("its"))
+    inside = known.where("faction is not null").groupBy("key", F.col("faction").alias("of")).agg(F.count("*").alias("of_n"), F.min("canonical_id").alias("of_id"))
+    named = entities.select("entity_id", "book", match_key(F.col("name")).alias("key")).join(whole, "key", "left")
+    votes = overlay.majority(named.where("n = 1 and its is not null").select("book", F.col("its").alias("of"), "entity_id"), ["book"], "of", "entity_id")
+    told = named.join(votes.select("book", "of"), "book", "left").join(inside, ["key", "of"], "left")
+
+    pool = inside.where("of_n = 1").select("of", F.col("key").alias("b"), F.col("of_id").alias("canonical_id"))
+    pool = pool.unionByName(whole.where("n = 1").select(F.lit(None).cast(pool.schema["of"].dataType).alias("of"), F.col("key").alias("b"), F.col("id").alias("canonical_id")))
+    near = _close(told.where("n is null").select("entity_id", "of", F.col("key").alias("a")), pool, "of", cutoff)
+    best = near.groupBy("entity_id").agg(F.max_by("canonical_id", F.struct("ratio", "b")).alias("near_id"))
+    way = F.when(F.col("n") == 1, "exact").when(F.col("of_n") == 1, "faction").when(F.col("n") > 1, "ambiguous").when(F.col("near_id").isNotNull(), "fuzzy").otherwise("none")
+    found = F.when(way == "exact", F.col("id")).when(way == "faction", F.col("of_id")).when(way == "fuzzy", F.col("near_id"))
+    return told.join(best, "entity_id", "left").select("entity_id", way.alias("how"), found.alias("canonical_id"))
 
 
 def alias_map(*sources: DataFrame) -> DataFrame:

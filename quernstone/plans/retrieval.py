@@ -1,4 +1,4 @@
-"""Queries q19 to q28 and q50: resolution, retrieval and chunking."""
+"""Queries q19 to q28, q50 and q55: resolution, retrieval and chunking."""
 
 from __future__ import annotations
 
@@ -32,6 +32,15 @@ def q20_fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.fuzzy(misspelt, parts, "p_brand")
 
 
+def q55_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries, a book per brand: names of one entry or of several, a fifth of them misspelt."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(k, "p_brand", F.when(k % 3 == 0, F.concat("p_name", F.lit(" of "), k.cast("string"))).otherwise(F.col("p_name")).alias("name"))
+    wrong = F.concat(F.substring("name", 1, 2), F.expr("substring(name, 4)"))
+    entities = parts.select(k.alias("entity_id"), F.col("p_brand").alias("book"), F.when(k % 5 == 0, wrong).when(k % 7 == 0, F.upper("name")).otherwise(F.col("name")).alias("name"))
+    return resolve.pair(entities, parts.select(k.alias("canonical_id"), F.col("p_brand").alias("faction"), "name"))
+
+
 def q21_query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries with what the aliases in them stand for, in the order of the aliases."""
     words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).distinct()

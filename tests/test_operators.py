@@ -1,7 +1,9 @@
 """Operators on small stated inputs."""
 
+import difflib
 import itertools
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,4 +169,54 @@ def test_lint_and_conflicts(spark):
     assert [r["target"] for r in quality.broken_links(links, pages).collect()] == ["c"]
     names = spark.createDataFrame([("p", "X"), ("q", "x"), ("p", "Y")], "page string, name string")
     found = quality.lint({"links": quality.broken_links(links, pages).withColumn("subject", F.col("target")), "names": quality.name_conflicts(names).withColumn("subject", F.col("name"))})
-    assert sorted(map(tuple, found.collect())) == [("links", "c"), ("names", "x")]
\ No newline at end of file
+    assert sorted(map(tuple, found.collect())) == [("links", "c"), ("names", "x")]
+
+def brute_pairs(entities, canonical, cutoff=0.85):
+    key = lambda name: name.lower()
+    by_key, votes, found = defaultdict(list), defaultdict(Counter), {}
+    for c in canonical:
+        by_key[key(c[2])].append(c)
+    for e, book, name in sorted(entities):
+        if name is not None and len(by_key[key(name)]) == 1:
+            votes[book][by_key[key(name)][0][1]] += 1
+    for e, book, name in entities:
+        same = by_key[key(name)] if name is not None else []
+        faction = votes[book].most_common(1)[0][0] if votes[book] else None
+        inside = [c for c in same if c[1] == faction]
+        if len(same) == 1 or len(inside) == 1:
+            found[e] = ("exact", same[0][0]) if len(same) == 1 else ("faction", inside[0][0])
+        elif same or name is None:
+            found[e] = ("ambiguous" if same else "none", None)
+        else:
+            pool = {k: c for k, cs in by_key.items() for c in cs if len([x for x in cs if faction in (None, x[1])]) == 1 and faction in (None, c[1])}
+            near = difflib.get_close_matches(key(name), list(pool), n=1, cutoff=cutoff)
+            found[e] = ("fuzzy", pool[near[0]][0]) if near else ("none", None)
+    return found
+
+
+def test_pairing_against_brute_force(spark):
+    r = random.Random(3)
+    stems = ["".join(r.choice("abcde ") for _ in range(r.randint(1, 14))) or "a" for _ in range(60)]
+    canonical = [(i, r.choice(["x", "y", "z"]), r.choice(stems)) for i in range(90)]
+    entities = []
+    for i in range(250):
+        name = r.choice(stems)
+        if i % 2:
+            at = r.randrange(len(name))
+            name = name[:at] + r.choice(["", "b", "ee"]) + name[at + 1 :]
+        entities.append((i, r.choice("pqrst") if i % 9 else "no votes", None if i % 50 == 7 else name if i % 9 else name + "q"))
+    trim = lambda rows: [(a, b, c and c.strip()) for a, b, c in rows]
+    canonical, entities = trim(canonical), trim(entities)
+    got = resolve.pair(spark.createDataFrame(entities, "entity_id int, book string, name string"), spark.createDataFrame(canonical, "canonical_id int, faction string, name string"))
+    rows = got.collect()
+    assert len(rows) == len(entities)
+    assert {x["entity_id"]: (x["how"], x["canonical_id"]) for x in rows} == brute_pairs(entities, canonical)
+    assert {x["how"] for x in rows} == {"exact", "faction", "ambiguous", "fuzzy", "none"}
+
+
+def test_pairing_of_the_tables(spark, sf_dir):
+    parts = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name").collect()]
+    named = [(k, b, f"{n} of {k}" if k % 3 == 0 else n) for k, b, n in parts]
+    entities = [(k, b, n[:2] + n[3:] if k % 5 == 0 else n) for k, b, n in named]
+    got = {x["entity_id"]: (x["how"], x["canonical_id"]) for x in retrieval.q55_pairing(spark, sf_dir).collect()}
+    assert got == brute_pairs(entities, named)
