@@ -13,28 +13,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import unit_key
+from .lineage import cut
 
 
 def compare_and_set(base: DataFrame, patches: DataFrame, key: Sequence[str], column: str, guard=lambda c: c) -> tuple[DataFrame, DataFrame]:
-    """Set ``column`` to ``to`` where it still reads ``from``.
-
-    ``patches`` has the key and ``patch_id, from, to``. Statuses: ``invalid``
-    (a part is missing), ``not_unique`` (no row, or several), ``already``,
-    ``mismatch``, ``applied``.
+    """Set ``column`` to ``to`` where it still reads ``from``, patch after patch.
+
+    ``patches`` has the key and ``patch_id, from, to``. The patches of a row
+    are folded in the order of patch_id (then of from and to), each on what the
+    one before it left, so a chain 3 to 4 to 6 is applied and a second patch
+    from 3 is a mismatch. Statuses: ``invalid`` (a part is missing),
+    ``not_unique`` (no row, or several), ``already``, ``mismatch``, ``applied``.
+    ``found`` is the value that the patch met. A null key meets no row.
     """
-    target = base.groupBy(*key).agg(F.count("*").alias("_n"), F.min(column).alias("_current"))
-    met = patches.join(target, list(key), "left")
-    missing = F.col("from").isNull() | F.col("to").isNull()
-    status = (
-        F.when(missing, "invalid")
-        .when(F.coalesce("_n", F.lit(0)) != 1, "not_unique")
-        .when(guard(F.col("_current")) == guard(F.col("to")), "already")
-        .when(guard(F.col("_current")) == guard(F.col("from")), "applied")
-        .otherwise("mismatch")
-    )
-    report = met.select("patch_id", *key, F.col("from"), F.col("to"), F.col("_current").alias("found"), status.alias("status"))
-    done = report.where("status = 'applied'").groupBy(*key).agg(F.min_by("to", "patch_id").alias("_to"))
-    changed = base.join(done, list(key), "left").withColumn(column, F.coalesce("_to", column)).select(*base.columns)
+    target = base.groupBy(*key).agg(F.count("*").alias("_n"), F.min(column).cast("string").alias("_current"))
+    wanted = F.array_sort(F.collect_list(F.struct("patch_id", F.col("from").cast("string").alias("from"), F.col("to").cast("string").alias("to"))))
+    met = patches.groupBy(*key).agg(wanted.alias("_wanted")).join(target, list(key), "left")
+    of_patch = f"patch_id: {dict(patches.dtypes)['patch_id']}, `from`: string, `to`: string, found: string, status: string"
+
+    def step(state: Column, patch: Column) -> Column:
+        now = state["now"]
+        status = (
+            F.when(patch["from"].isNull() | patch["to"].isNull(), "invalid")
+            .when(F.coalesce("_n", F.lit(0)) != 1, "not_unique")
+            .when(guard(now) == guard(patch["to"]), "already")
+            .when(guard(now) == guard(patch["from"]), "applied")
+            .otherwise("mismatch")
+        )
+        told = F.struct(patch["patch_id"].alias("patch_id"), patch["from"].alias("from"), patch["to"].alias("to"), now.alias("found"), status.alias("status"))
+        return F.struct(F.when(status == "applied", patch["to"]).otherwise(now).alias("now"), F.concat(state["told"], F.array(told)).alias("told"))
+
+    start = F.struct(F.col("_current").alias("now"), F.array().cast(f"array<struct<{of_patch}>>").alias("told"))
+    folded = met.select(*key, F.aggregate("_wanted", start, step).alias("_end"))
+    report = folded.select(*key, F.explode("_end.told").alias("_told")).select("_told.patch_id", *key, "_told.from", "_told.to", "_told.found", "_told.status")
+    done = folded.where(F.exists("_end.told", lambda t: t["status"] == "applied")).select(*key, F.col("_end.now").alias("_to"))
+    changed = base.join(done, list(key), "left").withColumn(column, F.coalesce(F.col("_to").cast(dict(base.dtypes)[column]), column)).select(*base.columns)
     return changed, report
 
 
@@ -45,19 +58,54 @@ def edit_list(current: Column, remove: Column, add: Column) -> Column:
     return F.concat(kept, F.filter(F.array_distinct(add), lambda k: ~F.array_contains(F.transform(kept, F.lower), F.lower(k))))
 
 
-def guarded_insert(base: DataFrame, rows: DataFrame, key: str, name: str, group: str) -> tuple[DataFrame, DataFrame]:
-    """Insert rows whose key and (name, group) are new. Statuses: ``exists``, ``id_clash``, ``name_clash``, ``inserted``."""
-    ids = base.select(F.col(key), F.col(name).alias("_name"))
-    names = base.groupBy(name, group).agg(F.min(key).alias("_other"))
+def guarded_insert(base: DataFrame, rows: DataFrame, key: str, name: str, group: str, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Insert rows whose key and (name, group) are new, one after the other by ``order`` (then key, name, group).
+
+    Statuses: ``invalid`` (no key or no name), ``exists`` (the key is there
+    with that name), ``id_clash`` (with another or none), ``name_clash`` (the
+    group has the name), ``inserted``. A row also meets those inserted before
+    it, and only those: what is turned down takes neither key nor name. The
+    outcome of that sequence is found in rounds. In each, a row that is the
+    first of the undecided both for its key and for its name is inserted, and
+    the undecided that it meets are turned down; reasons are told at the end. Columns of ``order`` that the
+    base lacks are not inserted.
+    """
+    ids = base.groupBy(F.col(key).alias("_key")).agg(F.collect_set(name).alias("_names"))
+    named = base.select(F.col(name).alias("_name"), F.col(group).alias("_group"), F.lit(True).alias("_taken")).distinct()
+    numbered = rows.withColumn("_id", F.monotonically_increasing_id())
+    met = numbered.join(ids, F.col(key) == F.col("_key"), "left").join(named, (F.col(name) == F.col("_name")) & F.col(group).eqNullSafe(F.col("_group")), "left")
     status = (
-        F.when(F.col("_name") == F.col(name), "exists")
-        .when(F.col("_name").isNotNull(), "id_clash")
-        .when(F.col("_other").isNotNull(), "name_clash")
-        .otherwise("inserted")
+        F.when(F.col(key).isNull() | F.col(name).isNull(), "invalid")
+        .when(F.array_contains("_names", F.col(name)), "exists")
+        .when(F.col("_key").isNotNull(), "id_clash")
+        .when(F.col("_taken"), "name_clash")
     )
-    report = rows.join(ids, key, "left").join(names, [name, group], "left").withColumn("status", status)
-    new = report.where("status = 'inserted'").select(*rows.columns)
-    return base.unionByName(new, allowMissingColumns=True), report.select(key, name, "status")
+    known = cut(met.withColumn("status", status).drop("_key", "_names", "_name", "_group", "_taken"))
+    decided, undecided = known.where("status <> 'name_clash'"), known.where("status is null or status = 'name_clash'")
+    rank = F.struct(*[F.col(c) for c in (*order, key, name, group, "_id")])
+    open_ = undecided.where("status is null").drop("status")
+    winners = open_.limit(0).withColumn("_rank", rank)
+    while not open_.isEmpty():
+        by_key = open_.groupBy(F.col(key).alias("_key")).agg(F.min(rank).alias("_k"))
+        by_name = open_.groupBy(F.col(name).alias("_name"), F.col(group).alias("_group")).agg(F.min(rank).alias("_m"))
+        ranked = open_.join(by_key, F.col(key) == F.col("_key")).join(by_name, (F.col(name) == F.col("_name")) & F.col(group).eqNullSafe(F.col("_group")))
+        wins = cut(ranked.where((F.col("_k._id") == F.col("_id")) & (F.col("_m._id") == F.col("_id"))).select(*open_.columns).withColumn("_rank", rank))
+        left = open_.join(wins.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+        taken = wins.select(F.col(name).alias("_name"), F.col(group).alias("_group"))
+        open_ = cut(left.join(taken, (F.col(name) == F.col("_name")) & F.col(group).eqNullSafe(F.col("_group")), "left_anti"))
+        winners = winners.unionByName(wins)
+    before = winners.select(F.col(key).alias("_key"), F.col(name).alias("_other"), F.col("_id").alias("_by"), F.col("_rank").alias("_before"))
+    met = undecided.withColumn("_rank", rank).join(before, (F.col(key) == F.col("_key")) & (F.col("_before") <= F.col("_rank")), "left")
+    status = F.when(F.col("_by") == F.col("_id"), "inserted").when(F.col("_other") == F.col(name), "exists").when(F.col("_by").isNotNull(), "id_clash").otherwise("name_clash")
+    decided = decided.unionByName(met.withColumn("status", status).select(*decided.columns))
+    new = decided.where("status = 'inserted'").select(*[c for c in rows.columns if c in base.columns or c not in order])
+    return base.unionByName(new, allowMissingColumns=True), decided.select(*dict.fromkeys([*order, key, name]), "status")
+
+
+def insert_children(base: DataFrame, rows: DataFrame, report: DataFrame, key: str, parent: str) -> DataFrame:
+    """``base`` and the rows whose parent (``parent`` in them, ``key`` in the report) has been inserted now."""
+    inserted = report.where("status = 'inserted'").select(F.col(key).alias(parent)).distinct()
+    return base.unionByName(rows.join(inserted, parent, "left_semi"), allowMissingColumns=True)
 
 
 def fill_empty(current: Column, value: Column) -> tuple[Column, Column]:
@@ -70,10 +118,10 @@ def fill_empty(current: Column, value: Column) -> tuple[Column, Column]:
 def deactivate(base: DataFrame, marks: DataFrame, key: str, name: str, column: str = "state") -> tuple[DataFrame, DataFrame]:
     """Mark rows as removed if the name that the mark expects is theirs; the column is added if it is absent."""
     rows = base if column in base.columns else base.withColumn(column, F.lit(None).cast("string"))
-    met = marks.select(key, F.col(name).alias("_expected"), F.col("mark").alias("_mark")).join(rows.select(key, name, column), key, "left")
+    met = marks.select(key, F.col(name).alias("_expected"), F.col("mark").alias("_mark")).join(rows.select(key, name, column, F.lit(True).alias("_there")), key, "left")
     status = (
-        F.when(F.col(name).isNull(), "not_found")
-        .when(F.lower(name) != F.lower("_expected"), "mismatch")
+        F.when(F.col("_there").isNull(), "not_found")
+        .when(~F.lower(name).eqNullSafe(F.lower("_expected")), "mismatch")
         .when(F.col(column) == F.col("_mark"), "already")
         .otherwise("applied")
     )
@@ -148,29 +196,41 @@ def price_lookup(listed: DataFrame, units: DataFrame, aliases: DataFrame) -> Dat
     """``list_id, how, unit_id``: the units that a listed name means, by its name, its alias, or its singular if one name has it.
 
     ``listed``: list_id, faction, name. ``units``: unit_id, faction, name; all units of a name are meant.
-    ``aliases``: alias, name.
+    ``aliases``: alias, name. An alias of several names of the faction is ``ambiguous`` and means none.
     """
     own = units.select("unit_id", "faction", F.lower(F.trim("name")).alias("unit"))
     names = own.select("faction", "unit").distinct()
     single = names.groupBy("faction", unit_key(F.col("unit")).alias("single")).agg(F.min("unit").alias("by_single"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
     wanted = listed.select("list_id", "faction", F.lower(F.trim("name")).alias("key")).withColumn("single", unit_key(F.col("key")))
-    alias = aliases.select(F.lower(F.trim("alias")).alias("key"), F.lower(F.trim("name")).alias("unit")).join(names, "unit").select("faction", "key", F.col("unit").alias("by_alias")).distinct()
+    pairs = aliases.select(F.lower(F.trim("alias")).alias("key"), F.lower(F.trim("name")).alias("unit")).distinct()
+    alias = pairs.join(names, "unit").groupBy("faction", "key").agg(F.min("unit").alias("by_alias"), F.count("*").alias("_aliases"))
     met = (
         wanted.join(names.select("faction", F.col("unit").alias("key"), F.col("unit").alias("by_name")), ["faction", "key"], "left")
         .join(alias, ["faction", "key"], "left")
         .join(single, ["faction", "single"], "left")
     )
-    how = F.when(F.col("by_name").isNotNull(), "exact").when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_single").isNotNull(), "singular").otherwise("none")
-    told = met.select("list_id", "faction", how.alias("how"), F.coalesce("by_name", "by_alias", "by_single").alias("unit"))
+    several = F.col("_aliases") > 1
+    how = (
+        F.when(F.col("by_name").isNotNull(), "exact").when(several, "ambiguous").when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_single").isNotNull(), "singular").otherwise("none")
+    )
+    unit = F.when(F.col("by_name").isNotNull(), F.col("by_name")).when(several, F.lit(None)).otherwise(F.coalesce("by_alias", "by_single"))
+    told = met.select("list_id", "faction", how.alias("how"), unit.alias("unit"))
     return told.join(own, ["faction", "unit"], "left").select("list_id", "how", "unit_id")
 
 
 def merged_tiers(items: Column, listed: Column) -> Column:
-    """Price items ``array<struct<models, cost>>`` with the listed costs: matching ones updated, missing ones added."""
-    has = F.map_from_entries(listed)
-    updated = F.transform(items, lambda i: F.struct(i["models"].alias("models"), F.coalesce(F.try_element_at(has, i["models"]), i["cost"]).alias("cost")))
-    known = F.transform(items, lambda i: i["models"])
-    return F.concat(updated, F.filter(listed, lambda i: ~F.array_contains(known, i["models"])))
+    """Price items ``array<struct<models, cost>>`` with the listed costs: matching ones updated, missing ones added.
+
+    Of a list, a model count with several costs says nothing, and entries
+    without a count or a cost are passed over; null arrays count as empty.
+    """
+    kind = "array<struct<models: int, cost: int>>"
+    own, given = F.coalesce(items.cast(kind), F.array().cast(kind)), F.coalesce(listed.cast(kind), F.array().cast(kind))
+    whole = F.array_distinct(F.filter(given, lambda i: i["models"].isNotNull() & i["cost"].isNotNull()))
+    told = F.filter(whole, lambda i: F.size(F.filter(whole, lambda x: x["models"] == i["models"])) == 1)
+    price = lambda models: F.get(F.filter(told, lambda x: x["models"] == models), 0)["cost"]
+    updated = F.transform(own, lambda i: F.struct(i["models"].alias("models"), F.coalesce(price(i["models"]), i["cost"]).alias("cost")))
+    return F.concat(updated, F.filter(told, lambda i: ~F.exists(own, lambda x: x["models"].eqNullSafe(i["models"]))))
 
 
 def imported(rows: DataFrame, key: str, renames: dict[str, str] | None = None) -> DataFrame:

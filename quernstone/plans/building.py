@@ -20,22 +20,29 @@ def q33_size_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _price_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A streamed page per brand: own prices in two sections, some in hidden segments, and borrowed ones under another heading."""
     k = F.col("p_partkey")
-    item = F.concat(F.lit("<li><b>"), "p_name", F.lit("</b> "), F.col("p_size").cast("string"), F.lit(" models "), F.floor("p_retailprice").cast("string"), F.lit(" pts</li>"))
+    plain = F.concat(F.lit('<div class="x bg-slate-500 font-bold text-xl">'), F.upper("p_name"), F.lit("</div>"))
+    changed = F.concat(F.lit('<div class="bg-red-500 font-bold"><span class="text-xl keep-all">'), F.upper("p_name"), F.lit("</span><span>▲</span></div>"))
+    price = lambda more: F.concat(
+        F.lit("<li><span>"), F.col("p_size").cast("string"), F.lit(" models</span>"), F.when(k % 4 == 0, '<span class="up">▲ (+10) ').otherwise("<span>"), (F.floor("p_retailprice") + more).cast("string"), F.lit(" pts</span></li>")
+    )
+    tier = lambda name, more: F.concat(F.lit('<div class="bg-slate-200 font-bold p">'), F.lit(name), F.lit("</div><ul>"), price(more), F.lit("</ul>"))
+    tiers = F.when(k % 3 == 0, F.concat(tier("YOUR 1ST UNIT COSTS ", 0), tier("YOUR 2ND + UNIT COSTS", 20))).otherwise(tier("YOUR UNIT COSTS", 0))
+    item = F.concat(F.when(k % 4 == 0, changed).otherwise(plain), tiers, F.lit("<li><span>1 model</span><span>777 pts</span></li>"))  # the last stands in no list
     kind = F.when(k % 5 == 0, "hidden").when(k % 7 == 0, "borrowed").when(k % 3 == 0, "forts").otherwise("units")
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", item.alias("item"), kind.alias("kind"))
     listed = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == name, F.struct("p_partkey", "item")))), lambda x: x["item"]), "")
     html = F.concat(
         F.lit("<html><h3 class='x'>Units</h3>"), listed("units"), F.lit('<template id="P:1a"></template><h3><i>Every model has the keyword</i></h3>'), listed("borrowed"),
-        F.lit("<h3>Fortifications</h3>"), listed("forts"), F.lit('<template id="P:2"></template><div hidden id="S:1a">'), listed("hidden"), F.lit('</div><script>$RS("S:1a","P:1a")</script></html>'),
+        F.lit("<h3>Fortifications</h3>"), listed("forts"), F.lit('<template id="P:2"></template><div hidden id="S:1a">an older one</div><script>$RS("S:1a","P:1a")</script><div hidden id="S:1a">'), listed("hidden"),
+        F.lit('</div><script>$RS("S:1a","P:1a")</script></html>'),
     )
     return rows.groupBy("p_brand").agg(html.alias("html"))
 
 
 def q34_price_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct prices of the sections that count, hidden segments in their places."""
+    """Distinct prices of the sections that count, with unit and tier, hidden segments in their places."""
     own = tables.kept_sections(tables.filled_placeholders(F.col("html")))
-    rows = _price_pages(spark, sf_dir).select("p_brand", F.explode(tables.price_rows(own)).alias("r"))
-    return rows.select("p_brand", F.col("r.models").alias("models"), F.col("r.points").alias("points"))
+    return tables.price_rows(_price_pages(spark, sf_dir).select("p_brand", own.alias("own")), "own", "p_brand")
 
 
 def q35_price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +51,10 @@ def q35_price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = parts.select(F.col("p_partkey").alias("unit_id"), F.col("p_brand").alias("faction"), F.col("p_name").alias("name"))
     name = F.when(kind == 0, F.upper("p_name")).when(kind == 1, F.concat("p_name", F.lit("S"))).when(kind == 2, F.concat(F.lit("old "), "p_name")).otherwise(F.concat("p_name", F.lit(" x")))
     listed = parts.select(F.col("p_partkey").alias("list_id"), F.col("p_brand").alias("faction"), name.alias("name"))
-    aliases = parts.where("p_partkey % 3 = 0").select(F.concat(F.lit("Old "), "p_name").alias("alias"), F.col("p_name").alias("name"))
+    old = F.concat(F.lit("Old "), "p_name")
+    shared = parts.where("p_partkey % 5 = 0").groupBy("p_brand").agg(F.min("p_name").alias("name"))  # an alias of a second name
+    aliases = parts.where("p_partkey % 3 = 0").select(old.alias("alias"), F.col("p_name").alias("name"), "p_brand")
+    aliases = aliases.select("alias", "name").union(aliases.where("p_partkey % 2 = 0").drop("name").join(shared, "p_brand").select("alias", "name"))
     found = overlay.price_lookup(listed, units, aliases)
     return found.groupBy("list_id", "how").agg(F.count("unit_id").alias("units"), F.min("unit_id").alias("first_unit"))
 
@@ -164,18 +174,23 @@ ORACLE_SQL = {
         select doc_id, part, cast(length(c) as bigint) as n_chars, sha256(c) as chunk_sha256
         from (select doc_id, part, '## doc ' || doc_id || case when part > 0 then '（续）' else '' end || chr(10) || piece as c from r where part >= 0)""",
     "q34_price_page": """
-        select distinct p_brand, cast(p_size as integer) as models, cast(floor(p_retailprice) as integer) as points from part where p_partkey % 5 = 0 or p_partkey % 7 <> 0""",
+        with p as (select p_brand, upper(p_name) as unit, p_size || ' models' as models, cast(floor(p_retailprice) as integer) as points, p_partkey % 3 = 0 as tiered from part where p_partkey % 5 = 0 or p_partkey % 7 <> 0)
+        select distinct p_brand, trim(unit) as unit, case when tiered then 'YOUR 1ST UNIT COSTS' else 'YOUR UNIT COSTS' end as tier, models, points from p
+        union select p_brand, trim(unit), 'YOUR 2ND + UNIT COSTS', models, points + 20 from p where tiered""",
     "q35_price_lookup": f"""
         with u as (select p_partkey as id, p_brand as f, lower(trim(p_name)) as n from part),
         nm as (select distinct f, n from u),
         sg as (select f, s, min(n) as n from (select f, n, {_KEY.format('n')} as s from nm) group by f, s having count(*) = 1),
-        al as (select distinct 'old ' || lower(trim(p_name)) as a, lower(trim(p_name)) as n from part where p_partkey % 3 = 0),
+        sh as (select p_brand, min(p_name) as name from part where p_partkey % 5 = 0 group by 1),
+        al as (
+            select lower(trim('Old ' || p_name)) as a, lower(trim(p_name)) as n from part where p_partkey % 3 = 0
+            union select lower(trim('Old ' || p_name)), lower(trim(name)) from part join sh using (p_brand) where p_partkey % 6 = 0),
         l as (
             select p_partkey as list_id, p_brand as f, lower(trim(case p_partkey % 4 when 0 then p_name when 1 then p_name || 's' when 2 then 'old ' || p_name else p_name || ' x' end)) as k from part),
         m as (
-            select list_id, l.f, case when nm.n is not null then 'exact' when a2.n is not null then 'alias' when sg.n is not null then 'singular' else 'none' end as how,
-                   coalesce(nm.n, a2.n, sg.n) as n
-            from l left join nm on nm.f = l.f and nm.n = k left join (select nm.f, a, al.n from al join nm using (n)) a2 on a2.f = l.f and a2.a = k
+            select list_id, l.f, case when nm.n is not null then 'exact' when several > 1 then 'ambiguous' when a2.n is not null then 'alias' when sg.n is not null then 'singular' else 'none' end as how,
+                   case when nm.n is not null then nm.n when several > 1 then null else coalesce(a2.n, sg.n) end as n
+            from l left join nm on nm.f = l.f and nm.n = k left join (select nm.f, a, min(al.n) as n, count(*) as several from al join nm using (n) group by all) a2 on a2.f = l.f and a2.a = k
                  left join sg on sg.f = l.f and sg.s = {_KEY.format('k')})
         select list_id, how, count(u.id) as units, min(u.id) as first_unit from m left join u on u.f = m.f and u.n = m.n group by list_id, how""",
     "q36_import_counts": """

@@ -100,31 +100,41 @@ def q09_price_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q10_price_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New prices: the list's base price where there is one, every row of the name updated."""
+    """New prices: model counts that the list has are updated, those that a unit lacks are added; a count listed at several prices says nothing."""
     parts, listed = _derived_prices(spark, sf_dir)
-    base = listed.where(base_tier(F.col("tier"))).groupBy("p_brand", "name").agg(F.min("points").alias("listed"), F.max("points").alias("top"))
-    out = parts.join(base, ["p_brand", "name"], "left")
-    return out.select("p_partkey", F.coalesce("listed", "price").alias("points"), F.when(F.col("listed") != F.col("top"), F.concat_ws("/", F.col("listed").cast("string"), F.col("top").cast("string"))).otherwise("").alias("tiers"))
+    sizes = F.col("p_partkey") % 3 + 1
+    base = listed.where(base_tier(F.col("tier"))).select("p_brand", "name", F.struct(sizes.cast("int").alias("models"), F.col("points").cast("int").alias("cost")).alias("item"))
+    base = base.groupBy("p_brand", "name").agg(F.array_sort(F.collect_list("item")).alias("listed"))
+    own = F.array(*[F.struct(F.lit(k).alias("models"), (F.col("price") * k).cast("int").alias("cost")) for k in (1, 5)])
+    out = parts.join(base, ["p_brand", "name"], "left").withColumn("items", overlay.merged_tiers(own, F.col("listed")))
+    shown = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["models"].cast("string"), i["cost"].cast("string"))), ",")
+    return out.select("p_partkey", shown.alias("items"), F.array_min(F.col("items.cost")).alias("points"))
 
 
 def _segment_patches(customers: DataFrame) -> DataFrame:
-    """Patches of every kind: applying, done already, off the mark, incomplete, and without a row."""
+    """Patches of every kind: applying, done already, off the mark, incomplete, and without a row; some in chains, of which one comes too late."""
     kind = F.col("c_custkey") % 5
-    return customers.where("c_custkey % 10 < 5").select(
-        F.col("c_custkey").alias("patch_id"),
+    own = customers.where("c_custkey % 10 < 5")
+    first = own.select(
+        (F.col("c_custkey") * 4).alias("patch_id"),
         F.when(kind == 4, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("c_custkey"),
         F.when(kind == 1, "OTHER").when(kind == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lower("c_mktsegment"), F.lit(' "'))).alias("from"),
         F.when(kind == 3, F.col("c_mktsegment")).otherwise("PATCHED").alias("to"),
     )
+    chain = own.where(kind == 0)
+    second = chain.select((F.col("c_custkey") * 4 + 1).alias("patch_id"), "c_custkey", F.lit("patched").alias("from"), F.lit("TWICE").alias("to"))
+    late = chain.select((F.col("c_custkey") * 4 + 2).alias("patch_id"), "c_custkey", F.col("c_mktsegment").alias("from"), F.lit("LATE").alias("to"))
+    return first.unionByName(second).unionByName(late)
 
 
 def q11_cas_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compare-and-set twice: the second run finds what the first has done."""
+    """Compare-and-set twice: the second run finds what the first has left."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     wanted = _segment_patches(customers)
     once, first = overlay.compare_and_set(customers, wanted, ["c_custkey"], "c_mktsegment", tx.guard_key)
-    _, second = overlay.compare_and_set(once, wanted, ["c_custkey"], "c_mktsegment", tx.guard_key)
-    return first.select("patch_id", F.col("status").alias("first_run")).join(second.select("patch_id", F.col("status").alias("second_run")), "patch_id")
+    twice, second = overlay.compare_and_set(once, wanted, ["c_custkey"], "c_mktsegment", tx.guard_key)
+    met = first.select("patch_id", "c_custkey", F.col("status").alias("first_run")).join(second.select("patch_id", F.col("status").alias("second_run")), "patch_id")
+    return met.join(twice, "c_custkey", "left").select("patch_id", "first_run", "second_run", F.col("c_mktsegment").alias("value"))
 
 
 def q12_list_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,16 +144,23 @@ def q12_list_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_guarded_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are there already, clash with a key or a name, or are new; new ones come again under the same key or name, and with children."""
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     kind = F.col("s_suppkey") % 4
-    rows = suppliers.select(
+    own = suppliers.select(
         F.when(kind < 2, F.col("s_suppkey")).otherwise(F.col("s_suppkey") + 1_000_000).alias("s_suppkey"),
         F.when(kind.isin(0, 2), F.col("s_name")).otherwise(F.concat(F.lit("New "), "s_name")).alias("s_name"),
-        "s_nationkey",
-    )
-    merged, report = overlay.guarded_insert(suppliers, rows, "s_suppkey", "s_name", "s_nationkey")
-    counts = report.groupBy("status").agg(F.count("*").alias("n"))
-    return counts.unionByName(merged.agg(F.lit("total").alias("status"), F.count("*").alias("n")))
+        "s_nationkey", kind.alias("kind"),
+    )
+    rows, other = own.withColumn("nth", F.lit(0)), F.concat(F.lit("Other "), "s_name")
+    for nth, far, name in ((1, 0, F.col("s_name")), (2, 0, other), (3, 1_000_000, F.col("s_name")), (4, 1_000_000, other)):
+        rows = rows.unionByName(own.where("kind = 3").select((F.col("s_suppkey") + far).alias("s_suppkey"), name.alias("s_name"), "s_nationkey", "kind", F.lit(nth).alias("nth")))
+    merged, report = overlay.guarded_insert(suppliers, rows.drop("kind"), "s_suppkey", "s_name", "s_nationkey", ["nth"])
+    counts = report.groupBy("nth", "status").agg(F.count("*").alias("n"))
+    children = rows.select(F.col("s_suppkey").alias("parent"), F.explode(F.sequence(F.lit(1), F.col("s_nationkey") % 3 + 1)).alias("child")).distinct()
+    stored = overlay.insert_children(children.limit(0), children, report, "s_suppkey", "parent")
+    totals = merged.agg(F.lit(-1).alias("nth"), F.lit("total").alias("status"), F.count("*").alias("n")).unionByName(stored.agg(F.lit(-1).alias("nth"), F.lit("children").alias("status"), F.count("*").alias("n")))
+    return counts.unionByName(totals)
 
 
 def q14_fill_and_deactivate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,34 +251,61 @@ ORACLE_SQL = {
         from own left join b using (p_brand, name) left join t using (p_brand) group by p_brand""",
     "q10_price_apply": f"""
         with {_PRICES},
-        b as (select p_brand, name, min(points) as listed, max(points) as top from based where base group by all)
-        select p_partkey, coalesce(listed, price) as points, case when listed <> top then listed || '/' || top else '' end as tiers
-        from parts left join b using (p_brand, name)""",
-    "q11_cas_patch": """
-        with p as (
-            select c_custkey as patch_id, case when c_custkey % 5 = 4 then -c_custkey else c_custkey end as k,
+        b as (select distinct p_brand, name, cast(p_partkey % 3 + 1 as integer) as m, points as c from based where base),
+        u as (select p_brand, name, m, min(c) as c from b group by all having count(*) = 1),
+        l as (select p_brand, name, list({{'m': m, 'c': c}} order by m, c) as l from u group by all),
+        i as (select p_partkey, p_brand, name, unnest([{{'m': 1, 'c': price}}, {{'m': 5, 'c': price * 5}}]) as it from parts),
+        n as (select i.p_partkey, it.m as m, coalesce(u.c, it.c) as c, it.m as o from i left join u on u.p_brand = i.p_brand and u.name = i.name and u.m = it.m
+              union all select p_partkey, u.m, u.c, 10 + u.m from parts join u using (p_brand, name) where u.m not in (1, 5))
+        select p_partkey, string_agg(m || ':' || c, ',' order by o) as items, cast(min(c) as integer) as points from n group by p_partkey""",
+    "q11_cas_patch": r"""
+        with recursive p as (
+            select c_custkey * 4 as patch_id, case when c_custkey % 5 = 4 then -c_custkey else c_custkey end as k,
                    case when c_custkey % 5 = 1 then 'OTHER' when c_custkey % 5 = 2 then null else lower(c_mktsegment) || ' "' end as f,
                    case when c_custkey % 5 = 3 then c_mktsegment else 'PATCHED' end as t
-            from customer where c_custkey % 10 < 5),
-        m as (
-            select patch_id, k, t, c_mktsegment as cur,
-                   case when f is null or t is null then 'invalid' when c_custkey is null then 'not_unique'
-                        when lower(regexp_replace(c_mktsegment, '[" ]', '', 'g')) = lower(regexp_replace(t, '[" ]', '', 'g')) then 'already'
-                        when lower(regexp_replace(c_mktsegment, '[" ]', '', 'g')) = lower(regexp_replace(f, '[" ]', '', 'g')) then 'applied' else 'mismatch' end as first_run
-            from p left join customer on c_custkey = k)
-        select patch_id, first_run, case when first_run = 'applied' then 'already' else first_run end as second_run from m""",
+            from customer where c_custkey % 10 < 5
+            union all select c_custkey * 4 + 1, c_custkey, 'patched', 'TWICE' from customer where c_custkey % 10 = 0
+            union all select c_custkey * 4 + 2, c_custkey, c_mktsegment, 'LATE' from customer where c_custkey % 10 = 0),
+        o as (select *, row_number() over (partition by k order by patch_id) as nth, count(*) over (partition by k) as n from p),
+        r as (
+            select k, 0 as step, c_mktsegment as cur, cast(null as bigint) as patch_id, '' as status, c_custkey is not null as there
+            from (select distinct k from p) left join customer on c_custkey = k
+            union all
+            select k, step + 1, case when s = 'applied' then t else cur end, pid, s, there
+            from (
+                select r.k, r.step, r.cur, o.patch_id as pid, o.t, r.there,
+                       case when f is null or t is null then 'invalid' when not there then 'not_unique'
+                            when lower(regexp_replace(cur, '[" ]', '', 'g')) = lower(regexp_replace(t, '[" ]', '', 'g')) then 'already'
+                            when lower(regexp_replace(cur, '[" ]', '', 'g')) = lower(regexp_replace(f, '[" ]', '', 'g')) then 'applied' else 'mismatch' end as s
+                from r join o on o.k = r.k and o.nth = case when r.step < o.n then r.step + 1 else r.step + 1 - o.n end
+                where r.step < 2 * o.n))
+        select a.patch_id, a.status as first_run, b.status as second_run, case when b.there then e.cur end as value
+        from o join r a on a.k = o.k and a.step = o.nth join r b on b.k = o.k and b.step = o.nth + o.n join r e on e.k = o.k and e.step = 2 * o.n""",
     "q12_list_patch": """
         with k as (select p_partkey, list_filter(string_split(p_type, ' '), lambda x: lower(x) not in ('standard', 'tin')) as kept from part)
         select p_partkey, array_to_string(list_concat(kept, list_filter(['ADDED', 'brass'], lambda x: not list_contains(list_transform(kept, lambda y: lower(y)), lower(x)))), ',') as keywords from k""",
     "q13_guarded_insert": """
-        with r as (
-            select case when s_suppkey % 4 < 2 then s_suppkey else s_suppkey + 1000000 end as k, case when s_suppkey % 4 in (0, 2) then s_name else 'New ' || s_name end as name, s_nationkey as nk from supplier),
-        names as (select distinct s_name, s_nationkey from supplier),
-        s as (
-            select r.*, case when i.s_name = name then 'exists' when i.s_name is not null then 'id_clash' when n.s_name is not null then 'name_clash' else 'inserted' end as status
-            from r left join supplier i on i.s_suppkey = k left join names n on n.s_name = name and n.s_nationkey = nk)
-        select status, count(*) as n from s group by status
-        union all select 'total', (select count(*) from supplier) + (select count(*) from s where status = 'inserted')""",
+        with recursive r as (
+            select s_suppkey as fam, case when s_suppkey % 4 < 2 then s_suppkey else s_suppkey + 1000000 end as k, case when s_suppkey % 4 in (0, 2) then s_name else 'New ' || s_name end as name, s_nationkey as nk from supplier),
+        f as (
+            select fam, 0 as nth, k, name, nk from r
+            union all select fam, v.nth, k + v.far, v.o || name, nk from r, (values (1, 0, ''), (2, 0, 'Other '), (3, 1000000, ''), (4, 1000000, 'Other ')) as v(nth, far, o) where fam % 4 = 3),
+        b as (
+            select f.*, case when i.s_name = name then 'exists' when i.s_suppkey is not null then 'id_clash' when n.s_name is not null then 'name_clash' end as met
+            from f left join supplier i on i.s_suppkey = k left join (select distinct s_name, s_nationkey from supplier) n on n.s_name = name and n.s_nationkey = nk),
+        w as (
+            select fam, nk, -1 as nth, [{'k': cast(-1 as bigint), 'n': ''}] as taken, '' as status, cast(-1 as bigint) as k from b where nth = 0
+            union all
+            select fam, nk, nth, case when s = 'inserted' then list_append(taken, {'k': k, 'n': name}) else taken end, s, k
+            from (
+                select w.fam, w.nk, b.nth, w.taken, b.k, b.name,
+                       case when met is not null then met when len(list_filter(taken, lambda x: x.k = b.k and x.n = name)) > 0 then 'exists' when len(list_filter(taken, lambda x: x.k = b.k)) > 0 then 'id_clash'
+                            when len(list_filter(taken, lambda x: x.n = name)) > 0 then 'name_clash' else 'inserted' end as s
+                from w join b on b.fam = w.fam and b.nth = w.nth + 1)),
+        d as (select * from w where nth >= 0)
+        select cast(nth as integer) as nth, status, count(*) as n from d group by all
+        union all select -1, 'total', (select count(*) from supplier) + (select count(*) from d where status = 'inserted')
+        union all select -1, 'children', cast(coalesce(sum(nk % 3 + 1), 0) as bigint) from d where status = 'inserted'""",
     "q14_fill_and_deactivate": """
         with c as (select c_custkey, case when c_custkey % 3 = 0 then '' else c_name end as cur, case when c_custkey % 4 <> 1 then 'Name ' || c_custkey end as src from customer),
         f as (

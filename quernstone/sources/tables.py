@@ -80,22 +80,43 @@ def page_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, "<title>([^<]*)</title>", 1))
 
 
-def price_rows(html: Column) -> Column:
-    """``array<struct<models, points>>`` of the ``N models ... M pts`` items of a price page."""
-    items = F.regexp_extract_all(html, F.lit("([0-9]+ models?[^<0-9]*[0-9]+ pts)"), F.lit(1))
-    return F.array_distinct(F.transform(items, lambda x: F.struct(F.regexp_extract(x, "^([0-9]+)", 1).cast("int").alias("models"), F.regexp_extract(x, "([0-9]+) pts", 1).cast("int").alias("points"))))
+# The marks by which a price page shows a unit (in two styles), a tier over its list, and a price.
+PAGE_UNIT = ('<div class="[^"]*bg-slate-500[^"]*font-bold text-xl[^"]*">', '<span class="text-xl keep-all">')
+PAGE_TIER = '<div class="bg-slate-200[^"]*font-bold[^"]*">'
+PAGE_PRICE = "<li><span>([^<]+)</span><span[^>]*>(?:[▲▼] *\\([+-]?[0-9]+\\) *)?([0-9]+) pts</span></li>"
+
+
+def price_rows(pages: DataFrame, html: str, *ids: str) -> DataFrame:
+    """``ids, unit, tier, models, points`` of every price of a page, each once.
+
+    The marks of a page are taken in its order; a price belongs to the tier
+    whose list it stands in, and that to the unit above it.
+    """
+    unit, tier = f"(?:{'|'.join(PAGE_UNIT)})([^<]+)<", f"{PAGE_TIER}([^<]+)</div><ul"
+    marks = F.regexp_extract_all(html, F.lit(f"{unit}|{tier}|{PAGE_PRICE}|</ul>"), F.lit(0))
+    each = pages.withColumn("_page", F.monotonically_increasing_id()).select("_page", *ids, F.posexplode(marks).alias("_at", "_mark"))
+    shown = lambda pattern, group: F.nullif(F.trim(F.regexp_extract("_mark", f"^{pattern}", group)), F.lit(""))
+    above = Window.partitionBy("_page").orderBy("_at")
+    headed = each.withColumn("unit", F.last(shown(unit, 1), True).over(above)).withColumn("_tier", shown(tier, 1))
+    ends = F.when(F.col("_tier").isNotNull(), F.col("_tier")).when(F.col("_mark").startswith("<li>"), F.lit(None)).otherwise("")  # a unit or the end of a list ends the tier
+    rows = headed.withColumn("tier", F.last(ends, True).over(above)).where(F.col("_mark").startswith("<li>") & (F.col("tier") != "") & F.col("unit").isNotNull())
+    return rows.select(*ids, "unit", "tier", shown(PAGE_PRICE, 1).alias("models"), shown(PAGE_PRICE, 2).try_cast("int").alias("points")).distinct()
 
 
 # The sections of a price page whose prices are the army's own.
 KEPT_SECTIONS = ("UNITS", "FORTIFICATIONS")
+# The marks of a streamed page, by which a script moves a hidden segment to its placeholder.
 _SEGMENT = '(?s)<div hidden id="S:([0-9a-f]+)">(.*?)</div><script>[^<]*?\\$RS\\("S:\\1","P:\\1"\\)</script>'
 _PLACEHOLDER = '<template id="P:[0-9a-f]+"></template>'
 
 
 def filled_placeholders(html: Column, rounds: int = 10) -> Column:
-    """A streamed page as a browser shows it: hidden segments move to their placeholders, and those without one are empty."""
+    """A streamed page as a browser shows it: hidden segments move to their placeholders, and those without one are empty.
+
+    Of several segments with one id the last fills.
+    """
     ids, bodies = (F.regexp_extract_all(html, F.lit(_SEGMENT), F.lit(group)) for group in (1, 2))
-    segments = F.arrays_zip(ids.alias("id"), bodies.alias("body"))
+    segments = F.reverse(F.arrays_zip(ids.alias("id"), bodies.alias("body")))
     body = F.regexp_replace(html, _SEGMENT, "")
 
     def fill(doc: Column, _: Column) -> Column:
