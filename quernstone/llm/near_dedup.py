@@ -22,20 +22,27 @@ three pivots of the band: the one that shares bands with the most others, the
 least, and one more; this links nearly all groups. Then only members of
 different components can add to the result: those outside the band's largest
 component are compared with all of the band, each pair in the first band that
-it shares. A band with many of them is dealt out: they go to one part each, of
-at most about ``PART_ROWS``, and all of the band goes to every part, so that no
-task has a whole band to compare.
+it shares.
+
+A band with many of those outside (``MOST_OUTSIDE``) is not compared in this
+way. Its sets are put in one order, rare shingles first, and two that reach the
+threshold then share one of their first shingles, of which the sizes of both
+say how many count. So what such texts have in common, and brought them into
+one band, is not met again unless it fills nearly all of them; the join on
+these shingles loses no pair.
 
 Defined cases: null and empty texts have empty sets and are linked with
 nothing; of fewer words than a shingle the whole sequence is the one shingle;
 rows with null or repeated doc_ids are documents of their own (null doc_ids
-sort last; a group of null doc_ids only has a null component_id); an empty
+sort last; a group of null doc_ids only has a null component_id, and all of its
+rows have it; of a group ``drop_near_copies`` keeps one row all the same); an empty
 table gives an empty result; very long texts are sliced on their own, their set
 in memory; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +59,9 @@ SAMPLES, ROWS = 200, 5
 SKETCH_LONGS = 16
 DEVIATIONS = 6.0
 SLICE_BYTES = 1 << 20
-PART_ROWS = 512
+MOST_OUTSIDE = 512
+FREQUENCY_BUCKETS = 1 << 18
+SIZE_STEP = 1.05
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -167,6 +176,59 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return both.where(100 * common >= percent * (F.size("ma") + F.size("mb") - common)).select("a", "b")
 
 
+def _first_shingles(members: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a set meets those of its size class and of each near one, and its side of them (0 smaller, 1 larger, 2 equal class)."""
+    n = len(members)
+    order = members[np.lexsort((members, counts[(mix(members) % np.uint64(len(counts))).astype(np.int64)]))]
+    least = lambda k: max(1, math.ceil(SIZE_STEP**k - 1e-9))
+    own = int(math.log(n) / math.log(SIZE_STEP) + 1e-9)
+    while least(own + 1) <= n:  # rounding
+        own += 1
+    reach = math.ceil(math.log(100 / percent) / math.log(SIZE_STEP)) + 1
+    keys, sides = [], []
+    for other in range(max(0, own - reach), own + reach + 1):
+        a, b = min(own, other), max(own, other)
+        common = -(-percent * (least(a) + least(b)) // (100 + percent))
+        if common <= n:
+            keys.append(mix(order[: n - common + 1] + mix(np.array([a * 100_003 + b], np.uint64))))
+            sides.append(np.full(len(keys[-1]), 2 if other == own else int(other < own), np.int8))
+    return np.concatenate(keys), np.concatenate(sides)
+
+
+def _alike(rows: DataFrame, docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
+    """Likely pairs ``a, b`` among the rows (``_row, component``) of different components, by their first shingles in the order of frequency."""
+    sets = _full_sets(docs.join(rows.select(ROW), ROW, "left_semi"), width)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(1).flatten().to_numpy().view(np.uint64)
+            bucket, n = np.unique((mix(members) % np.uint64(FREQUENCY_BUCKETS)).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+
+    told = sets.mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a number for each bucket
+    counts = np.zeros(FREQUENCY_BUCKETS, np.int64)
+    counts[told["bucket"].to_numpy()] = told["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0).to_numpy(), []
+            for i, own in enumerate(batch.column(1)):
+                keys, sides = _first_shingles(own.values.to_numpy().view(np.uint64), shared.value, percent)
+                out.append((np.full(len(keys), ids[i]), keys, sides))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].view(np.int64)), pa.array(columns[2])], [ROW, "key", "side"])
+
+    met = cut(sets.mapInArrow(first, f"{ROW} long, key long, side tinyint").join(rows, ROW))
+    several = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = met.join(several, "key")
+    x, y = met.where("side <> 1").alias("x"), met.where("side <> 0").alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("x.side") == 0) | (F.col(f"x.{ROW}") < F.col(f"y.{ROW}")))
+    pairs = cut(x.join(y, apart).select(F.least(f"x.{ROW}", f"y.{ROW}").alias("a"), F.greatest(f"x.{ROW}", f"y.{ROW}").alias("b")).distinct())
+    both = pairs.join(sketches.alias("x"), F.col("a") == F.col(f"x.{ROW}")).join(sketches.alias("y"), F.col("b") == F.col(f"y.{ROW}"))
+    return both.where(_likely("x", "y", percent)).select("a", "b")
+
+
 def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """``_row, doc_id, n_shingles, component_id, kept`` for the rows of a ``keyed`` frame."""
     all_rows = cut(signatures(docs, width))
@@ -194,14 +256,18 @@ def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRE
     sizes = labelled.groupBy("band", "component").count()
     mixed = cut(sizes.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("count", "component")).alias("main")).where("kinds > 1").select("band", "main"))
     if not mixed.isEmpty():
-        open_rows = cut(labelled.join(mixed, "band").join(heads.select(ROW, "n", "sketch", "odd", "bands"), ROW))
-        outside = open_rows.where("component <> main").groupBy("band").agg((F.count("*") / PART_ROWS).cast("int").alias("last"))
-        open_rows = open_rows.join(cut(outside), "band")
-        x = open_rows.where("component <> main").withColumn("part", F.pmod(F.xxhash64(ROW), F.col("last") + 1).cast("int")).alias("x")
-        y = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), "last"))).alias("y")
+        open_rows = labelled.join(mixed, "band")
+        outside = open_rows.where("component <> main").groupBy("band").agg(F.count("*").alias("outside"))
+        open_rows = cut(open_rows.join(cut(outside), "band"))
+        few = open_rows.where(F.col("outside") <= MOST_OUTSIDE).join(heads.select(ROW, "n", "sketch", "odd", "bands"), ROW)
+        x, y = few.where("component <> main").alias("x"), few.alias("y")
         first_shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.array_position("x.bands", F.col("x.band"))
-        rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component")) & _likely("x", "y", percent) & first_shared)
-        rest = cut(rest.select(F.least(f"x.{ROW}", f"y.{ROW}").alias("a"), F.greatest(f"x.{ROW}", f"y.{ROW}").alias("b")).distinct())
+        rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & _likely("x", "y", percent) & first_shared)
+        rest = rest.select(F.least(f"x.{ROW}", f"y.{ROW}").alias("a"), F.greatest(f"x.{ROW}", f"y.{ROW}").alias("b"))
+        many = cut(open_rows.where(F.col("outside") > MOST_OUTSIDE).select(ROW, "component").distinct())
+        if not many.isEmpty():
+            rest = rest.union(_alike(many, docs, sketches, width, percent))
+        rest = cut(rest.distinct())
         more = cut(_confirmed(rest, docs, width, percent))
         if not more.isEmpty():
             labels = cut(components(links.union(more)))
@@ -219,8 +285,8 @@ def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRE
 
 
 def near_dedup(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """One row per document: the size of its set, the least doc_id of its group, and whether it stays."""
-    return near_groups(keyed(docs), width, percent).drop(ROW)
+    """One row per document: the size of its set, the least doc_id of its group, and whether it has that doc_id (several rows may)."""
+    return near_groups(keyed(docs), width, percent).drop(ROW).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:

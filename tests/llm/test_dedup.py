@@ -136,7 +136,7 @@ def brute_near(rows, width, percent):
     for i, r in enumerate(rows):
         key = (r[0] is None, r[0] or 0, i)
         least[root(i)] = min(least.get(root(i), key), key)
-    return Counter((r[0], len(sets[i]), rows[least[root(i)][2]][0], least[root(i)][2] == i) for i, r in enumerate(rows))
+    return Counter((r[0], len(sets[i]), rows[least[root(i)][2]][0], rows[least[root(i)][2]][0] == r[0]) for i, r in enumerate(rows))
 
 
 @pytest.mark.parametrize(("width", "percent"), [(4, 80), (5, 80), (1, 60)])
@@ -157,16 +157,45 @@ def test_near_dedup_of_a_chain(spark):
     assert found == {(r[0], r[2]) for r in brute_near(rows, 4, 80)}
 
 
-def test_near_dedup_of_a_band_without_links(spark, monkeypatch):
-    """Many texts share half of their words, and bands, and few are alike enough; the band is dealt out in parts."""
-    monkeypatch.setattr(near_dedup, "PART_ROWS", 8)
+def test_near_dedup_of_repeated_ids(spark):
+    texts = ["one text of some words here", None, "another one that nothing is like"]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (None, texts[2]), (None, texts[2]), (None, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.near_dedup(docs, 4).select("doc_id", "component_id", "kept")
+    assert Counter(map(tuple, found.collect())) == Counter({(1, 1, True): 2, (2, 1, False): 1, (None, None, True): 3})
+    assert Counter(map(tuple, near_dedup.drop_near_copies(docs, 4).collect())) == Counter([(1, texts[0]), (None, texts[2]), (None, None)])
+
+
+@pytest.mark.parametrize("most", [0, 8, 512])
+def test_near_dedup_of_a_band_without_links(spark, monkeypatch, most):
+    """Many texts share half of their words, and bands, and few are alike enough; the band is compared by first shingles, or member by member."""
+    monkeypatch.setattr(near_dedup, "MOST_OUTSIDE", most)
     r = random.Random(6)
     common = [f"c{i}" for i in range(60)]
     rows = [(i, " ".join(common + [f"x{i}_{j}" for j in range(r.randint(10, 30))])) for i in range(120)]
     rows += [(200 + i, rows[i][1] + " tail") for i in range(10)]
+    rows += [(300 + i, " ".join(common + rows[i][1].split()[60:] + [f"y{i}_{j}" for j in range(r.randint(3, 22))])) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {tuple(r) for r in near_dedup.near_dedup(docs, 4).select("doc_id", "component_id").collect()}
-    assert found == {(r[0], r[2]) for r in brute_near(rows, 4, 80)} and len({c for _, c in found}) == 120
+    assert found == {(r[0], r[2]) for r in brute_near(rows, 4, 80)} and len({c for _, c in found}) > 120
+
+
+def test_first_shingles_meet_for_every_pair_alike():
+    """Sets of all sizes: whatever reaches the threshold shares a key on opposite sides."""
+    r = np.random.default_rng(5)
+    counts = r.integers(0, 9, near_dedup.FREQUENCY_BUCKETS)
+    met = pairs = 0
+    for _ in range(1500):
+        percent, n = int(r.choice([80, 60, 95])), int(r.integers(1, 120))
+        own = np.unique(r.integers(0, 1 << 62, n, np.uint64))
+        other = np.unique(np.concatenate([own[r.random(len(own)) < r.choice([0.7, 0.9, 1])], r.integers(0, 1 << 62, int(r.integers(0, n // 4 + 2)), np.uint64)]))
+        common = len(np.intersect1d(own, other))
+        if len(other) == 0 or 100 * common < percent * (len(own) + len(other) - common):
+            continue
+        pairs += 1
+        (ka, sa), (kb, sb) = (near_dedup._first_shingles(s, counts, percent) for s in (own, other))
+        met += any(set(ka[sa == p].tolist()) & set(kb[sb == q].tolist()) for p, q in ((0, 1), (1, 0), (2, 2)))
+    assert met == pairs > 200
 
 
 def test_components(spark):
