@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from . import names as name_search, resolve
 
 
 def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -18,6 +16,55 @@ def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(known, "target", "left_anti")
 
 
+LINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
+
+
+def repaired_links(pages: DataFrame, known: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """``page, text, n_repaired``: links (``[[target]]`` or ``[[target|shown]]``) to no known page (``path``) lead to the page whose path is most like theirs.
+
+    A link that no path is ``cutoff`` like stays as it is.
+    """
+    targets = pages.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(LINK), F.lit(1)))).alias("target")).distinct()
+    broken = broken_links(targets, known).select(F.col("target").alias("name"))
+    found = resolve.closest(broken, known.select(F.col("path").alias("name")), cutoff)
+    ends = F.explode(F.array(F.lit("]]"), F.lit("|"))).alias("end")
+    changes = found.select("name", "match", ends).select(F.concat(F.lit("[["), "name", "end").alias("name"), F.concat(F.lit("[["), "match", "end").alias("value"))
+    return name_search.rewrite(pages.select("page", "text"), changes, "text", fold=False).withColumnRenamed("n_replaced", "n_repaired")
+
+
+def structure(rows: DataFrame, key: str, lists: str) -> DataFrame:
+    """``key, shape``: the canonical form of each row's lists (``array<array<string>>``), sorted, empty ones too; rows with empty lists only are left out.
+
+    A key that comes twice is an error.
+    """
+    told = rows.where(F.exists(lists, lambda x: F.size(x) > 0))
+    once = told.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.to_json(F.array_sort(F.transform(lists, lambda x: F.coalesce(x, F.array().cast("array<string>")))))).alias("shape"))
+    twice = F.raise_error(F.concat(F.lit("a key comes twice: "), F.col(key).cast("string")))
+    return once.select(key, F.when(F.col("_n") > 1, twice).otherwise(F.col("shape")).alias("shape"))
+
+
+def aligned_verdict(gold: Column, required: Column, answer: Column) -> Column:
+    """correct, partial or wrong by the fields asked for, of which an answer may have several records.
+
+    ``gold``: map of field to value. ``required``: the fields asked for.
+    ``answer``: map of field to ``struct<many: boolean, tokens: array<string>>``;
+    the i-th tokens of fields with many belong to one record, null where it has
+    none, and a field with one counts for all records. A field without a token
+    is missing, one whose tokens are all other values is wrong. An answer is
+    correct if nothing is wrong or missing and one record has all gold values.
+    """
+    own = F.transform(required, lambda f: F.struct(F.try_element_at(gold, f).alias("gold"), F.try_element_at(answer, f).alias("told")))
+    tokens = lambda x: F.coalesce(x["told"]["tokens"], F.array().cast("array<string>"))
+    many = lambda x: F.coalesce(x["told"]["many"], F.lit(False))
+    given = lambda x: F.exists(tokens(x), lambda t: t.isNotNull())
+    hit = lambda x: F.exists(tokens(x), lambda t: t.isNotNull() & t.eqNullSafe(x["gold"]))
+    wrong, missing, matched = F.exists(own, lambda x: given(x) & ~hit(x)), F.exists(own, lambda x: ~given(x)), F.exists(own, hit)
+    records = F.array_max(F.transform(own, lambda x: F.when(many(x), F.size(tokens(x))).otherwise(1)))
+    of_record = lambda i: F.forall(own, lambda x: F.get(tokens(x), F.when(many(x), i).otherwise(0)).eqNullSafe(x["gold"]))
+    one = F.exists(F.sequence(F.lit(0), F.greatest(records, F.lit(1)) - 1), of_record)
+    return F.when(wrong | ~matched, "wrong").when(missing, "partial").when(one, "correct").otherwise("partial")
+
+
 def name_conflicts(names: DataFrame) -> DataFrame:
     """``name, pages``: names that more than one page claims, in any case."""
     claimed = names.groupBy(F.lower("name").alias("name")).agg(F.countDistinct("page").alias("pages"))
@@ -112,37 +159,11 @@ def zipped(left: DataFrame, right: DataFrame, key: str, order: list[str], value:
     return pairs.select(key, "pos", F.col("p.l").alias("left_value"), F.col("p.r").alias("right_value"))
 
 
-def name_pattern(name: str) -> str:
-    """A name as a whole word; only ASCII letters and digits count as neighbours."""
-    return f"(?<![A-Za-z0-9]){re.escape(name)}(?![A-Za-z0-9])"
-
-
-def link_names(pages: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
-    """``page, text, linked``: the first mention of each name (``name, target``) becomes a link; longest first, never inside a link.
+def link_names(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """``page, text, linked``: the first mention of each name (``name, target``) as a whole word becomes a link; longest first, never inside a link.
 
-    ``names`` is a bounded list that goes to every task with the function.
+    Only ASCII letters and digits count as neighbours of a word.
     """
-    ordered = sorted(names, key=lambda n: (-len(n[0]), n[0]))
-    patterns = [(re.compile(name_pattern(n)), n, target) for n, target in ordered]
-
-    def inject(text: str | None) -> tuple[str | None, int]:
-        if text is None:
-            return None, 0
-        taken = [m.span() for m in re.finditer(r"\[\[[^\]]*\]\]", text)]
-        places = []
-        for pattern, name, target in patterns:
-            for m in pattern.finditer(text):
-                if all(m.end() <= a or m.start() >= b for a, b in taken):
-                    taken.append(m.span())
-                    places.append((m.start(), m.end(), f"[[{target}|{name}]]"))
-                    break
-        for a, b, link in sorted(places, reverse=True):
-            text = text[:a] + link + text[b:]
-        return text, len(places)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = [inject(t) for t in batch["text"]]
-            yield pd.DataFrame({"page": batch["page"], "text": [t for t, _ in done], "linked": [n for _, n in done]})
-
-    return pages.select("page", "text").mapInPandas(run, T.StructType([T.StructField("page", T.LongType()), T.StructField("text", T.StringType()), T.StructField("linked", T.IntegerType())]))
+    links = names.select("name", F.concat(F.lit("[["), "target", F.lit("|"), "name", F.lit("]]")).alias("value"))
+    done = name_search.rewrite(pages.select("page", "text"), links, "text", fold=False, whole=True, once=True, spare=r"\[\[[^\]]*\]\]")
+    return done.select("page", "text", F.col("n_replaced").alias("linked"))

@@ -81,6 +81,43 @@ def fuzzy(names: DataFrame, canonical: DataFrame, block: str, cutoff: float = 0.
     return best.select("name_id", F.col("_best.b").alias("match"), F.round("_best.ratio", 6).alias("ratio"))
 
 
+def _letters(df: DataFrame, column: str) -> DataFrame:
+    """``column, token``: each character of a string with the number of its occurrence, so that common characters are common tokens."""
+    upto = F.substring(F.col(column), F.lit(1), F.col("i"))
+    each = df.select(column, F.explode(F.sequence(F.lit(1), F.length(column))).alias("i")).withColumn("c", F.substring(F.col(column), F.col("i"), F.lit(1)))
+    return each.select(column, F.concat(F.col("c"), (F.length(upto) - F.length(F.replace(upto, F.col("c"), F.lit("")))).cast("string")).alias("token"))
+
+
+def closest(names: DataFrame, pool: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """``name, match, ratio``: for each distinct name the most similar string of the pool (``name``), if it is ``cutoff`` like it; of equal ones the last.
+
+    No block divides the pool. Strings meet by an inverted index of their
+    characters (with the number of the occurrence). Two strings as much alike
+    as the cutoff have so many characters in common that, put in the order of
+    rarity, their first ones share one; how many first ones that are follows
+    from both lengths. So the index finds every such pair, and what it finds is
+    compared. Null and empty strings are like nothing.
+    """
+    c = float(cutoff)
+    wanted, known = names.where("name <> ''").select(F.col("name").alias("a")).distinct(), pool.where("name <> ''").select(F.col("name").alias("b")).distinct()
+    in_pool = _letters(known, "b")
+    rarity = in_pool.groupBy("token").agg(F.count("*").alias("held"))
+
+    def ordered(letters: DataFrame, column: str) -> DataFrame:
+        ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token")))
+        return letters.join(rarity, "token", "left").groupBy(column).agg(F.transform(ranked, lambda x: x["token"]).alias("tokens"))
+
+    alike = lambda x, y: F.ceil(c * (x + y) / 2 - 1e-9).cast("int")
+    n = F.length("b")
+    index = ordered(in_pool, "b").select("b", n.alias("n"), F.explode(F.slice("tokens", 1, n - alike(F.ceil(n * c / (2 - c) - 1e-9), n) + 1)).alias("token"))
+    asked = ordered(_letters(wanted, "a"), "a").withColumn("n", F.explode(_lengths("a", c)))
+    first = F.length("a") - alike(F.length("a"), F.col("n")) + 1
+    asked = asked.where(first > 0).select("a", "n", F.explode(F.slice("tokens", 1, first)).alias("token"))
+    met = asked.join(index, ["token", "n"]).select("a", "b").distinct().where(_may_match("a", "b", c))
+    near = met.withColumn("ratio", similarity("b", "a")).where(F.col("ratio") >= c)
+    return near.groupBy(F.col("a").alias("name")).agg(F.max(F.struct("ratio", "b")).alias("_best")).select("name", F.col("_best.b").alias("match"), F.round("_best.ratio", 6).alias("ratio"))
+
+
 def pair(entities: DataFrame, canonical: DataFrame, cutoff: float = 0.85) -> DataFrame:
     """``entity_id, how, canonical_id``: entities of books with the canonical entry that they are.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import latin_tokens
+from . import names as name_search
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -145,15 +146,9 @@ def layer_floor(ranked: DataFrame, candidates: DataFrame, layer: str, top: int =
 
 
 def substring_matches(texts: DataFrame, names: DataFrame, reach: int = 3) -> DataFrame:
-    """``id, name``: the names (of at least ``reach`` characters) that occur in each text (``id, text``).
-
-    Names meet the positions of the text by their first characters, an
-    equi-join; no text is compared with all names.
-    """
-    at = F.sequence(F.lit(1), F.length("text") - reach + 1)
-    grams = texts.where(F.length("text") >= reach).select("id", "text", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(reach))))).alias("gram"))
-    starts = names.where(F.length("name") >= reach).select("name", F.substring("name", 1, reach).alias("gram"))
-    return grams.join(starts, "gram").where(F.contains("text", F.col("name"))).select("id", "name")
+    """``id, name``: the names (of at least ``reach`` characters) that occur in each text (``id, text``), by one automaton over all of them."""
+    told = names.where(F.length("name") >= reach).select("name", F.lit("").alias("value"))
+    return name_search.mentions(texts, told, "id", "text", fold=False).select("id", "name").distinct()
 
 
 def weighted_search(docs: DataFrame, terms: DataFrame, fields: dict[str, int], k: int = 10) -> DataFrame:

@@ -107,7 +107,7 @@ def q48_entity_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q49_link_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [(w, f"terms/{w}.md") for w in ("the", "que", "der", "license", "MIT License", "Released under", "under the", "las", "les")]
+    names = spark.createDataFrame([(w, f"terms/{w}.md") for w in ("the", "que", "der", "license", "MIT License", "Released under", "under the", "las", "les")], "name string, target string")
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
     return quality.link_names(pages, names)
 

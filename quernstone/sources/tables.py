@@ -72,6 +72,35 @@ def frontmatter(text: Column) -> tuple[Column, Column]:
     return F.when(text.rlike("(?s)^---\\n.*?\\n---"), head), F.when(text.rlike("(?s)^---\\n.*?\\n---"), F.regexp_replace(text, "(?s)^---\\n.*?\\n---\\n?", ""))
 
 
+def table_rows(pages: DataFrame, page: str, text: str) -> DataFrame:
+    """``page, heading, line, cells`` of the rows of Markdown tables, each under the last ``### `` heading before it.
+
+    Cells are trimmed; an escaped pipe is part of its cell. Lines that divide a
+    header from its rows, and those headers, are no rows. Fences of code are
+    not read.
+    """
+    lines = pages.select(F.col(page).alias("page"), F.posexplode(F.split(text, "\\r?\\n")).alias("line", "value")).withColumn("value", F.trim("value"))
+    order = Window.partitionBy("page").orderBy("line")
+    told = lines.withColumn("heading", F.last(F.when(F.col("value").startswith("### "), F.trim(F.substring("value", 5, 1 << 30))), True).over(order))
+    divides = F.col("value").rlike("^\\|( *:?-+:? *\\|)+$")
+    fenced = F.sum(F.col("value").startswith("```").cast("int")).over(order) % 2 == 1
+    rows = told.withColumn("_skip", divides | F.coalesce(F.lead(divides).over(order), F.lit(False)) | fenced).where(F.col("value").rlike("^\\|.*\\|$") & (F.length("value") > 1) & ~F.col("_skip"))
+    inner = F.substring("value", F.lit(2), F.length("value") - 2)
+    cells = F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
+    return rows.select("page", F.coalesce("heading", F.lit("")).alias("heading"), "line", cells.alias("cells"))
+
+
+def wiki_index(pages: DataFrame, page: str, text: str) -> DataFrame:
+    """``page, line, path, title, faction, type, summary, updated``: the rows of an index whose second cell is a link; ``-`` for a date is none."""
+    link = r"^\[(.+?)\]\((.+?)\)"
+    rows = table_rows(pages, page, text).where((F.size("cells") >= 4) & F.get("cells", 1).rlike(link))
+    cell = lambda i: F.get("cells", i)
+    return rows.select(
+        "page", "line", F.regexp_extract(cell(1), link, 2).alias("path"), F.regexp_extract(cell(1), link, 1).alias("title"), F.col("heading").alias("faction"),
+        cell(0).alias("type"), cell(2).alias("summary"), F.when(cell(3) == "-", "").otherwise(cell(3)).alias("updated"),
+    )
+
+
 def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
 

@@ -50,7 +50,7 @@ def test_fusion_prefers_what_both_lists_have(spark):
 
 def test_link_injection(spark):
     pages = spark.createDataFrame([(1, "Star Guard and Guard, Guardian; [[x|Guard]]"), (2, None)], "page long, text string")
-    got = {r["page"]: (r["text"], r["linked"]) for r in quality.link_names(pages, [("Guard", "g.md"), ("Star Guard", "s.md")]).collect()}
+    got = {r["page"]: (r["text"], r["linked"]) for r in quality.link_names(pages, spark.createDataFrame([("Guard", "g.md"), ("Star Guard", "s.md")], "name string, target string")).collect()}
     assert got == {1: ("[[s.md|Star Guard]] and [[g.md|Guard]], Guardian; [[x|Guard]]", 2), 2: (None, 0)}
 
 
