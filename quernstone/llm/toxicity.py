@@ -8,11 +8,13 @@ their association with the label, against a limit that rises with the number
 of features tried.
 
 Terms that may be exchanged for each other are stated (``IDENTITY_TERMS``,
-names of groups in four languages) and learned: common words (in at least
-``COMMON`` of the labelled texts, and in LEAST_TEXTS) whose association with the label is within
-chance, put together where the common words before and behind them are the
-same (cosine of the counts of at least ``ALIKE``). They are features whether
-associated or not. Every mention in a labelled text is exchanged, a stated
+names of groups in four languages) and learned. Learned terms are content
+words: in at least ``RARE`` of the labelled texts, and in LEAST_TEXTS, but in
+no more than ``COMMON`` of them, so that articles, pronouns and the like stay
+out; their association with the label is within chance; they are put together
+where the words before and behind them are the same (cosine of the counts of
+at least ``ALIKE``, over all words that are not rare). They are features
+whether associated or not. Every mention in a labelled text is exchanged, a stated
 term for each other one of its set, a learned one for one of its set that a
 hash of the text picks; the loss adds ``FAIRNESS`` times the mean squared
 difference that this makes to the score (log-odds), so that which of the
@@ -50,7 +52,7 @@ from .frames import cut
 from .language_id import held_out
 
 MAX_ROWS = 40_000
-COMMON, LEAST_TEXTS = 0.05, 20
+RARE, COMMON, LEAST_TEXTS = 0.02, 0.1, 20
 ALIKE = 0.9
 FAIRNESS = 1.0
 RIDGE = 1e-4
@@ -152,24 +154,25 @@ def _counts(rows: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(run, "feature string, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
 
 
-def choose(rows: DataFrame, common: float = COMMON) -> tuple[list[str], list[str]]:
-    """Features whose association with the label is beyond what chance gives the best of so many, and common words for which it is not."""
+def choose(rows: DataFrame, rare: float = RARE, common: float = COMMON) -> tuple[list[str], list[str], list[str]]:
+    """Features whose association with the label is beyond what chance gives the best of so many, content words for which it is not, and the other words that are not rare."""
     n, t = rows.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
     if not n or not t or t == n:
-        return [], []
+        return [], [], []
     counts = _counts(rows)
     rate = F.lit(t / n)
     part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * p))).otherwise(0.0)
     gain = part(F.col("t"), rate) + part(F.col("n") - F.col("t"), 1 - rate)
     limit = math.log(max(1, counts.count())) + 3
-    rated = counts.withColumn("gain", gain).withColumn("chosen", F.col("gain") > limit)
-    kept = rated.where(F.col("chosen") | ((F.col("n") >= max(common * n, LEAST_TEXTS)) & ~F.contains("feature", F.lit("^")))).select("feature", "chosen").orderBy(F.desc("gain"), "feature").collect()
-    return [r[0] for r in kept if r[1]], [r[0] for r in kept if not r[1]]
+    rated = counts.withColumn("gain", gain).withColumn("chosen", F.col("gain") > limit).withColumn("word", ~F.contains("feature", F.lit("^")) & (F.col("n") >= max(rare * n, LEAST_TEXTS)))
+    kept = rated.where("chosen or word").select("feature", "chosen", "word", (F.col("n") <= common * n).alias("content")).orderBy(F.desc("gain"), "feature").collect()
+    content = [r["feature"] for r in kept if r["word"] and r["content"] and not r["chosen"]]
+    return [r["feature"] for r in kept if r["chosen"]], content, [r["feature"] for r in kept if r["word"] and (r["chosen"] or not r["content"])]
 
 
-def exchangeable(rows: DataFrame, words: Sequence[str], alike: float = ALIKE) -> list[list[str]]:
-    """Sets of the given words that the same ones of them come before and behind."""
-    shared = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+def exchangeable(rows: DataFrame, words: Sequence[str], others: Sequence[str] = (), alike: float = ALIKE) -> list[list[str]]:
+    """Sets of the given words that the same ones, of them and of ``others``, come before and behind."""
+    shared = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate([*words, *others])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pairs = shared.value, Counter()
@@ -179,11 +182,13 @@ def exchangeable(rows: DataFrame, words: Sequence[str], alike: float = ALIKE) ->
                 pairs.update((a, b) for a, b in zip(at, at[1:]) if a >= 0 and b >= 0)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())], ["a", "b", "n"])
 
-    met = rows.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((len(words), 2 * len(words)), np.float32)
+    met = rows.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where((F.col("a") < len(words)) | (F.col("b") < len(words))).toArrow()
+    width = len(words) + len(others)
+    table = np.zeros((len(words), 2 * width), np.float32)
     first, second, n = (met[c].to_numpy() for c in "abn")
-    table[first, second] = n
-    table[second, len(words) + first] = n
+    before, after = first < len(words), second < len(words)
+    table[first[before], second[before]] = n[before]
+    table[second[after], width + first[after]] = n[after]
     size = np.sqrt(np.square(table).sum(axis=1))
     table /= np.maximum(size, 1e-12)[:, None]
     free, sets = size > 0, []
@@ -266,10 +271,10 @@ def descend(has: list[list[int]], toxic: np.ndarray, swaps: list[tuple[list[int]
     return weights, float(intercept)
 
 
-def fit(rows: DataFrame, fairness: float = FAIRNESS, identity: Sequence[Sequence[str]] = IDENTITY_TERMS, common: float = COMMON) -> Model:
+def fit(rows: DataFrame, fairness: float = FAIRNESS, identity: Sequence[Sequence[str]] = IDENTITY_TERMS, rare: float = RARE, common: float = COMMON) -> Model:
     """A model from ``text, toxic`` rows, which must be few enough for the driver."""
-    chosen, neutral = choose(rows, common)
-    learned = exchangeable(rows, neutral) if neutral else []
+    chosen, content, others = choose(rows, rare, common)
+    learned = exchangeable(rows, content, others) if content else []
     terms = {w for own in (*identity, *learned) for w in own}
     names = chosen + sorted(terms - set(chosen))
     table, swaps = _encoded(rows, names, identity, learned)
