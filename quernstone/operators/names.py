@@ -13,6 +13,7 @@ other, longest first, gives, but what has been put in is not searched again.
 from __future__ import annotations
 
 import bisect
+import string
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -22,6 +23,7 @@ from .lineage import cut
 
 NAMES_BYTES = 32 << 20
 Mention = tuple[int, int, str, str]
+_WORD = frozenset(string.ascii_letters + string.digits)
 
 
 def folded(text: str) -> str:
@@ -30,12 +32,6 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
 
 
-def _guarded(text: str, start: int, end: int) -> bool:
-    """No ASCII letter or digit touches the mention."""
-    inside = lambda c: c.isascii() and c.isalnum()
-    return not (start and inside(text[start - 1])) and not (end < len(text) and inside(text[end]))
-
-
 def automaton(names: Iterable[tuple[str, str]], fold: bool):
     """All names with what they stand for; of a name that is there twice, the least value."""
     import ahocorasick
@@ -50,35 +46,57 @@ def automaton(names: Iterable[tuple[str, str]], fold: bool):
 
 
 def occurrences(own, text: str, fold: bool, whole: bool) -> list[Mention]:
-    """``start, end, name, value`` of every mention, overlapping ones too."""
+    """``start, end, name, value`` of every mention, overlapping ones too; ``whole``: no ASCII letter or digit touches it."""
     if not len(own):
         return []
-    sought = folded(text) if fold else text
-    found = [(end + 1 - n, end + 1, name, value) for end, (n, name, value) in own.iter(sought)]
-    return [m for m in found if _guarded(text, m[0], m[1])] if whole else found
+    last, found = len(text) - 1, own.iter(folded(text) if fold else text)
+    if whole:
+        return [(e + 1 - n, e + 1, name, value) for e, (n, name, value) in found if (e == last or text[e + 1] not in _WORD) and (e + 1 == n or text[e - n] not in _WORD)]
+    return [(e + 1 - n, e + 1, name, value) for e, (n, name, value) in found]
+
+
+def _longest(mentions: list[Mention]) -> list[Mention]:
+    """The mentions that stay: longest first, then left, then by name; those that meet no other are not compared."""
+    kept, group, reach = [], [], 0
+    for m in [*sorted(mentions), None]:
+        if m is None or m[0] >= reach:
+            if len(group) > 1:
+                own: list[Mention] = []
+                for x in sorted(group, key=lambda x: (x[0] - x[1], x[0], x[2])):
+                    at = bisect.bisect_left(own, x[:1])
+                    if (not at or own[at - 1][1] <= x[0]) and (at == len(own) or own[at][0] >= x[1]):
+                        own.insert(at, x)
+                group = own
+            kept += group
+            group = []
+        if m is not None:
+            group.append(m)
+            reach = max(reach, m[1])
+    return kept
 
 
 def apart(mentions: Iterable[Mention], taken: Iterable[tuple[int, int]] = (), once: bool = False) -> list[Mention]:
     """The mentions that stay, in the order of the text: longest first, none inside ``taken``, each name one time if ``once``."""
-    starts, ends, kept, seen = [], [], [], set()
-
-    def put(a: int, b: int) -> bool:
-        at = bisect.bisect_right(starts, a)
-        if (at and ends[at - 1] > a) or (at < len(starts) and starts[at] < b):
-            return False
-        starts.insert(at, a)
-        ends.insert(at, b)
-        return True
-
-    for a, b in sorted(taken):
-        put(a, b)
-    for m in sorted(mentions, key=lambda m: (m[0] - m[1], m[2], m[0]) if once else (m[0] - m[1], m[0], m[2])):
-        if not (once and m[2] in seen) and put(m[0], m[1]):
+    taken = sorted(taken)
+    if not once:
+        free = mentions if not taken else [m for m in mentions if not _meets(taken, m)]
+        return _longest(list(free))
+    kept: list[Mention] = []
+    spans, seen = [tuple(t) for t in taken], set()
+    for m in sorted(mentions, key=lambda m: (m[0] - m[1], m[2], m[0])):
+        if m[2] not in seen and not _meets(spans, m):
+            bisect.insort(spans, (m[0], m[1]))
             kept.append(m)
             seen.add(m[2])
     return sorted(kept)
 
 
+def _meets(spans: list[tuple[int, int]], m: Mention) -> bool:
+    """Whether one of the spans, which lie apart and in order, overlaps the mention."""
+    at = bisect.bisect_right(spans, (m[0], m[1]))
+    return bool(at and spans[at - 1][1] > m[0]) or (at < len(spans) and spans[at][0] < m[1])
+
+
 def replaced(text: str, mentions: list[Mention]) -> str:
     out, at = [], 0
     for start, end, _, value in mentions:
