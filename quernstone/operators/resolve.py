@@ -6,9 +6,11 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import match_key
 from . import overlay
+from .lineage import cut
 
 
 def resolve(names: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -88,34 +90,107 @@ def _letters(df: DataFrame, column: str) -> DataFrame:
     return each.select(column, F.concat(F.col("c"), (F.length(upto) - F.length(F.replace(upto, F.col("c"), F.lit("")))).cast("string")).alias("token"))
 
 
-def closest(names: DataFrame, pool: DataFrame, cutoff: float = 0.6) -> DataFrame:
-    """``name, match, ratio``: for each distinct name the most similar string of the pool (``name``), if it is ``cutoff`` like it; of equal ones the last.
+GUESSES = 16
+
+
+def nearest_names(names: DataFrame, pool: DataFrame, cutoff: float, k: int) -> DataFrame:
+    """``a, b, ratio, nth``: for each distinct name the ``k`` most similar strings of the pool (``name`` in both) that are ``cutoff`` like it; of equal ones the last.
 
     No block divides the pool. Strings meet by an inverted index of their
     characters (with the number of the occurrence). Two strings as much alike
     as the cutoff have so many characters in common that, put in the order of
     rarity, their first ones share one; how many first ones that are follows
-    from both lengths. So the index finds every such pair, and what it finds is
-    compared. Null and empty strings are like nothing.
+    from both lengths. So the index finds every such pair. Bitmaps of the
+    characters bound the similarity of a pair from above; only pairs whose
+    bound reaches the ``k``-th best of some first guesses (those of the highest
+    bounds) are compared, so a name that many are like costs no more. Null and
+    empty strings are like nothing.
     """
     c = float(cutoff)
     wanted, known = names.where("name <> ''").select(F.col("name").alias("a")).distinct(), pool.where("name <> ''").select(F.col("name").alias("b")).distinct()
     in_pool = _letters(known, "b")
     rarity = in_pool.groupBy("token").agg(F.count("*").alias("held"))
+    bit = F.pmod(F.xxhash64("token"), F.lit(256)).cast("int")
+    maps = [F.bit_xor(F.when(F.shiftright(bit, 6) == w, F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in range(4)]
 
     def ordered(letters: DataFrame, column: str) -> DataFrame:
         ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token")))
-        return letters.join(rarity, "token", "left").groupBy(column).agg(F.transform(ranked, lambda x: x["token"]).alias("tokens"))
+        return letters.join(rarity, "token", "left").groupBy(column).agg(F.transform(ranked, lambda x: x["token"]).alias("tokens"), F.struct(*maps).alias(f"{column}_map"))
 
     alike = lambda x, y: F.ceil(c * (x + y) / 2 - 1e-9).cast("int")
     n = F.length("b")
-    index = ordered(in_pool, "b").select("b", n.alias("n"), F.explode(F.slice("tokens", 1, n - alike(F.ceil(n * c / (2 - c) - 1e-9), n) + 1)).alias("token"))
+    index = ordered(in_pool, "b").select("b", "b_map", n.alias("n"), F.explode(F.slice("tokens", 1, n - alike(F.ceil(n * c / (2 - c) - 1e-9), n) + 1)).alias("token"))
     asked = ordered(_letters(wanted, "a"), "a").withColumn("n", F.explode(_lengths("a", c)))
     first = F.length("a") - alike(F.length("a"), F.col("n")) + 1
-    asked = asked.where(first > 0).select("a", "n", F.explode(F.slice("tokens", 1, first)).alias("token"))
-    met = asked.join(index, ["token", "n"]).select("a", "b").distinct().where(_may_match("a", "b", c))
-    near = met.withColumn("ratio", similarity("b", "a")).where(F.col("ratio") >= c)
-    return near.groupBy(F.col("a").alias("name")).agg(F.max(F.struct("ratio", "b")).alias("_best")).select("name", F.col("_best.b").alias("match"), F.round("_best.ratio", 6).alias("ratio"))
+    asked = asked.where(first > 0).select("a", "a_map", "n", F.explode(F.slice("tokens", 1, first)).alias("token"))
+    index, asked = cut(index), cut(asked)
+    both = F.length("a") + F.col("n")
+    most = (both - sum((F.bit_count(F.col(f"a_map.m{w}").bitwiseXOR(F.col(f"b_map.m{w}"))) for w in range(4)), F.lit(0))) / both
+    met = asked.join(index, ["token", "n"]).withColumn("most", most).where(F.col("most") >= c - 1e-9)
+
+    guessed = met.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(GUESSES * k)).alias("slot")).agg(F.max(F.struct("most", "b")).alias("g"))
+    ratios = guessed.withColumn("ratio", similarity("g.b", "a")).where(F.col("ratio") >= c).groupBy("a").agg(F.get(F.sort_array(F.collect_list("ratio"), asc=False), k - 1).alias("least"))
+    told = cut(wanted.join(ratios, "a", "left").select("a", F.coalesce("least", F.lit(c)).alias("least")))
+    near = asked.join(told, "a").join(index, ["token", "n"]).where(most >= F.col("least") - 1e-9).select("a", "b").distinct()
+    rated = near.withColumn("ratio", similarity("b", "a")).where(F.col("ratio") >= c)
+    return rated.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("ratio"), F.desc("b")))).where(F.col("nth") <= k)
+
+
+def closest(names: DataFrame, pool: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """``name, match, ratio``: for each distinct name the most similar string of the pool, if one is ``cutoff`` like it; of equal ones the last."""
+    return nearest_names(names, pool, cutoff, 1).select(F.col("a").alias("name"), F.col("b").alias("match"), F.round("ratio", 6).alias("ratio"))
+
+
+MOST_HITS = 3
+
+
+def cascade(names: DataFrame, canonical: DataFrame, local: DataFrame, nicknames: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """``name_id, how, entity_id, candidates``: the first step that says something of a name.
+
+    ``names``: name_id, name. ``canonical``: entity_id, name, faction.
+    ``local``: name, entity_id (names in another language; of several entities
+    the least). ``nicknames``: alias, name.
+
+    Steps: the local name; ``Name (faction)``; the canonical name in any case;
+    the same for what a nickname stands for; the near names, of which the
+    MOST_HITS most similar local and canonical ones count. A canonical name of
+    several entities is ``ambiguous``, with ``Name (faction)`` for each; so are
+    several near names, which are then the candidates. One near name is
+    ``fuzzy``; none, ``none``.
+    """
+    key = F.upper(F.trim("name"))
+    shown = F.concat("name", F.lit(" ("), F.coalesce("faction", F.lit("?")), F.lit(")"))
+    keys = canonical.groupBy(key.alias("key")).agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("key_id"), F.array_sort(F.collect_set(shown)).alias("shown"))
+    inside = canonical.groupBy(key.alias("base"), F.upper("faction").alias("of")).agg(F.min("entity_id").alias("inside_id"))
+    foreign = local.where("name <> ''").groupBy(F.col("name").alias("t")).agg(F.min("entity_id").alias("local_id"))
+    split = "^(.*?) *\\(([^()]*)\\)$"
+
+    def exactly(asked: DataFrame) -> DataFrame:
+        wanted = asked.withColumn("key", F.upper("t")).withColumn("base", F.regexp_extract("key", split, 1)).withColumn("of", F.regexp_extract("key", split, 2))
+        met = wanted.join(foreign, "t", "left").join(inside, ["base", "of"], "left").join(keys, "key", "left")
+        told = F.coalesce("local_id", "inside_id", F.when(F.col("n") == 1, F.col("key_id")))
+        how = F.when(told.isNotNull(), "exact").when(F.col("n") > 1, "ambiguous")
+        return met.select("name_id", "t", how.alias("how"), told.alias("entity_id"), F.when(how == "ambiguous", F.col("shown")).alias("candidates"))
+
+    first = cut(exactly(names.select("name_id", F.trim("name").alias("t"))))
+    meant = nicknames.groupBy(F.col("alias").alias("t")).agg(F.min("name").alias("meant"))
+    open_ = first.where("how is null").select("name_id", "t")
+    by_nick = exactly(open_.join(meant, "t").select("name_id", F.trim("meant").alias("t"))).where("how = 'exact'").select("name_id", "how", "entity_id", "candidates")
+    open_ = cut(open_.join(by_nick, "name_id", "left_anti"))
+
+    hits = lambda asked, pool, rank: nearest_names(asked, pool, cutoff, MOST_HITS).select("a", F.lit(rank).alias("kind"), "nth", "b")
+    of_local = hits(open_.select(F.col("t").alias("name")), foreign.select(F.col("t").alias("name")), 0).withColumnRenamed("a", "t")
+    upper = open_.select("t", F.upper("t").alias("a")).distinct()
+    of_keys = hits(upper.select(F.col("a").alias("name")), keys.select(F.col("key").alias("name")), 1).join(upper, "a").select("t", "kind", "nth", "b")
+    found = of_local.select("t", "kind", "nth", "b").union(of_keys).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("kind", "nth", "b"))).alias("hits"))
+    one = F.when(F.size("hits") == 1, F.get("hits", 0))
+    met = open_.join(found, "t", "left").withColumn("local_b", F.when(one["kind"] == 0, one["b"])).withColumn("key_b", F.when(one["kind"] == 1, one["b"]))
+    met = met.join(foreign.withColumnRenamed("t", "local_b"), "local_b", "left").join(keys.withColumnRenamed("key", "key_b"), "key_b", "left")
+    entity = F.coalesce("local_id", F.when(F.col("n") == 1, F.col("key_id")))
+    how = F.when(F.col("hits").isNull(), "none").when(entity.isNotNull(), "fuzzy").otherwise("ambiguous")
+    listed = F.when(F.col("n") > 1, F.col("shown")).when(F.size("hits") > 1, F.transform("hits", lambda h: h["b"]))
+    last = met.select("name_id", how.alias("how"), entity.alias("entity_id"), listed.alias("candidates"))
+    return first.where("how is not null").drop("t").unionByName(by_nick).unionByName(last)
 
 
 def pair(entities: DataFrame, canonical: DataFrame, cutoff: float = 0.85) -> DataFrame:
