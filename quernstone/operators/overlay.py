@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import unit_key
 from .lineage import cut
+from .ordered import keep_last, numbered
 
 
 def compare_and_set(base: DataFrame, patches: DataFrame, key: Sequence[str], column: str, guard=lambda c: c) -> tuple[DataFrame, DataFrame]:
@@ -263,3 +264,17 @@ def guarded_writes(pages: DataFrame, registered: DataFrame) -> DataFrame:
     met = pages.join(registered.select("page", F.col("sha256").alias("_own")), "page", "left")
     status = F.when(F.col("official"), "official").when(F.col("_own").isNull(), "new").when(F.col("_own") != F.col("sha256"), "edited").otherwise("write")
     return met.select("page", status.alias("status"))
+
+
+def ability_rows(masters: DataFrame, links: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``id, owner, name, text``: abilities of their own (``id, name, text``, no owner) and those of units (``owner, name, text``), one row for each id.
+
+    The rows of a unit are numbered within it by ``order`` (in both), which
+    makes their ids, so an ability that several units share stays with each;
+    rows without an owner or a name take no number. Of rows with one id the
+    last counts, and links come after the masters.
+    """
+    own = masters.where("trim(coalesce(id, '')) <> ''").select("id", F.lit(None).cast("string").alias("owner"), "name", "text", F.lit(0).alias("_kind"), *order)
+    named = links.where("trim(coalesce(owner, '')) <> '' and trim(coalesce(name, '')) <> ''").withColumn("name", F.trim("name"))
+    of_units = numbered(named, ["owner"], order, "_nth").select(F.concat("owner", F.lit("_a"), F.col("_nth").cast("string")).alias("id"), "owner", "name", "text", F.lit(1).alias("_kind"), *order)
+    return keep_last(own.unionByName(of_units), ["id"], ["_kind", *order]).select("id", "owner", "name", "text")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from . import names as name_search, resolve
+from .lineage import cut
 
 
 def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -71,9 +74,36 @@ def name_conflicts(names: DataFrame) -> DataFrame:
     return claimed.where("pages > 1")
 
 
-def lint(rules: dict[str, DataFrame]) -> DataFrame:
-    """``rule, subject``: the findings of all rules (each a frame with ``subject``)."""
-    return reduce(DataFrame.unionByName, [found.select(F.lit(rule).alias("rule"), F.col("subject").cast("string").alias("subject")) for rule, found in rules.items()])
+def lint(rules: dict[str, DataFrame | Callable[[], DataFrame]]) -> DataFrame:
+    """``rule, subject``: the findings of all rules (each a frame with ``subject``, or what makes one).
+
+    Each rule runs by itself. One that fails, when it is made or when it runs,
+    is a finding of the rule ``lint_error`` about it, and the others go on.
+    """
+    found = []
+    for rule, made in rules.items():
+        try:
+            rows = made() if callable(made) else made
+            found.append(cut(rows.select(F.lit(rule).alias("rule"), F.col("subject").cast("string").alias("subject"))))
+        except PySparkException:
+            spark = SparkSession.active()
+            found.append(spark.range(1).select(F.lit("lint_error").alias("rule"), F.lit(rule).alias("subject")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def fragments(entities: DataFrame, pages: DataFrame) -> DataFrame:
+    """``entity_id, n, text``: the texts of the pages that an entity names (``entity_id, book, pages``), in the order of the pages; pages that are not there count for nothing."""
+    named = entities.select("entity_id", "book", F.posexplode(F.array_sort("pages")).alias("at", "page"))
+    met = named.join(pages.where("text is not null"), ["book", "page"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "at", "text"))), lambda x: x["text"])
+    return met.groupBy("entity_id").agg(F.count("*").alias("n"), F.array_join(ordered, "\n").alias("text"))
+
+
+def affected(pages: DataFrame, changed: DataFrame) -> DataFrame:
+    """``page``: the pages one of whose references (``page, raw``: array<string>) has one of the changed paths (``path``) in it."""
+    references = pages.select("page", F.explode("raw").alias("reference"))
+    sought = changed.select(F.col("path").alias("name"), F.lit("").alias("value"))
+    return name_search.mentions(references, sought, "page", "reference", fold=False).select("page").distinct()
 
 
 def layered_summary(results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import latin_tokens
 from . import names as name_search
+from .ordered import keep_first, numbered
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -159,3 +160,18 @@ def weighted_search(docs: DataFrame, terms: DataFrame, fields: dict[str, int], k
     score = sum((F.when(F.contains(F.lower(F.coalesce(name, F.lit(""))), F.col("term")), weight).otherwise(0) for name, weight in fields.items()), F.lit(0))
     scored = docs.join(F.broadcast(terms)).withColumn("score", score).where("score > 0")
     return best(scored, ["term"], [F.desc("score"), "doc_id"], k)
+
+
+def cited(sources: DataFrame, answer: str, order: Sequence[str], key: Sequence[str], book: str = "book") -> DataFrame:
+    """Sources of each answer without those that repeat a key (nulls are alike), numbered from 1 in the order of first mention; sources without a book are none."""
+    first = keep_first(sources.where(F.col(book).isNotNull() & (F.trim(F.col(book)) != "")), [answer, *key], order)
+    return numbered(first, [answer], order, "n")
+
+
+def context(passages: DataFrame, answer: str, rank: str) -> DataFrame:
+    """``answer, context``: the passages (``book, page, tag, text``) of each answer in the order of rank, each under its number, tag, book and page."""
+    page = F.when(F.col("page").isNotNull(), F.concat(F.lit("第"), F.col("page").cast("string"), F.lit("页"))).otherwise("")
+    tag = F.coalesce(F.concat(F.lit("·"), F.col("tag")), F.lit(""))
+    whole = numbered(passages, [answer], [rank], "_nth").withColumn("_text", F.concat(F.lit("【档案 "), F.col("_nth").cast("string"), tag, F.lit("】《"), "book", F.lit("》"), page, F.lit("\n"), F.coalesce("text", F.lit(""))))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_text"))), lambda x: x["_text"])
+    return whole.groupBy(answer).agg(F.array_join(parts, "\n\n" + "─" * 40 + "\n\n").alias("context"))

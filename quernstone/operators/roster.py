@@ -86,3 +86,39 @@ def legal(rosters: DataFrame, found: DataFrame) -> DataFrame:
     """``roster_id, legal``: no error; gaps do not count."""
     broken = found.where(F.col("code").isin(*ERRORS)).select("roster_id").distinct().withColumn("_broken", F.lit(True))
     return rosters.join(broken, "roster_id", "left").select("roster_id", F.col("_broken").isNull().alias("legal"))
+
+
+# How many lines a loadout may have, and how many weapons of a name.
+LOADOUT_LINES, WEAPON_COUNT = 40, 400
+
+
+def merged_loadout(lines: Column, most_lines: int = LOADOUT_LINES, most: int = WEAPON_COUNT) -> Column:
+    """A loadout (``array<struct<name, count>>``) with the counts of a name summed, in the order of first mention.
+
+    It is null as a whole if it is empty or too long, or if a line has no name
+    or no count from 1 to ``most``, or if a sum is beyond ``most``.
+    """
+    told = F.transform(lines, lambda x: F.struct(F.trim(x["name"]).alias("name"), x["count"].cast("int").alias("count")))
+    good = (F.size(told) > 0) & (F.size(told) <= most_lines) & F.forall(told, lambda x: F.coalesce((x["name"] != "") & (x["count"] >= 1) & (x["count"] <= most), F.lit(False)))
+    total = lambda name: F.aggregate(F.filter(told, lambda x: x["name"] == name), F.lit(0), lambda n, x: n + x["count"])
+    merged = F.transform(F.array_distinct(F.transform(told, lambda x: x["name"])), lambda name: F.struct(name.alias("name"), total(name).alias("count")))
+    return F.when(good & F.forall(merged, lambda x: x["count"] <= most), merged)
+
+
+def matched_weapons(wanted: DataFrame, pool: DataFrame, ids: list[str]) -> DataFrame:
+    """``ids``, ``how`` (one, several, none) and ``weapon_id``: the weapon of a unit's pool that a name means, in any case.
+
+    ``wanted``: ids (one row each), unit_id, name, phase. ``pool``: unit_id,
+    weapon_id, name, melee. If several profiles have the name and some are of
+    the phase (``shooting`` or ``melee``), only those count.
+    """
+    key = F.lower(F.trim("name"))
+    profiles = pool.groupBy("unit_id", key.alias("_key")).agg(
+        F.count("*").alias("_n"), F.min("weapon_id").alias("_id"), *[f(F.when(F.col("melee") == m, F.col("weapon_id"))).alias(f"_{a}_{m}") for m in (True, False) for a, f in (("n", F.count), ("id", F.min))]
+    )
+    met = wanted.withColumn("_key", key).join(profiles, ["unit_id", "_key"], "left")
+    pick = lambda a: F.when(F.col("phase") == "melee", F.col(f"_{a}_True")).when(F.col("phase") == "shooting", F.col(f"_{a}_False"))
+    narrowed = (F.col("_n") > 1) & (pick("n") > 0)
+    n = F.when(narrowed, pick("n")).otherwise(F.coalesce("_n", F.lit(0)))
+    found = F.when(narrowed, pick("id")).otherwise(F.col("_id"))
+    return met.select(*ids, F.when(n == 1, "one").when(n > 1, "several").otherwise("none").alias("how"), F.when(n == 1, found).alias("weapon_id"))

@@ -80,7 +80,7 @@ def q37_bulk_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q38_lint_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings per rule: short pages, unreadable heads, names of several pages, links back to nothing, languages without a page, warnings."""
+    """Findings per rule: short pages, unreadable heads, names of several pages, links back to nothing, languages without a page, warnings; two rules fail, and the others go on."""
     docs, labels, pages = (table(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
     titles = pages.select(tables.page_title(F.col("html")).alias("name"), F.col("page_id").alias("page"))
     indexed = pages.select(F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang")).distinct()
@@ -92,9 +92,11 @@ def q38_lint_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             "raw_backlink": labels.select((F.col("doc_id") + 3).alias("doc_id")).join(docs, "doc_id", "left_anti").select(F.col("doc_id").alias("subject")),
             "faction_index": docs.select(F.coalesce(F.nullif("lang", F.lit("en")), F.lit("xx")).alias("lang")).distinct().join(indexed, "lang", "left_anti").select(F.col("lang").alias("subject")),
             "verify_warn": labels.where("quality = 0").select(F.col("doc_id").alias("subject")),
+            "no_such_column": lambda: labels.select(F.col("severity").alias("subject")),
+            "no_such_number": lambda: docs.select(F.raise_error(F.lit("a rule that fails as it runs")).alias("subject")),
         }
     )
-    severity = F.when(F.col("rule").isin("raw_backlink", "frontmatter"), "error").when(F.col("rule").isin("faction_index"), "info").otherwise("warning")
+    severity = F.when(F.col("rule").isin("raw_backlink", "frontmatter", "lint_error"), "error").when(F.col("rule").isin("faction_index"), "info").otherwise("warning")
     return found.groupBy("rule", severity.alias("severity")).agg(F.count("*").alias("n"), F.min("subject").alias("first"))
 
 
@@ -211,8 +213,9 @@ ORACLE_SQL = {
             union all select 'alias_conflict', name from (select lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))) as name, page_id from pages) group by name having count(distinct page_id) > 1
             union all select 'raw_backlink', (doc_id + 3)::varchar from labels where doc_id + 3 not in (select doc_id from documents)
             union all select distinct 'faction_index', l from (select coalesce(nullif(lang, 'en'), 'xx') as l from documents) where l not in (select regexp_extract(html, '<html lang="([a-z]+)"', 1) from pages)
-            union all select 'verify_warn', doc_id::varchar from labels where quality = 0)
-        select rule, case when rule in ('raw_backlink', 'frontmatter') then 'error' when rule = 'faction_index' then 'info' else 'warning' end as severity, count(*) as n, min(subject) as first from f group by rule""",
+            union all select 'verify_warn', doc_id::varchar from labels where quality = 0
+            union all select 'lint_error', unnest(['no_such_column', 'no_such_number']))
+        select rule, case when rule in ('raw_backlink', 'frontmatter', 'lint_error') then 'error' when rule = 'faction_index' then 'info' else 'warning' end as severity, count(*) as n, min(subject) as first from f group by rule""",
     "q39_stat_tokens": """
         select p_partkey, cast(case when p_partkey % 4 < 3 then p_size end as integer) as stat, cast(case when p_partkey % 5 <> 0 then -(p_size % 4) else 0 end as integer) as ap,
                replace(lower(p_type), ' ', '_') as keyword, cast(case when p_partkey % 3 = 0 then p_size end as integer) as value from part""",

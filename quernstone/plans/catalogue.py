@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import building, knowledge, quality, relational, retrieval
+from . import assembly, building, knowledge, quality, relational, retrieval
 
-_FAMILIES = (relational, retrieval, building, quality, knowledge)
+_FAMILIES = (relational, retrieval, building, quality, knowledge, assembly)
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in _FAMILIES for name, sql in family.ORACLE_SQL.items()}
 FLAGSHIP = "q02_nested_rollup"
