@@ -203,17 +203,21 @@ ORACLE_SQL = {
             where stage = 0 or wide > 1)
         select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, node as folded_root, node = root as verified
         from fold join top using (lv) cross join rt where stage = 1 and len(top.l) = 1""",
-}
-
-#: All columns of op9 but text_crc32, for which DuckDB has no function; the tests compare by it.
-OP9_PLACES = """
-        with d as (
-            select doc_id, cast(strlen(coalesce(text, '')) + 1 as bigint) as size, coalesce(text, '') as t,
-                   ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as key from documents),
+    "op9_sharding": r"""
+        with recursive bits as (
+            select i, i as c, 0 as k from range(256) t(i)
+            union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+        crc as (select list(c order by i) as t from bits where k = 8),
+        b as (select *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as bytes from documents),
+        d as (
+            select doc_id, cast(strlen(coalesce(text, '')) + 1 as bigint) as size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as key,
+                   xor(case when len(bytes) = 0 then 4294967295 else list_reduce(bytes, lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295) end, 4294967295) as text_crc32
+            from b, crc),
         r as (
             select *, sum(size) over (order by key, doc_id rows unbounded preceding) as upto, sum(size) over () as total,
                    row_number() over (order by key, doc_id) - 1 as idx from d),
         g as (select *, min(upto - size) over (partition by key) as lo, max(upto) over (partition by key) as hi from r),
         s as (
             select *, cast(least(7, floor((case when hi - lo <= 0.005 * total / 8.0 then (lo + hi) / 2.0 else upto - size / 2.0 end) / (total / 8.0))) as integer) as shard from g)
-        select doc_id, size, 'bytes' as law, shard, cast(idx - min(idx) over (partition by shard) as bigint) as slot, cast(null as integer) as grown_shard from s"""
+        select doc_id, size, text_crc32, 'bytes' as law, shard, cast(idx - min(idx) over (partition by shard) as bigint) as slot, cast(null as integer) as grown_shard from s""",
+}

@@ -27,6 +27,7 @@ divides; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,11 +109,12 @@ def placed(docs: DataFrame, shards: int, range_bytes: int = RANGE_BYTES, least_r
         if not full:
             break
         within = dealt.where(F.col("range").isin(list(full)))
-        more = _sampled(within, F.col("size") * (parts * PER_RANGE * 4.0**attempt / max(total, 1)), attempt)
+        rate = parts * PER_RANGE * min(4.0**attempt / max(total, 1), 1 / sum(full.values()))  # no draw is expected to be larger than the first
+        more = _sampled(within, F.col("size") * rate, attempt)
         extra: list[Key] = []
         bounds = [(-(1 << 63),) * 3, *splitters, ((1 << 63),) * 3]
         for k, s in full.items():
-            own = [x for x in more if bounds[k] <= x < bounds[k + 1]]
+            own = more[bisect_left(more, bounds[k]) : bisect_left(more, bounds[k + 1])]
             extra += _boundaries(own, max(2, round(s * parts / total)))
         if set(extra) <= set(splitters):
             break  # what is left is one row, or a few, of great size
