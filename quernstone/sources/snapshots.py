@@ -4,7 +4,8 @@ A root folder holds ``versions/<name>/<table>`` and the file ``current``,
 which lists the published versions, the newest first. A writer fills a new
 folder and then renames a new pointer over the old one, which the file systems
 of clusters do atomically. So readers see the old tables or the new ones, whole,
-and a writer that fails midway leaves nothing that a reader would find.
+and a writer that fails midway leaves nothing that a reader would find. There
+is one writer at a time; of two, the one that renames last would win.
 
 Versions are read under the columns that a table has now: one that an older
 version lacks is filled with its default, one that it has stays as it is,
@@ -105,6 +106,10 @@ def _tidy(spark: SparkSession, root: str) -> None:
     for status in files.listStatus(hadoop.Path(f"{root}/versions")):
         if status.getPath().getName() not in used:
             files.delete(status.getPath(), True)
+    for status in files.listStatus(hadoop.Path(root)):
+        name = status.getPath().getName()
+        if name.startswith("tables-") and name.removeprefix("tables-") not in known:
+            files.delete(status.getPath(), False)
 
 
 def rollback(spark: SparkSession, root: str) -> str:
