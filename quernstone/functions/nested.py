@@ -47,15 +47,16 @@ def text_leaves(rows: DataFrame, id: str, value: str, text: str = "text", conten
     and then its ``content``; of an array all elements. Every level is one
     explode; levels go on until no row has a container, however deep.
     """
+    text_of = F.try_variant_get("node", f"$.{text}", "variant")
+    kind = F.schema_of_variant("node")
+    step = lambda at, node: F.struct(at.alias("at"), node.alias("node"))
+    of_object = F.array(step(F.lit(0), F.when(F.schema_of_variant(text_of) == "STRING", text_of)), step(F.lit(1), F.try_variant_get("node", f"$.{content}", "variant")))
+    of_array = F.transform(F.expr("try_variant_get(node, '$', 'array<variant>')"), lambda x, i: step(i, x))
+    inner = F.when(kind.startswith("OBJECT"), of_object).when(kind.startswith("ARRAY"), of_array)
     open_ = cut(rows.select(F.col(id), F.array().cast("array<int>").alias("place"), F.col(value).alias("node")).where("node is not null"))
     found = []
-    while True:
-        kind = F.schema_of_variant("node")
+    while not open_.isEmpty():
         found.append(open_.where(kind == "STRING").select(id, "place", F.expr("variant_get(node, '$', 'string')").alias("leaf")))
-        inner = [open_.where(kind.startswith("OBJECT")).select(id, F.concat("place", F.array(F.lit(k))).alias("place"), F.try_variant_get("node", f"$.{f}", "variant").alias("node")) for k, f in enumerate((text, content))]
-        inner[0] = inner[0].where(F.schema_of_variant("node") == "STRING")
-        lists = open_.where(kind.startswith("ARRAY")).select(id, "place", F.posexplode(F.expr("variant_get(node, '$', 'array<variant>')")).alias("_at", "_node"))
-        inner.append(lists.select(id, F.concat("place", F.array("_at")).alias("place"), F.col("_node").alias("node")))
-        open_ = cut(reduce(DataFrame.union, inner).where("node is not null"))
-        if open_.isEmpty():
-            return reduce(DataFrame.union, found)
+        each = open_.select(id, "place", F.explode(inner).alias("x"))
+        open_ = cut(each.select(id, F.concat("place", F.array("x.at")).alias("place"), F.col("x.node").alias("node")).where("node is not null"))
+    return reduce(DataFrame.union, found) if found else open_.select(id, "place", F.lit("").alias("leaf"))
