@@ -66,7 +66,7 @@ def _nearest_rows(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             rows = part.column(0).to_numpy(zero_copy_only=False)
-            vectors = np.array(part.column(1).to_pylist(), np.float64)
+            vectors = _matrix(part.column(1))
             about = squares[:, None] - 2 * matrix @ vectors.T + np.square(vectors).sum(axis=1)
             if len(rows) >= k:
                 least = np.minimum(least, np.partition(about, k - 1, axis=1)[:, k - 1] + TIE)
@@ -80,6 +80,11 @@ def _nearest_rows(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np
         yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(row), pa.array(distance)], ["query_id", "vec_id", "distance"])
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, without a Python object for each number."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     """``query_id, vec_id, distance, rank``: exact nearest rows by squared Euclidean distance.
 
@@ -95,7 +100,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
         own = dealt.where(F.col("_block") == block).select("query_id", "embedding").toArrow()
         if not own.num_rows:
             continue
-        ids, matrix = own["query_id"].to_numpy(), np.array(own["embedding"].to_pylist(), np.float64)
+        ids, matrix = own["query_id"].to_numpy(), _matrix(own["embedding"].combine_chunks())
         shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import ordered, quality
+from ..operators.lineage import shared_folder
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import incremental
@@ -114,8 +115,7 @@ def q49_link_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q51_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table taken in as a stream, after a first batch of some users with other values, which it replaces."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    work = f"{base}/ingest-{uuid.uuid4().hex}"
+    work = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     schema = events.schema.simpleString()[7:-1].replace(":", " ")
     for batch in (events.where("user_id % 3 = 0").withColumn("value", F.col("value") + 1), events):

@@ -19,21 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def piped_text(spark: SparkSession, path: str) -> DataFrame:
-    """Pipe-delimited text with a header row and no quoting, all strings, with ``path`` and ``src_ord``.
+    """Pipe-delimited text with a header row in each file and no quoting, all strings, with ``path`` and ``src_ord``.
 
     A byte order mark, blank lines and a trailing pipe are dropped, fields are
-    trimmed, short rows padded with empty fields. Files are read whole: they
-    are catalogues of a few megabytes, many of which are read in parallel.
+    trimmed. A field that a short row or its file's header lacks is empty;
+    columns are those of all headers. Files are read whole: they are
+    catalogues of a few megabytes, many of which are read in parallel.
     """
-    header = spark.read.text(path).where(F.trim("value") != "").first()
-    if header is None:
-        return spark.createDataFrame([], f"path string, {SRC_ORD} int")
-    names = [n.strip().lstrip("﻿") for n in header[0].split("|")]
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "^\\x{feff}", ""), "\\r?\\n")).alias("line", "value"))
-    first = F.min("line").over(Window.partitionBy("path"))
-    rows = lines.where(F.trim("value") != "").withColumn("first", first).where("line > first").withColumn("f", F.split("value", "\\|"))
-    fields = [F.coalesce(F.trim(F.get("f", i)), F.lit("")).alias(n) for i, n in enumerate(names) if n]
-    return rows.select("path", F.col("line").alias(SRC_ORD), *fields)
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "^\\x{feff}", ""), "\\r?\\n")).alias("line", "value")).where(F.trim("value") != "")
+    fields = F.transform(F.split("value", "\\|"), lambda x: F.trim(x))
+    headers = lines.groupBy("path").agg(F.min("line").alias("first"), F.min_by(fields, "line").alias("header"))
+    names = [r["n"] for r in headers.select(F.posexplode("header").alias("k", "n")).where("n <> ''").groupBy("n").agg(F.min("k").alias("k")).orderBy("k", "n").collect()]
+    rows = lines.join(headers, "path").where("line > first").withColumn("f", fields)
+    return rows.select("path", F.col("line").alias(SRC_ORD), *[F.coalesce(F.get("f", F.array_position("header", n).cast("int") - 1), F.lit("")).alias(n) for n in names])
 
 
 def quoted_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -101,6 +101,14 @@ def test_piped_text(spark, tmp_path):
     assert [(r["id"], r["name"], r["link"]) for r in got] == [("1", "Ultra", "x"), ("2", "Short", "")]
 
 
+def test_piped_text_with_a_header_in_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffid|name|\n1|A|\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("name|id|link\n\nB|2|x\nC\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("", encoding="utf-8")
+    got = tables.piped_text(spark, str(tmp_path / "*.csv")).select("id", "name", "link").collect()
+    assert sorted(map(tuple, got)) == [("", "C", ""), ("1", "A", ""), ("2", "B", "x")]
+
+
 def test_patches_and_frontmatter(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"stat_patches": [{"unit_id": "1", "field": "m", "from": "6", "to": "7"}], "resolved": []}')
     assert tables.patches(spark, str(tmp_path / "p.json"), "stat_patches", "unit_id string, field string, `from` string, `to` string").first()["to"] == "7"
