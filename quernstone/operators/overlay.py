@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.stats import cost
 from ..functions.text import unit_key
 from .lineage import cut
 from .ordered import keep_last, numbered
@@ -278,3 +279,25 @@ def ability_rows(masters: DataFrame, links: DataFrame, order: Sequence[str]) ->
     named = links.where("trim(coalesce(owner, '')) <> '' and trim(coalesce(name, '')) <> ''").withColumn("name", F.trim("name"))
     of_units = numbered(named, ["owner"], order, "_nth").select(F.concat("owner", F.lit("_a"), F.col("_nth").cast("string")).alias("id"), "owner", "name", "text", F.lit(1).alias("_kind"), *order)
     return keep_last(own.unionByName(of_units), ["id"], ["_kind", *order]).select("id", "owner", "name", "text")
+
+
+def unit_projection(datasheets: DataFrame, models: DataFrame, costs: DataFrame, terms: DataFrame, factions: DataFrame) -> DataFrame:
+    """``unit_id, name, name_zh, faction_id, faction, points, items, models, first_m``: a unit for each datasheet that has an id.
+
+    ``datasheets``: id, name, faction_id. ``models``: datasheet_id, line, M.
+    ``costs``: datasheet_id, line, description, cost (text; what is no number
+    is no cost). ``terms``: canonical_id, zh, ord; the last of an id counts.
+    ``factions``: id, name. Children stand in the order of their lines; those
+    without a datasheet, or of one without an id, are left out. Of several
+    datasheets with one id each is a unit. What a unit lacks is null, its
+    items empty.
+    """
+    line = F.col("line").try_cast("int").alias("line")
+    named = terms.where("zh is not null").groupBy(F.col("canonical_id").alias("id")).agg(F.max_by("zh", F.struct("ord", "zh")).alias("name_zh"))
+    priced_rows = imported(costs, "datasheet_id").select(F.col("datasheet_id").alias("id"), line, "description", cost(F.col("cost")).alias("cost"))
+    items = priced_rows.groupBy("id").agg(F.min("cost").alias("points"), F.array_sort(F.collect_list(F.struct("line", "description", "cost"))).alias("items"))
+    own = imported(models, "datasheet_id", {"M": "m"}).select(F.col("datasheet_id").alias("id"), line, "m").groupBy("id").agg(F.count("*").alias("models"), F.min_by("m", F.struct("line", "m")).alias("first_m"))
+    sheets = imported(datasheets, "id").select("id", "name", "faction_id")
+    met = sheets.join(named, "id", "left").join(items, "id", "left").join(own, "id", "left").join(factions.select(F.col("id").alias("faction_id"), F.col("name").alias("faction")), "faction_id", "left")
+    listed = F.coalesce(F.transform("items", lambda x: F.struct(x["description"].alias("desc"), x["cost"].alias("cost"))), F.array().cast("array<struct<desc: string, cost: int>>"))
+    return met.select(F.col("id").alias("unit_id"), "name", "name_zh", "faction_id", "faction", "points", listed.alias("items"), F.coalesce("models", F.lit(0).cast("long")).alias("models"), "first_m")

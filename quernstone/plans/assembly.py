@@ -1,10 +1,14 @@
-"""Queries q67 to q71: the whole resolver cascade, citations and contexts, fragments and affected pages, ability rows, loadouts."""
+"""Queries q67 to q72: the whole resolver cascade, citations and contexts, fragments and affected pages, ability rows, loadouts, units from source files."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import overlay, quality, resolve, retrieve, roster
+from ..operators.lineage import shared_folder
+from ..sources import tables
 from ..sources.tables import table
 
 
@@ -74,6 +78,35 @@ def q71_loadouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("l_orderkey", F.col("loadout").isNotNull().alias("valid")).join(told, "l_orderkey", "left").select("l_orderkey", "valid", F.coalesce("weapons", F.lit("")).alias("weapons"))
 
 
+def _piped(rows: DataFrame, bucket: Column, folder: str, *columns: str) -> None:
+    """Rows as piped files of one bucket each, under a header, with a mark of byte order, blank lines and trailing pipes."""
+    line = F.concat(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit("|"))
+    lines = rows.select(bucket.alias("bucket"), line.alias("line")).groupBy("bucket").agg(F.array_join(F.array_sort(F.collect_list("line")), "\r\n\r\n").alias("lines"))
+    lines.select("bucket", F.concat(F.lit("\ufeff" + "|".join(columns) + "|\r\n"), "lines").alias("value")).write.partitionBy("bucket").text(folder)
+
+
+def q72_units_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasheets, models and costs as piped files, and terms as JSON, read back and brought together as units."""
+    root = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
+    k, size = F.col("p_partkey"), F.floor(F.col("p_partkey") / 2000)
+    parts = table(spark, sf_dir, "part")
+    sheets = parts.select(F.when(k % 13 != 0, k).alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("F"), F.substring_index("p_brand", "#", -1)).alias("faction_id"), size.alias("b"))
+    models = parts.select(F.when(k % 11 != 0, k).alias("datasheet_id"), F.explode(F.sequence(F.lit(1), F.col("p_size") % 3 + 1)).alias("line"), F.col("p_size").alias("M"), size.alias("b"))
+    costs = parts.select(k.alias("datasheet_id"), F.explode(F.sequence(F.lit(1), (k % 4).cast("int"))).alias("line"), F.col("p_retailprice").alias("price"), size.alias("b")).where("datasheet_id % 4 > 0")
+    costs = costs.select("datasheet_id", "line", F.concat("line", F.lit(" models")).alias("description"), F.when(F.col("line") == 3, "free").otherwise(F.floor(F.col("price") / F.col("line")).cast("string")).alias("cost"), "b")
+    _piped(sheets, F.col("b"), f"{root}/sheets", "id", "name", "faction_id")
+    _piped(models, F.col("b"), f"{root}/models", "datasheet_id", "line", "M")
+    _piped(costs, F.col("b"), f"{root}/costs", "datasheet_id", "line", "description", "cost")
+    pairs = parts.where(k % 3 != 0).select(size.alias("b"), F.explode(F.array(*[F.struct(k.cast("string").alias("canonical_id"), F.concat(F.lit(w), k.cast("string")).alias("zh"), F.lit(o).alias("ord")) for o, w in ((1, "旧"), (2, "新"))])).alias("p"))
+    pairs.groupBy("b").agg(F.to_json(F.struct(F.collect_list("p").alias("pairs"))).alias("value")).write.partitionBy("b").text(f"{root}/terms")
+    terms = tables.json_rows(spark, f"{root}/terms", "pairs array<struct<canonical_id: string, zh: string, ord: int>>").select(F.explode("pairs").alias("p")).select("p.*")
+    factions = table(spark, sf_dir, "nation").select(F.concat(F.lit("F"), "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    read = lambda name: tables.piped_text(spark, f"{root}/{name}/*/*.txt")
+    units = overlay.unit_projection(read("sheets"), read("models"), read("costs"), terms, factions)
+    shown = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["desc"], F.coalesce(x["cost"].cast("string"), F.lit("-")))), ",")
+    return units.select("unit_id", "name", "name_zh", "faction_id", "faction", "points", shown.alias("items"), "models", "first_m")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
 
 ORACLE_SQL = {
@@ -109,4 +142,12 @@ ORACLE_SQL = {
                    case when name = 'Gun0' then unit || '_w0' when name = 'Gun1' then unit || '_w1' when name = 'Gun2' and phase = 0 then unit || '_w2' when name = 'Gun2' and phase = 1 then unit || '_w3' end as id from w),
         t as (select k, string_agg(total || ':' || how || coalesce(':' || id, ''), ',' order by nth) as weapons from h group by k)
         select k as l_orderkey, v.ok and s.ok as valid, coalesce(weapons, '') as weapons from v join s using (k) left join t using (k)""",
+    "q72_units_from_files": """
+        with p as (select p_partkey as k, p_name, 'F' || string_split(p_brand, '#')[-1] as f, p_size, p_retailprice as price from part where p_partkey % 13 <> 0),
+        c as (
+            select k, n, case when n <> 3 then cast(floor(price / n) as integer) end as cost from (select k, price, unnest(range(1, k % 4 + 1)) as n from p)),
+        i as (select k, min(cost) as points, string_agg(n || ' models:' || coalesce(cost::varchar, '-'), ',' order by n) as items from c group by k)
+        select k::varchar as unit_id, p_name as name, case when k % 3 <> 0 then '新' || k end as name_zh, f as faction_id, n_name as faction, points, coalesce(items, '') as items,
+               cast(case when k % 11 <> 0 then p_size % 3 + 1 else 0 end as bigint) as models, case when k % 11 <> 0 then p_size::varchar end as first_m
+        from p left join i using (k) left join nation on 'F' || n_nationkey = f""",
 }

@@ -118,3 +118,16 @@ def test_a_rule_that_fails_does_not_stop_the_others(spark):
     good = spark.createDataFrame([(1,), (2,)], "subject int")
     found = quality.lint({"a": good, "b": lambda: good.select(F.col("none").alias("subject")), "c": good.select(F.raise_error(F.lit("x")).alias("subject")), "d": lambda: good.where("subject = 2")})
     assert Counter(map(tuple, found.collect())) == Counter([("a", "1"), ("a", "2"), ("d", "2"), ("lint_error", "b"), ("lint_error", "c")])
+
+
+def test_units_of_datasheets(spark):
+    sheets = spark.createDataFrame([("1", "A", "F"), ("1", "A again", "G"), ("", "no id", "F"), (None, "no id", "F"), ("2", "B", None)], "id string, name string, faction_id string")
+    models = spark.createDataFrame([("1", "10", "later"), ("1", "2", "first"), ("1", "x", "no line"), ("", "1", "lost"), ("9", "1", "lost")], "datasheet_id string, line string, M string")
+    costs = spark.createDataFrame([("1", "2", "10 models", "150"), ("1", "1", "5 models", " 80 "), ("1", "3", "other", "free"), (None, "1", "lost", "1")], "datasheet_id string, line string, description string, cost string")
+    terms = spark.createDataFrame([("1", "旧", 1), ("1", "新", 2), ("1", None, 3), ("3", "无", 1)], "canonical_id string, zh string, ord int")
+    factions = spark.createDataFrame([("F", "Faction")], "id string, name string")
+    got = [tuple(x) for x in overlay.unit_projection(sheets, models, costs, terms, factions).orderBy("unit_id", "name").collect()]
+    items = [("5 models", 80), ("10 models", 150), ("other", None)]
+    assert [(*g[:6], [tuple(i) for i in g[6]], *g[7:]) for g in got] == [
+        ("1", "A", "新", "F", "Faction", 80, items, 3, "no line"), ("1", "A again", "新", "G", None, 80, items, 3, "no line"), ("2", "B", None, None, None, None, [], 0, None),
+    ]
