@@ -90,7 +90,13 @@ def _letters(df: DataFrame, column: str) -> DataFrame:
     return each.select(column, F.concat(F.col("c"), (F.length(upto) - F.length(F.replace(upto, F.col("c"), F.lit("")))).cast("string")).alias("token"))
 
 
-GUESSES = 16
+GUESSES, RARE_GRAMS = 16, 3
+
+
+def _grams(df: DataFrame, column: str) -> DataFrame:
+    """``column, gram``: the distinct runs of three characters of a string, or the whole of a shorter one."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - 2, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(3)))
+    return df.select(column, F.explode(F.array_distinct(runs)).alias("gram"))
 
 
 def nearest_names(names: DataFrame, pool: DataFrame, cutoff: float, k: int) -> DataFrame:
@@ -102,8 +108,9 @@ def nearest_names(names: DataFrame, pool: DataFrame, cutoff: float, k: int) -> D
     rarity, their first ones share one; how many first ones that are follows
     from both lengths. So the index finds every such pair. Bitmaps of the
     characters bound the similarity of a pair from above; only pairs whose
-    bound reaches the ``k``-th best of some first guesses (those of the highest
-    bounds) are compared, so a name that many are like costs no more. Null and
+    bound reaches the ``k``-th best of some first guesses (strings that share
+    one of the name's rarest runs of three characters) are compared, so a name
+    that many are like costs little more. Null and
     empty strings are like nothing.
     """
     c = float(cutoff)
@@ -126,10 +133,14 @@ def nearest_names(names: DataFrame, pool: DataFrame, cutoff: float, k: int) -> D
     index, asked = cut(index), cut(asked)
     both = F.length("a") + F.col("n")
     most = (both - sum((F.bit_count(F.col(f"a_map.m{w}").bitwiseXOR(F.col(f"b_map.m{w}"))) for w in range(4)), F.lit(0))) / both
-    met = asked.join(index, ["token", "n"]).withColumn("most", most).where(F.col("most") >= c - 1e-9)
 
-    guessed = met.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(GUESSES * k)).alias("slot")).agg(F.max(F.struct("most", "b")).alias("g"))
-    ratios = guessed.withColumn("ratio", similarity("g.b", "a")).where(F.col("ratio") >= c).groupBy("a").agg(F.get(F.sort_array(F.collect_list("ratio"), asc=False), k - 1).alias("least"))
+    in_grams = _grams(known, "b")
+    usual = in_grams.groupBy("gram").agg(F.count("*").alias("held"))
+    rarest = Window.partitionBy("a").orderBy("held", "gram")
+    own = _grams(wanted, "a").join(usual, "gram").withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= RARE_GRAMS).select("a", "gram")
+    by_slot = F.min_by("b", F.struct(F.levenshtein("a", "b"), "b")).alias("b")
+    guessed = own.join(in_grams, "gram").groupBy("a", F.pmod(F.xxhash64("b"), F.lit(GUESSES * k)).alias("slot")).agg(by_slot)
+    ratios = guessed.withColumn("ratio", similarity("b", "a")).where(F.col("ratio") >= c).groupBy("a").agg(F.get(F.sort_array(F.collect_list("ratio"), asc=False), k - 1).alias("least"))
     told = cut(wanted.join(ratios, "a", "left").select("a", F.coalesce("least", F.lit(c)).alias("least")))
     near = asked.join(told, "a").join(index, ["token", "n"]).where(most >= F.col("least") - 1e-9).select("a", "b").distinct()
     rated = near.withColumn("ratio", similarity("b", "a")).where(F.col("ratio") >= c)
