@@ -220,6 +220,17 @@ def price_lookup(listed: DataFrame, units: DataFrame, aliases: DataFrame) -> Dat
     return told.join(own, ["faction", "unit"], "left").select("list_id", "how", "unit_id")
 
 
+def told_tiers(listed: DataFrame, key: Sequence[str], models: str, cost: str) -> DataFrame:
+    """``key, listed``: what a price list says of each key, ``array<struct<models, cost>>`` in the order of the counts.
+
+    A count at several costs says nothing, entries without a count or a cost
+    are passed over; so the array is as long as a key has counts, however
+    often the list has the key.
+    """
+    counts = listed.where(F.col(models).isNotNull() & F.col(cost).isNotNull()).groupBy(*key, F.col(models).cast("int").alias("models")).agg(F.min(F.col(cost).cast("int")).alias("cost"), F.max(F.col(cost).cast("int")).alias("_most"))
+    return counts.where("cost = _most").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("models", "cost"))).alias("listed"))
+
+
 def merged_tiers(items: Column, listed: Column) -> Column:
     """Price items ``array<struct<models, cost>>`` with the listed costs: matching ones updated, missing ones added.
 

@@ -102,9 +102,7 @@ def q09_price_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q10_price_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New prices: model counts that the list has are updated, those that a unit lacks are added; a count listed at several prices says nothing."""
     parts, listed = _derived_prices(spark, sf_dir)
-    sizes = F.col("p_partkey") % 3 + 1
-    base = listed.where(base_tier(F.col("tier"))).select("p_brand", "name", F.struct(sizes.cast("int").alias("models"), F.col("points").cast("int").alias("cost")).alias("item"))
-    base = base.groupBy("p_brand", "name").agg(F.array_sort(F.collect_list("item")).alias("listed"))
+    base = overlay.told_tiers(listed.where(base_tier(F.col("tier"))).withColumn("models", F.col("p_partkey") % 3 + 1), ["p_brand", "name"], "models", "points")
     own = F.array(*[F.struct(F.lit(k).alias("models"), (F.col("price") * k).cast("int").alias("cost")) for k in (1, 5)])
     out = parts.join(base, ["p_brand", "name"], "left").withColumn("items", overlay.merged_tiers(own, F.col("listed")))
     shown = F.array_join(F.transform("items", lambda i: F.concat_ws(":", i["models"].cast("string"), i["cost"].cast("string"))), ",")

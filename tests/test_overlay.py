@@ -98,6 +98,19 @@ def test_tiers_with_repeats_and_nulls(spark):
     assert got == {i: c[2] for i, c in enumerate(cases)}
 
 
+def test_price_lists_are_settled_before_they_meet_units(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.choice([1, 1, 2, 3, None]), r.choice([10, 10, 10, 20, None])) for _ in range(60)] + [("long", 1 + i % 3, 7 if i % 3 else i) for i in range(3000)]
+    listed = spark.createDataFrame(rows, "unit string, models int, cost int")
+    told = {x["unit"]: [tuple(y) for y in x["listed"]] for x in overlay.told_tiers(listed, ["unit"], "models", "cost").collect()}
+    costs = {}
+    for unit, models, cost in rows:
+        if models is not None and cost is not None:
+            costs.setdefault(unit, {}).setdefault(models, set()).add(cost)
+    wanted = {u: sorted((m, *c) for m, c in of.items() if len(c) == 1) for u, of in costs.items()}
+    assert told == {u: c for u, c in wanted.items() if c} and told["long"] == [(2, 7), (3, 7)]
+
+
 def test_an_alias_of_two_names(spark):
     units = spark.createDataFrame([(1, "f", "Alpha"), (2, "f", "Beta"), (3, "g", "Beta"), (4, "f", "Vypers"), (5, "f", "beta ")], "unit_id int, faction string, name string")
     aliases = spark.createDataFrame([("old", "alpha"), ("OLD ", "beta"), ("older", "Alpha"), ("gone", "nobody"), (None, "alpha")], "alias string, name string")
