@@ -221,6 +221,18 @@ def test_pairing_against_brute_force(spark):
     assert {x["how"] for x in rows} == {"exact", "faction", "ambiguous", "fuzzy", "none"}
 
 
+def test_nearest_names_within_blocks(spark):
+    r = random.Random(9)
+    names = ["".join(r.choice("abc1") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    pool, asked = [(r.choice(["x", "y", None]), r.choice(names)) for _ in range(120)], [(r.choice(["x", "y", "z", None]), n[: len(n) // 2] + n[len(n) // 2 + i % 3 :]) for i, n in enumerate(names)]
+    want = {}
+    for of, a in set(asked):
+        near = sorted(((difflib.SequenceMatcher(None, b, a).ratio(), b) for o, b in set(pool) if o == of and a), reverse=True)
+        want |= {(of, a, i + 1): (b, ratio) for i, (ratio, b) in enumerate(near[:2]) if ratio >= 0.7}
+    got = resolve.nearest_names(spark.createDataFrame(asked, "of string, name string"), spark.createDataFrame(pool, "of string, name string"), 0.7, 2, "of")
+    assert {(x["_of"]["of"], x["a"], x["nth"]): (x["b"], x["ratio"]) for x in got.collect()} == want
+
+
 def test_pairing_of_the_tables(spark, sf_dir):
     parts = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name").collect()]
     named = [(k, b, f"{n} of {k}" if k % 3 == 0 else n) for k, b, n in parts]
