@@ -221,6 +221,16 @@ def test_pairing_against_brute_force(spark):
     assert {x["how"] for x in rows} == {"exact", "faction", "ambiguous", "fuzzy", "none"}
 
 
+def test_a_name_of_many_rows_is_sought_once(spark, monkeypatch):
+    known = spark.createDataFrame([(None, "Alpha squad"), ("b", "alpha squid"), ("b", "Alpha squat")], "block string, name string")
+    names = spark.range(6000).selectExpr("id as name_id", "if(id % 2 = 0, 'b', null) as block", "'Alph squad' as name")
+    asked = []
+    inner = resolve.nearest_names
+    monkeypatch.setattr(resolve, "nearest_names", lambda *a: asked.append(inner(*a)) or asked[-1])
+    got = Counter((r["name_id"] % 2, r["match"]) for r in resolve.fuzzy(names, known, "block").collect())
+    assert got == {(0, "alpha squid"): 3000, (1, "alpha squad"): 3000} and asked[0].count() == 2
+
+
 def test_nearest_names_within_blocks(spark):
     r = random.Random(9)
     names = ["".join(r.choice("abc1") for _ in range(r.randint(1, 9))) for _ in range(60)]
