@@ -231,6 +231,13 @@ def test_a_name_of_many_rows_is_sought_once(spark, monkeypatch):
     assert got == {(0, "alpha squid"): 3000, (1, "alpha squad"): 3000} and asked[0].count() == 2
 
 
+def test_names_are_never_sent_whole_to_all(spark):
+    names = spark.createDataFrame([(1, "Alph squad"), (2, "zzz")], "name_id int, name string")
+    known = spark.createDataFrame([(7, "Alpha squad", "f"), (8, "Beta", "f")], "entity_id int, name string, faction string")
+    told = resolve.cascade(names, known, known.select("name", "entity_id"), spark.createDataFrame([("b", "Beta")], "alias string, name string"), 0.8)
+    assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_names_within_blocks(spark):
     r = random.Random(9)
     names = ["".join(r.choice("abc1") for _ in range(r.randint(1, 9))) for _ in range(60)]
