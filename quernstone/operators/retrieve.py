@@ -16,6 +16,7 @@ from .ordered import keep_first, numbered
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 QUERY_BLOCK = 2048
+ROWS, PAIRS = 2048, 65_536  # how many rows meet a block of queries at once, and how many distances are worked out at once
 TIE = 2e-6  # distances are rounded to six digits before ties are settled
 
 
@@ -63,8 +64,8 @@ def _nearest_rows(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np
         return query[keep], row[keep], distance[keep]
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
             rows = part.column(0).to_numpy(zero_copy_only=False)
             vectors = _matrix(part.column(1))
             about = squares[:, None] - 2 * matrix @ vectors.T + np.square(vectors).sum(axis=1)
@@ -72,7 +73,12 @@ def _nearest_rows(batches: Iterator[pa.RecordBatch], ids: np.ndarray, matrix: np
                 least = np.minimum(least, np.partition(about, k - 1, axis=1)[:, k - 1] + TIE)
             query, column = np.nonzero(about <= least[:, None] + TIE)
             # The product only chooses; the distance itself is worked out term by term.
-            held.append((query, rows[column], np.square(vectors[column] - matrix[query]).sum(axis=1)))
+            del about
+            distance = np.empty(len(query))
+            for i in range(0, len(query), PAIRS):
+                some = slice(i, i + PAIRS)
+                distance[some] = np.square(vectors[column[some]] - matrix[query[some]]).sum(axis=1)
+            held.append((query, rows[column], distance))
             if sum(len(q) for q, *_ in held) > 4 * k * len(ids) + 65_536:
                 held = [settled()]
     if held:

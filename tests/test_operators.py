@@ -3,8 +3,11 @@
 import difflib
 import itertools
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +234,16 @@ def test_a_name_of_many_rows_is_sought_once(spark, monkeypatch):
     assert got == {(0, "alpha squid"): 3000, (1, "alpha squad"): 3000} and asked[0].count() == 2
 
 
+def test_a_block_of_queries_takes_little_memory():
+    r, n = np.random.default_rng(1), 4096
+    vectors = pa.array(list(r.normal(size=(n, 64)).astype("float32")))
+    tracemalloc.start()
+    found = list(retrieve._nearest_rows(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), vectors], ["vec_id", "embedding"])]), np.arange(2048), r.normal(size=(2048, 64)), 200))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0].num_rows >= 2048 * 200 and peak < 250e6
+
+
 def test_names_are_never_sent_whole_to_all(spark):
     names = spark.createDataFrame([(1, "Alph squad"), (2, "zzz")], "name_id int, name string")
     known = spark.createDataFrame([(7, "Alpha squad", "f"), (8, "Beta", "f")], "entity_id int, name string, faction string")
