@@ -1,10 +1,11 @@
-"""Roster rules: one DataFrame of violations per rule, united."""
+"""Roster rules, told in one pass over the units of each roster."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
+
+from .lineage import cut
 
 # Points by size of battle, the size taken for an unknown one, and the caps.
 SIZE_LIMITS = {"incursion": 1000, "strike_force": 2000, "onslaught": 3000}
@@ -27,59 +28,87 @@ def exempt(keywords: Column) -> Column:
     return F.array_contains(keywords, "BATTLELINE") | F.array_contains(keywords, "DEDICATED TRANSPORT")
 
 
-def violations(rosters: DataFrame, units: DataFrame, catalogue: DataFrame, enhancements: DataFrame) -> DataFrame:
-    """``roster_id, code, n``: how often each rule is broken.
+# Rows of one task; of a unit that more rows than COMMON name, the catalogue's entry is broadcast.
+ROWS_PER_PART, COMMON = 500_000, 50_000
 
-    ``rosters``: roster_id, size, detachment. ``units``: roster_id, unit_id,
-    warlord, enhancement. ``catalogue``: unit_id, price, keywords.
-    ``enhancements``: detachment, enhancement, cost. Prices come from the
-    catalogue; codes outside ERRORS are gaps in the data, not offences.
+
+def _with_entries(units: DataFrame, entries: DataFrame, parts: int) -> DataFrame:
+    """``units`` with what ``entries`` (unit_id and more) say of them, if anything; a unit that very many rows name is not dealt to one task."""
+    common = cut(units.groupBy("unit_id").agg(F.count("*").alias("_n")).where(F.col("_n") > COMMON).select(F.col("unit_id").alias("_id")))
+    met = F.col("unit_id").eqNullSafe(F.col("_id"))
+    often = units.join(F.broadcast(common.join(entries.withColumnRenamed("unit_id", "_entry"), F.col("_id") == F.col("_entry"), "left").drop("_entry")), met).drop("_id")
+    rest = units.join(F.broadcast(common), met, "left_anti").repartition(parts, "unit_id").join(entries.repartition(parts, "unit_id").hint("merge"), "unit_id", "left")
+    return often.unionByName(rest)
+
+
+def _judged(rosters: DataFrame, units: DataFrame, catalogue: DataFrame, enhancements: DataFrame) -> DataFrame:
+    """``roster_id, found``: the codes of every roster with units, each with how often it holds (0 too).
+
+    All rules are told in one pass over the rows of a roster: the copy that is
+    one too many stands for its unit, the second of an enhancement for that.
     """
-    listed = units.join(catalogue, "unit_id", "left").withColumn("known", F.col("keywords").isNotNull())
-    listed = listed.join(rosters, "roster_id").join(enhancements.withColumnRenamed("cost", "enh_cost"), ["detachment", "enhancement"], "left")
+    parts = max(1 + units.count() // ROWS_PER_PART, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     has = lambda word: F.array_contains("keywords", word)
-    with_enh = F.col("enhancement").isNotNull()
-
-    per_unit = {
-        "unit_not_found": ~F.col("known"),
-        "unit_unpriced": F.col("known") & F.col("price").isNull(),
-        "warlord_not_character": F.col("warlord") & F.col("known") & ~has("CHARACTER"),
+    entries = catalogue.select("unit_id", "price", F.col("keywords").isNotNull().alias("known"), has("CHARACTER").alias("character"), has("EPIC HERO").alias("epic"), copy_limit(F.col("keywords")).alias("most"))
+    listed = _with_entries(units.select("roster_id", "unit_id", "warlord", "enhancement"), entries, parts).withColumn("known", F.coalesce("known", F.lit(False)))
+    about = rosters.select("roster_id", "detachment", size_limit(F.col("size")).alias("limit"), (~F.coalesce(F.col("size").isin(*SIZE_LIMITS), F.lit(False))).alias("unknown"))
+    listed = listed.repartition(parts, "roster_id").join(about.repartition(parts, "roster_id").hint("merge"), "roster_id")
+    costs = enhancements.select("detachment", "enhancement", F.col("cost").alias("enh_cost"), F.lit(True).alias("_listed"))
+    listed = listed.join(F.broadcast(costs), ["detachment", "enhancement"], "left").join(F.broadcast(enhancements.select("detachment").distinct().withColumn("_covered", F.lit(True))), "detachment", "left")
+    nth = lambda *of: F.row_number().over(Window.partitionBy("roster_id", *of).orderBy("roster_id"))
+    listed = listed.withColumn("_copy", nth("unit_id", "known")).withColumn("_again", nth("enhancement"))
+
+    with_enh, known = F.col("enhancement").isNotNull(), F.col("known")
+    one_too_many = known & (F.col("_copy") == F.coalesce("most", F.lit(COPIES)) + 1)
+    outside = with_enh & F.col("enh_cost").isNull() & F.col("_listed").isNull()
+    per_row = {
+        "unit_not_found": ~known,
+        "unit_unpriced": known & F.col("price").isNull(),
+        "warlord_not_character": F.col("warlord") & known & ~F.col("character"),
         "enh_unpriced": with_enh & F.col("enh_cost").isNull(),
-        "enh_not_character": with_enh & F.col("known") & ~has("CHARACTER"),
-        "enh_epic_hero": with_enh & F.col("known") & has("CHARACTER") & has("EPIC HERO"),
+        "enh_not_character": with_enh & known & ~F.col("character"),
+        "enh_epic_hero": with_enh & known & F.col("character") & F.col("epic"),
+        "rot_exceeded": one_too_many & F.col("most").isNotNull(),
+        "rot_exempt_uncapped": one_too_many & F.col("most").isNull(),
+        "enh_duplicate": with_enh & (F.col("_again") == 2),
+        "enh_wrong_detachment": outside & F.col("_covered").isNotNull(),
+        "enh_unverified": outside & F.col("_covered").isNull(),
     }
-    codes = F.array_compact(F.array(*[F.when(broken, code) for code, broken in per_unit.items()]))
-    single = listed.select("roster_id", F.explode(codes).alias("code"))
-
     army = listed.groupBy("roster_id").agg(
-        F.first("size").alias("size"),
+        *[F.count_if(broken).alias(code) for code, broken in per_row.items()],
+        F.max("unknown").alias("unknown"),
+        F.min("limit").alias("limit"),
         (F.sum(F.coalesce("price", F.lit(0))) + F.sum(F.coalesce("enh_cost", F.lit(0)))).alias("points"),
         F.count_if("warlord").alias("warlords"),
         F.count("enhancement").alias("enh"),
     )
     per_army = {
-        "unknown_size": ~F.coalesce(F.col("size").isin(*SIZE_LIMITS), F.lit(False)),
-        "points_over": F.col("points") > size_limit(F.col("size")),
+        "unknown_size": F.col("unknown"),
+        "points_over": F.col("points") > F.col("limit"),
         "warlord_count": F.col("warlords") != 1,
         "enh_too_many": F.col("enh") > MAX_ENHANCEMENTS,
     }
-    whole = army.select("roster_id", F.explode(F.array_compact(F.array(*[F.when(broken, code) for code, broken in per_army.items()]))).alias("code"))
-
-    copies = listed.where("known").groupBy("roster_id", "unit_id").agg(F.count("*").alias("n"), F.first("keywords").alias("keywords"))
-    limit = copy_limit(F.col("keywords"))
-    too_many = copies.select("roster_id", F.when(F.col("n") > limit, "rot_exceeded").when(limit.isNull() & (F.col("n") > COPIES), "rot_exempt_uncapped").alias("code")).where("code is not null")
-
-    twice = listed.where(with_enh).groupBy("roster_id", "enhancement").agg(F.count("*").alias("n")).where("n > 1").select("roster_id", F.lit("enh_duplicate").alias("code"))
-    covered = enhancements.select("detachment").distinct().withColumn("_covered", F.lit(True))
-    outside = (
-        listed.where(with_enh & F.col("enh_cost").isNull())
-        .join(enhancements.select("detachment", "enhancement").withColumn("_listed", F.lit(True)), ["detachment", "enhancement"], "left")
-        .join(covered, "detachment", "left")
-        .where("_listed is null")
-        .select("roster_id", F.when(F.col("_covered"), "enh_wrong_detachment").otherwise("enh_unverified").alias("code"))
-    )
-    every = reduce(DataFrame.unionByName, [single, whole, too_many, twice, outside])
-    return every.groupBy("roster_id", "code").agg(F.count("*").alias("n"))
+    told = {**{code: F.col(code) for code in per_row}, **{code: F.when(broken, 1).otherwise(0).cast("bigint") for code, broken in per_army.items()}}
+    return army.select("roster_id", F.array(*[F.struct(F.lit(code).alias("code"), n.alias("n")) for code, n in told.items()]).alias("found"))
+
+
+def violations(rosters: DataFrame, units: DataFrame, catalogue: DataFrame, enhancements: DataFrame) -> DataFrame:
+    """``roster_id, code, n``: how often each rule is broken.
+
+    ``rosters``: roster_id, size, detachment. ``units``: roster_id, unit_id,
+    warlord, enhancement. ``catalogue``: unit_id, price, keywords.
+    ``enhancements``: detachment, enhancement, cost (a table of rules, which is
+    broadcast). Prices come from the catalogue; codes outside ERRORS are gaps in
+    the data, not offences.
+    """
+    return judged(rosters, units, catalogue, enhancements).drop("legal")
+
+
+def judged(rosters: DataFrame, units: DataFrame, catalogue: DataFrame, enhancements: DataFrame) -> DataFrame:
+    """``violations`` with ``legal``, which says of the whole roster whether it has no error."""
+    found = _judged(rosters, units, catalogue, enhancements).withColumn("found", F.filter("found", lambda x: x["n"] > 0))
+    error = F.exists("found", lambda x: x["code"].isin(*ERRORS))
+    return found.select("roster_id", F.explode("found").alias("f"), (~error).alias("legal")).select("roster_id", "f.code", "f.n", "legal")
 
 
 def legal(rosters: DataFrame, found: DataFrame) -> DataFrame:

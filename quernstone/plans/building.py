@@ -127,9 +127,7 @@ def _rosters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 def q40_roster_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All violations, and whether the roster is legal."""
-    rosters, units, catalogue, enhancements = _rosters(spark, sf_dir)
-    found = roster.violations(rosters, units, catalogue, enhancements)
-    return found.join(roster.legal(rosters, found), "roster_id").select("roster_id", "code", "n", "legal")
+    return roster.judged(*_rosters(spark, sf_dir))
 
 
 def q41_qa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

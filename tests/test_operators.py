@@ -39,6 +39,38 @@ def test_copy_limits(spark):
     assert (of(), of("BATTLELINE"), of("DEDICATED TRANSPORT"), of("EPIC HERO")) == (3, None, None, 1)
 
 
+@pytest.mark.parametrize("common", [1, 50_000])
+def test_roster_rules_in_one_pass(spark, monkeypatch, common):
+    monkeypatch.setattr(roster, "COMMON", common, raising=False)
+    i = F.col("id")
+    unit = F.when(i % 10 == 9, F.lit(None)).when(i % 10 == 8, 99).otherwise(F.when(i % 4 == 0, 1).when(i % 4 == 1, 2).otherwise(i % 10 % 3 + 1)).cast("long")
+    units = spark.range(0, 23).select((i % 2).alias("roster_id"), unit.alias("unit_id"), (i < 3).alias("warlord"), F.when(i % 3 == 0, F.concat(F.lit("e"), (i % 2).cast("string"))).alias("enhancement"))
+    catalogue = spark.createDataFrame([(1, 100, ["EPIC HERO", "CHARACTER"]), (2, None, ["BATTLELINE"]), (3, 700, [])], "unit_id long, price long, keywords array<string>")
+    rosters = spark.createDataFrame([(0, "incursion", "d0"), (1, None, "d1"), (2, "onslaught", "d0")], "roster_id long, size string, detachment string")
+    costs = {("d0", "e0"): 10, ("d0", "e2"): None}
+    found = roster.violations(rosters, units, catalogue, spark.createDataFrame([(*k, v) for k, v in costs.items()], "detachment string, enhancement string, cost int"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 23") <= 2
+
+    entries, about, want = {r[0]: (r[1], r[2]) for r in catalogue.collect()}, {r[0]: (r[1], r[2]) for r in rosters.collect()}, Counter()
+    for r, own in itertools.groupby(sorted(units.collect(), key=lambda u: u[0]), key=lambda u: u[0]):
+        own, (size, d), points = list(own), about[r], 0
+        for _, u, warlord, e in own:
+            price, words = entries.get(u, (None, None))
+            known, character = words is not None, "CHARACTER" in (words or ())
+            points += (price or 0) + (costs.get((d, e)) or 0)
+            want += Counter({(r, "unit_not_found"): not known, (r, "unit_unpriced"): known and price is None, (r, "warlord_not_character"): warlord and known and not character})
+            if e:
+                want += Counter({(r, "enh_unpriced"): costs.get((d, e)) is None, (r, "enh_not_character"): known and not character, (r, "enh_epic_hero"): known and character and "EPIC HERO" in words})
+                if (d, e) not in costs:
+                    want[r, "enh_wrong_detachment" if d == "d0" else "enh_unverified"] += 1
+        for u, n in Counter(x[1] for x in own if x[1] in entries).items():
+            most = 1 if "EPIC HERO" in entries[u][1] else None if "BATTLELINE" in entries[u][1] else 3
+            want += Counter({(r, "rot_exceeded"): most is not None and n > most, (r, "rot_exempt_uncapped"): most is None and n > 3})
+        enh = Counter(x[3] for x in own if x[3])
+        want += Counter({(r, "enh_duplicate"): sum(n > 1 for n in enh.values()), (r, "enh_too_many"): enh.total() > 3, (r, "unknown_size"): size is None, (r, "points_over"): points > {"incursion": 1000}.get(size, 2000), (r, "warlord_count"): sum(x[2] for x in own) != 1})
+    assert {(x["roster_id"], x["code"]): x["n"] for x in found.collect()} == dict(want)
+
+
 def test_fuzzy_within_block(spark):
     known = spark.createDataFrame([("a", "Intercessor Squad"), ("b", "Intercessor Squads")], "block string, name string")
     names = spark.createDataFrame([(1, "a", "Intercesor Squad"), (2, "b", "nothing like it")], "name_id int, block string, name string")
