@@ -13,6 +13,14 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+ROWS_PER_PART = 500_000
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many parts of at most some ROWS_PER_PART rows ``df`` makes, so that no task's memory grows with it; no fewer than a shuffle has."""
+    return max(1 + df.count() // ROWS_PER_PART, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     return numbered(df, key, order, "_nth").where("_nth = 1").drop("_nth")
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import latin_tokens
 from . import names as name_search
-from .ordered import keep_first, numbered
+from .ordered import keep_first, numbered, parts_of
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -175,14 +175,21 @@ def weighted_search(docs: DataFrame, terms: DataFrame, fields: dict[str, int], k
 
 def cited(sources: DataFrame, answer: str, order: Sequence[str], key: Sequence[str], book: str = "book") -> DataFrame:
     """Sources of each answer without those that repeat a key (nulls are alike), numbered from 1 in the order of first mention; sources without a book are none."""
-    first = keep_first(sources.where(F.col(book).isNotNull() & (F.trim(F.col(book)) != "")), [answer, *key], order)
-    return numbered(first, [answer], order, "n")
+    named = sources.where(F.col(book).isNotNull() & (F.trim(F.col(book)) != ""))
+    parts = parts_of(named)
+    first = keep_first(named.repartition(parts, answer, *key), [answer, *key], order)
+    return numbered(first.repartition(parts, answer), [answer], order, "n")
+
+
+def context_of(rank: str) -> Column:
+    """An aggregate: the passages (``book, page, tag, text``) of a group in the order of rank, each under its number, tag, book and page."""
+    own = F.array_sort(F.collect_list(F.struct(rank, "book", "page", "tag", "text")))
+    page = lambda x: F.when(x["page"].isNotNull(), F.concat(F.lit("第"), x["page"].cast("string"), F.lit("页"))).otherwise("")
+    tag = lambda x: F.coalesce(F.concat(F.lit("·"), x["tag"]), F.lit(""))
+    text = lambda x, i: F.concat(F.lit("【档案 "), (i + 1).cast("string"), tag(x), F.lit("】《"), x["book"], F.lit("》"), page(x), F.lit("\n"), F.coalesce(x["text"], F.lit("")))
+    return F.array_join(F.transform(own, text), "\n\n" + "─" * 40 + "\n\n")
 
 
 def context(passages: DataFrame, answer: str, rank: str) -> DataFrame:
     """``answer, context``: the passages (``book, page, tag, text``) of each answer in the order of rank, each under its number, tag, book and page."""
-    page = F.when(F.col("page").isNotNull(), F.concat(F.lit("第"), F.col("page").cast("string"), F.lit("页"))).otherwise("")
-    tag = F.coalesce(F.concat(F.lit("·"), F.col("tag")), F.lit(""))
-    whole = numbered(passages, [answer], [rank], "_nth").withColumn("_text", F.concat(F.lit("【档案 "), F.col("_nth").cast("string"), tag, F.lit("】《"), "book", F.lit("》"), page, F.lit("\n"), F.coalesce("text", F.lit(""))))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_text"))), lambda x: x["_text"])
-    return whole.groupBy(answer).agg(F.array_join(parts, "\n\n" + "─" * 40 + "\n\n").alias("context"))
+    return passages.groupBy(answer).agg(context_of(rank).alias("context"))

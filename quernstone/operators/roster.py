@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from . import ordered
 from .lineage import cut
 
 # Points by size of battle, the size taken for an unknown one, and the caps.
@@ -28,8 +29,7 @@ def exempt(keywords: Column) -> Column:
     return F.array_contains(keywords, "BATTLELINE") | F.array_contains(keywords, "DEDICATED TRANSPORT")
 
 
-# Rows of one task; of a unit that more rows than COMMON name, the catalogue's entry is broadcast.
-ROWS_PER_PART, COMMON = 500_000, 50_000
+COMMON = 50_000  # of a unit that more rows name, the catalogue's entry is broadcast
 
 
 def _with_entries(units: DataFrame, entries: DataFrame, parts: int) -> DataFrame:
@@ -47,7 +47,7 @@ def _judged(rosters: DataFrame, units: DataFrame, catalogue: DataFrame, enhancem
     All rules are told in one pass over the rows of a roster: the copy that is
     one too many stands for its unit, the second of an enhancement for that.
     """
-    parts = max(1 + units.count() // ROWS_PER_PART, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = ordered.parts_of(units)
     has = lambda word: F.array_contains("keywords", word)
     entries = catalogue.select("unit_id", "price", F.col("keywords").isNotNull().alias("known"), has("CHARACTER").alias("character"), has("EPIC HERO").alias("epic"), copy_limit(F.col("keywords")).alias("most"))
     listed = _with_entries(units.select("roster_id", "unit_id", "warlord", "enhancement"), entries, parts).withColumn("known", F.coalesce("known", F.lit(False)))

@@ -35,9 +35,9 @@ def q68_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "lineitem").select("l_orderkey", _line_order().alias("ord"), book.alias("book"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey") % 2).alias("page"))
     numbered = retrieve.cited(sources, "l_orderkey", ["ord"], ["book", "page"])
     tagged = numbered.select("l_orderkey", "n", "book", "page", F.when(F.col("page") == 1, "e/core").alias("tag"), F.col("ord").cast("string").alias("text"))
-    contexts = retrieve.context(tagged, "l_orderkey", "n")
-    cites = numbered.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "ord"))), lambda x: F.concat_ws(":", x["n"].cast("string"), x["ord"].cast("string"))), ",").alias("cites"))
-    return cites.join(contexts, "l_orderkey").select("l_orderkey", "cites", F.sha2("context", 256).alias("context_sha256"))
+    cites = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: F.concat_ws(":", x["n"].cast("string"), x["text"])), ",")
+    told = tagged.groupBy("l_orderkey").agg(cites.alias("cites"), retrieve.context_of("n").alias("context"))
+    return told.select("l_orderkey", "cites", F.sha2("context", 256).alias("context_sha256"))
 
 
 def q69_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:

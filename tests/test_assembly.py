@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.operators import overlay, quality, resolve, retrieve, roster
+from quernstone.plans import assembly
 
 
 def plain_cascade(name, canonical, local, nicknames, cutoff):
@@ -131,3 +132,9 @@ def test_units_of_datasheets(spark):
     assert [(*g[:6], [tuple(i) for i in g[6]], *g[7:]) for g in got] == [
         ("1", "A", "新", "F", "Faction", 80, items, 3, "no line"), ("1", "A again", "新", "G", None, 80, items, 3, "no line"), ("2", "B", None, None, None, None, [], 0, None),
     ]
+
+
+def test_citations_read_their_sources_once(spark, sf_dir):
+    found = assembly.q68_citations(spark, sf_dir)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert found.groupBy("l_orderkey").count().where("count > 1").isEmpty()
