@@ -13,9 +13,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.llm import bpe, decontaminate, exact_dedup, frames, language_id, near_dedup
 
+#: Rows of whole texts that go to a Python worker at once; each batch is in memory on both sides.
+BATCH_ROWS = 2000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told (null, or without a letter) go."""
+    _in_small_batches(spark)
     out = language_id.held_out(F.col("doc_id"), 3, 1)
     trees = language_id.learn(docs, ~out & F.col("doc_id").isNotNull())
     return language_id.keep_predicted(docs, trees)
@@ -28,6 +38,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the one with the least doc_id stays."""
+    _in_small_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 
@@ -38,6 +49,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digest of the bytes they decode to."""
+    _in_small_batches(spark)
     return bpe.tokenise(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

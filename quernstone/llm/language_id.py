@@ -203,7 +203,7 @@ def learn(docs: DataFrame, learnable: Column, max_contexts: int | None = None) -
 
 def _told(trees: Trees | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Language and score of each text."""
-    lettered = np.array([bool(_LETTER.search(t)) if t else False for t in texts.to_pylist()], bool)
+    lettered = np.array([bool(t and _LETTER.search(t)) for t in (x.as_py() for x in texts)], bool)  # one text at a time is a Python string
     if trees is None or not len(lettered):
         return np.full(len(lettered), UNDETERMINED, object), np.zeros(len(lettered))
     bits = trees.lengths(*bytes_of(texts)) / UNIT

@@ -58,7 +58,8 @@ THRESHOLD_PERCENT = 80
 SAMPLES, ROWS = 200, 5
 SKETCH_LONGS = 16
 DEVIATIONS = 6.0
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+SLICE_ROWS, SLICE_MEMBERS = 1024, 1 << 18
 MOST_OUTSIDE = 512
 FREQUENCY_BUCKETS = 1 << 18
 SIZE_STEP = 1.05
@@ -104,34 +105,39 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     factors = np.random.default_rng(7).integers(1 << 62, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
     weights = np.random.default_rng(8).integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def signed(part: pa.RecordBatch, own: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in own])
+        filled = np.flatnonzero(sizes)
+        k1, k2 = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        bands = np.zeros((len(own), SAMPLES // ROWS), np.uint64)
+        sketch, odd = np.zeros((len(own), SKETCH_LONGS), np.int64), np.zeros((len(own), SKETCH_LONGS), np.int64)
+        if len(filled):
+            every = np.concatenate([own[i] for i in filled])
+            at = np.concatenate([[0], np.cumsum(sizes[filled])[:-1]])
+            k1[filled] = np.add.reduceat(mix(every), at).view(np.int64)
+            k2[filled] = np.bitwise_xor.reduceat(mix(every + np.uint64(1)), at).view(np.int64)
+            samples = np.empty((SAMPLES, len(filled)), np.uint64)
+            for k in range(SAMPLES):
+                samples[k] = np.minimum.reduceat(every * factors[k], at)
+            for band in range(SAMPLES // ROWS):
+                rows = mix(samples[band * ROWS : (band + 1) * ROWS]) * weights[:, None]
+                bands[filled, band] = mix(rows.sum(axis=0, dtype=np.uint64) + np.uint64(band))
+            sketch[filled], odd[filled] = _odd_sketch(samples), _odd_sets(every, sizes[filled])
+        lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.reshape(-1).view(np.int64)))
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.array(k1), pa.array(k2), lists(bands), lists(sketch), lists(odd)],
+            [ROW, "doc_id", "n", "k1", "k2", "bands", "sketch", "odd"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, s in _sets(batch.column(2), width)]
-            for start in range(0, len(sets), 1024):
-                own = sets[start : start + 1024]
-                sizes = np.array([len(s) for s in own])
-                filled = np.flatnonzero(sizes)
-                k1, k2 = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-                bands = np.zeros((len(own), SAMPLES // ROWS), np.uint64)
-                sketch, odd = np.zeros((len(own), SKETCH_LONGS), np.int64), np.zeros((len(own), SKETCH_LONGS), np.int64)
-                if len(filled):
-                    every = np.concatenate([own[i] for i in filled])
-                    at = np.concatenate([[0], np.cumsum(sizes[filled])[:-1]])
-                    k1[filled] = np.add.reduceat(mix(every), at).view(np.int64)
-                    k2[filled] = np.bitwise_xor.reduceat(mix(every + np.uint64(1)), at).view(np.int64)
-                    samples = np.empty((SAMPLES, len(filled)), np.uint64)
-                    for k in range(SAMPLES):
-                        samples[k] = np.minimum.reduceat(every * factors[k], at)
-                    for band in range(SAMPLES // ROWS):
-                        rows = mix(samples[band * ROWS : (band + 1) * ROWS]) * weights[:, None]
-                        bands[filled, band] = mix(rows.sum(axis=0, dtype=np.uint64) + np.uint64(band))
-                    sketch[filled], odd[filled] = _odd_sketch(samples), _odd_sets(every, sizes[filled])
-                lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.reshape(-1).view(np.int64)))
-                part = batch.slice(start, len(own))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.array(k1), pa.array(k2), lists(bands), lists(sketch), lists(odd)],
-                    [ROW, "doc_id", "n", "k1", "k2", "bands", "sketch", "odd"],
-                )
+            start, own, held = 0, [], 0
+            for at, members in _sets(batch.column(2), width):
+                own.append(members)
+                held += len(members)
+                if at + 1 == batch.num_rows or len(own) == SLICE_ROWS or held >= SLICE_MEMBERS:  # the sets of a batch are never all held
+                    yield signed(batch.slice(start, len(own)), own)
+                    start, own, held = at + 1, [], 0
 
     return docs.select(ROW, "doc_id", "text").mapInArrow(run, f"{ROW} long, doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>, odd array<long>")
 

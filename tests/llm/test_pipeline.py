@@ -1,10 +1,15 @@
 """Each stage against brute force on its own input."""
 
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quernstone.llm import language_id, near_dedup
+
 from .test_dedup import brute_exact, brute_near
 from .test_models import item_words
 
@@ -44,3 +49,60 @@ def test_stages(spark, docs, rows, tmp_path):
 def test_run(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir)
     assert 100 < found.count() <= 200
+
+
+class Taken:
+    """Stands for a frame: keeps what would run in the Python workers."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def wide_batch(n=6000, width=300):
+    values = np.random.default_rng(3).integers(0, 1 << 30, (n, width))
+    ids = pa.array(range(n))
+    return pa.RecordBatch.from_arrays([ids, ids, pa.array([" ".join(map(str, row)) for row in values.tolist()])], ["_row", "doc_id", "text"])
+
+
+def test_signatures_hold_a_slice_of_a_batch():
+    frame, batch = Taken(), wide_batch()
+    near_dedup.signatures(frame, 5)
+
+    def work():
+        rows = 0
+        for part in frame.run(iter([batch])):
+            assert part.column(0).to_pylist() == list(range(rows, rows + part.num_rows))
+            rows += part.num_rows
+        assert rows == batch.num_rows
+
+    list(frame.run(iter([batch.slice(0, 10)])))  # powers that are kept are not the batch's
+    assert peak_mb(work) < 36
+    whole = pa.Table.from_batches(frame.run(iter([batch.slice(0, 40)])))
+    assert whole.equals(pa.Table.from_batches(p for i in range(40) for p in frame.run(iter([batch.slice(i, 1)]))).combine_chunks())
+
+
+def test_letters_are_sought_in_one_text_at_a_time():
+    texts = wide_batch().column(2)
+    assert peak_mb(lambda: language_id._told(None, texts)) < 4
+
+
+def test_workers_get_small_batches(spark, docs, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline, "BATCH_ROWS", 7)
+    try:
+        rows = corpus_pipeline.language(spark, docs.where("text is not null"), "").select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        assert max(r.n for r in rows.collect()) <= 7
+    finally:
+        spark.conf.set(key, before)
